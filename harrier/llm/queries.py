@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.substring_dedup import op4_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup)}
 ORACLES: dict[str, str] = {}
