@@ -5,6 +5,7 @@ from __future__ import annotations
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.substring_dedup import op4_substring_dedup
 from harrier.llm.token_files import op7_token_files
+from harrier.llm.winnowing import op9_winnowing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op7_token_files, op9_winnowing)}
 ORACLES: dict[str, str] = {}
