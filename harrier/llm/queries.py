@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
+from harrier.llm.quality import op8_quality_classifier
 from harrier.llm.substring_dedup import op4_substring_dedup
 from harrier.llm.token_files import op7_token_files
+from harrier.llm.toxicity import op6_toxicity
 from harrier.llm.winnowing import op9_winnowing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op7_token_files, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op6_toxicity, op7_token_files, op8_quality_classifier, op9_winnowing)}
 ORACLES: dict[str, str] = {}
