@@ -28,8 +28,12 @@ from harrier.llm.batches import NO_ID
 from harrier.llm.shared import Scratch, documents, parts, text_rows
 
 END = 0
-#: Pieces remembered by a worker: about 40 MB.
-REMEMBERED = 200_000
+#: Pieces remembered by a worker: about 100 MB.
+REMEMBERED = 500_000
+#: New pieces that are encoded together.
+TOGETHER = 4000
+#: How a byte-level vocabulary writes a blank (a fixed value of such vocabularies).
+BLANK = "\u0120"
 MANIFEST = "part int, n_docs long, n_tokens long, width int"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int"
 
@@ -52,29 +56,41 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.kind).tobytes()
+        self.blank = np.zeros(max(1 << 16, self.tokenizer.get_vocab_size(with_added_tokens=True) + 1), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.blank[i] = self.cuts and BLANK in token
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces that begin with a blank. They are encoded as one text: in it, too, every blank begins a
+        token, and no other token has one, so the tokens with a blank tell where pieces begin."""
+        for lo in range(0, len(pieces), TOGETHER):
+            part = pieces[lo : lo + TOGETHER]
+            ids = self._ids("".join(part))
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) != len(part) or starts[0] != 0:
+                self.known.update((p, self._ids(p).tobytes()) for p in part)
+                continue
+            raw, w = ids.tobytes(), self.width
+            cuts = [*(starts * w).tolist(), len(raw)]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = text.replace(" ", "\0 ").split("\0") if self.cuts and "\0" not in text else [text]
-        if " " in pieces or any(s in text for s in self.special):
-            pieces = [text]
-        if len(pieces) == 1:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        out = []
+        first, *pieces = text.replace(" ", "\0 ").split("\0") if self.cuts and "\0" not in text else [text]
+        if not pieces or " " in pieces or any(s in text for s in self.special):
+            return self._ids(text).tobytes()
+        out = [self._ids(first).tobytes() if first else b""]
         for i in range(0, len(pieces), REMEMBERED // 4):
             part = pieces[i : i + REMEMBERED // 4]
-            if missing := set(part) - self.known.keys():
-                self._learn(missing)
+            if missing := set(part).difference(self.known):
+                if len(self.known) + len(missing) > REMEMBERED:
+                    self.known.clear()
+                    missing = set(part)
+                self._learn(list(missing))
             out.append(b"".join(map(self.known.__getitem__, part)))
         return b"".join(out)
 
