@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,8 +36,11 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/harrier-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        # Fewer rows in an Arrow batch: what a worker and the JVM's off-heap buffers hold does not depend on luck.
+        if int(spark.conf.get(_ARROW)) > ARROW_ROWS:
+            spark.conf.set(_ARROW, str(ARROW_ROWS))
 
-    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write df and return it as read from what was written."""
         self._n += 1
         at = f"{self.path}/{self._n:02d}-{name}"
