@@ -21,7 +21,7 @@ GRAMS = (3, 4, 5)
 #: Code points worked on at once.
 CHUNK = 1 << 18
 #: Labelled documents of each class that a model is fitted on, and the longest text among them. Scoring has no limit.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 100_000
 
 

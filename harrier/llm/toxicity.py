@@ -9,7 +9,6 @@ found, and no others, for toxic.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, l
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Distinct words that a model is fitted on, the most frequent first.
-SAMPLE_WORDS = 400_000
+SAMPLE_WORDS = 150_000
 
 
 def _words(text: str) -> set[str]:
@@ -83,25 +82,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
         p = np.clip((y * weight).mean() if len(y) else 0.5, 0.01, 0.99)
         return Model(np.zeros(1 << 18, np.float32), 0.0), np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))])
     own = np.flatnonzero(part > 0)
-    sets = [_words(texts[i]) for i in own]
+    number: dict[str, int] = {}
+    sets = [np.fromiter((number.setdefault(w, len(number)) for w in _words(texts[i])), np.int32) for i in own]
     share = (y[own] == 1).sum() / len(own)
-    seen = [Counter(), Counter()]
-    for i, s in zip(own, sets):
-        seen[int(y[i])].update(s)
-    words = [w for w, _ in (seen[0] + seen[1]).most_common(SAMPLE_WORDS)]
-    n0, n1 = (np.array([c[w] for w in words], float) for c in seen)
+    n0, n1 = (np.bincount(np.concatenate([s for i, s in zip(own, sets) if y[i] == c] or [np.empty(0, np.int32)]), minlength=len(number)) for c in (0, 1))
+    kept = np.argsort(-(n0 + n1), kind="stable")[:SAMPLE_WORDS]
+    everything = list(number)
+    words = [everything[k] for k in kept]
+    del number, everything
+    m0, m1 = n0[kept], n1[kept]
     few = 3.0  # a word's share counts as much as so many documents of the sample's share
-    target = np.maximum(0, (n1 + few * share) / (n0 + n1 + few) - share) / (1 - share)
-    model = _fit_words(words, target, np.log1p(n0 + n1))
-    z = dict(zip(words, _logits(words, model)))
-    named = Counter()
+    target = np.maximum(0, (m1 + few * share) / (m0 + m1 + few) - share) / (1 - share)
+    model = _fit_words(words, target, np.log1p(m0 + m1))
+    z = np.full(len(n0), -30.0)
+    z[kept] = _logits(words, model)
+    named = np.zeros(len(n0), np.int64)
     for i, s in zip(own, sets):
-        if y[i] == 1 and s:
-            top = max(z.get(w, -30.0) for w in s)
-            named.update(w for w in s if z.get(w, -30.0) >= min(max(top, -1.0), 0.0))
-    hit = np.array([named[w] for w in words], float)
-    target = hit / (n0 + np.maximum(hit, n1))
-    model = _fit_words(words, target, np.log1p(n0 + n1))
+        if y[i] == 1 and len(s):
+            named[s[z[s] >= min(max(z[s].max(), -1.0), 0.0)]] += 1
+    hit = named[kept]
+    target = hit / np.maximum(m0 + np.maximum(hit, m1), 1)
+    model = _fit_words(words, target, np.log1p(m0 + m1))
     rest = part == 0 if len(set(y[part == 0].tolist())) == 2 else np.ones(len(y), bool)
     f, n = document_features([t for t, r in zip(texts, rest) if r], model)
     return model, logistic(f[n > 0], y[rest][n > 0], weight[rest][n > 0])
