@@ -13,6 +13,8 @@ from harrier.llm.shared import documents
 from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
+#: Features of a document drawn for training; scoring uses all.
+SAMPLE_FEATURES = 2000
 
 
 def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -32,8 +34,8 @@ def _sampled_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ids, offsets = [], [0]
     for t in texts:
         f = np.concatenate([Words([p], letters=False).features(pairs=True)[0] for _, (p,) in groups([t])])
-        if len(f) > 6000:  # a draw for training; scoring uses all
-            f = np.random.default_rng(len(f)).choice(f, 6000, replace=False)
+        if len(f) > SAMPLE_FEATURES:
+            f = np.random.default_rng(len(f)).choice(f, SAMPLE_FEATURES, replace=False)
         ids.append(f.astype(np.int32))
         offsets.append(offsets[-1] + len(f))
     return np.concatenate(ids) if ids else np.empty(0, np.int32), np.array(offsets)
