@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from harrier.llm.decontamination import op5_decontamination
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.language_id import op10_language_id
 from harrier.llm.quality import op8_quality_classifier
@@ -10,5 +11,5 @@ from harrier.llm.token_files import op7_token_files
 from harrier.llm.toxicity import op6_toxicity
 from harrier.llm.winnowing import op9_winnowing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op6_toxicity, op7_token_files, op8_quality_classifier, op9_winnowing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_token_files, op8_quality_classifier, op9_winnowing, op10_language_id)}
 ORACLES: dict[str, str] = {}
