@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+from harrier.llm import url_filters
 from harrier.llm.decontamination import op5_decontamination
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.language_id import op10_language_id
+from harrier.llm.mixing import op3_source_mixing
 from harrier.llm.quality import op8_quality_classifier
 from harrier.llm.substring_dedup import op4_substring_dedup
 from harrier.llm.token_files import op7_token_files
 from harrier.llm.toxicity import op6_toxicity
+from harrier.llm.url_filters import op1_url_filters
 from harrier.llm.winnowing import op9_winnowing
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_token_files, op8_quality_classifier, op9_winnowing, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_ngram_jaccard_join,
+        op3_source_mixing,
+        op4_substring_dedup,
+        op5_decontamination,
+        op6_toxicity,
+        op7_token_files,
+        op8_quality_classifier,
+        op9_winnowing,
+        op10_language_id,
+    )
+}
+
+#: op2 and op4 written as relations over all shingles and windows; words as the contracts have them.
+_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filters.ORACLE,
+    "op4_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+hit AS (SELECT DISTINCT doc_id, p + k AS q FROM (SELECT win.doc_id, win.p, unnest(range(0, 13)) AS k FROM win JOIN least USING (g) WHERE least.m < win.doc_id)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d WHERE len(w) > 0),
+kept AS (
+  SELECT words.doc_id, count(hit.q) AS n_removed, sha256(coalesce(string_agg(CASE WHEN hit.q IS NULL THEN x END, ' ' ORDER BY words.q), '')) AS kept_sha256
+  FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id AND words.q = hit.q GROUP BY words.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
+}
