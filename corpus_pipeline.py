@@ -1,8 +1,71 @@
-"""The training corpus, from documents to token files."""
+"""The training corpus: from documents to token files, one written table per stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrier.llm.decontamination import contaminated
+from harrier.llm.jaccard_join import jaccard_components
+from harrier.llm.mixing import mix_sources
+from harrier.llm.quality import THRESHOLD, score_quality, train_quality
+from harrier.llm.shared import Scratch
+from harrier.llm.token_files import read_tokens, write_tokens
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects. A document without id cannot be scored by id and goes."""
+    model, scale = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = score_quality(docs, model, scale).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, keep the document of least id."""
+    first = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, or nearly."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents of small sources, each source once at least and none more than twice."""
+    return mix_sources(spark, docs, keep=("text", "lang", "n_chars")).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token files in ascending id order; return what they hold, by document."""
+    path = f"{Scratch(spark, 'corpus').path}/tokens"
+    write_tokens(spark, docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokens),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
