@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
 
-_AT = F.coalesce("published_at", "first_seen_at")
+def _at() -> Column:
+    return F.coalesce("published_at", "first_seen_at")
 
 
 def evidence_page(signals: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -29,14 +30,14 @@ def radar(signals: DataFrame, now: Column, hours: int = 48, limit: int = 50, chu
     if not (1 <= hours <= 168 and 1 <= limit <= 100):
         raise ValueError("hours is 1 to 168, limit 1 to 100")
     scan = -(-(max_scan or max(limit * 5, 100)) // chunk) * chunk
-    seen = signals.where(_AT.between(now - F.make_interval(hours=F.lit(hours)), now) & F.col("status").isin("extracted", "matched", "normalized"))
+    seen = signals.where(_at().between(now - F.make_interval(hours=F.lit(hours)), now) & F.col("status").isin("extracted", "matched", "normalized"))
     # Top-k by the window's order, then validity, then the page: both limits are the feature.
-    top = seen.orderBy(F.desc(_AT), F.desc_nulls_last("heat"), "signal_id").limit(scan)
-    valid = top.where(X.hash_holds(F.col("title"), F.col("raw_text"), F.col("stored_hash"))).orderBy(F.desc(_AT), F.desc_nulls_last("heat"), "signal_id").limit(limit)
+    top = seen.orderBy(F.desc(_at()), F.desc_nulls_last("heat"), "signal_id").limit(scan)
+    valid = top.where(X.hash_holds(F.col("title"), F.col("raw_text"), F.col("stored_hash"))).orderBy(F.desc(_at()), F.desc_nulls_last("heat"), "signal_id").limit(limit)
     grouped = valid.withColumn("_n", F.count("*").over(Window.partitionBy("event_key")))
     unit = F.when((F.col("_n") >= 2) & F.col("event_key").isNotNull(), F.concat(F.lit("e"), "event_key")).otherwise(F.concat(F.lit("s"), "signal_id"))
     g = grouped.withColumn("unit", unit).groupBy("unit").agg(
-        F.count("*").alias("n"), F.max_by("signal_id", F.struct(_AT, -F.col("signal_id"))).alias("representative"),
+        F.count("*").alias("n"), F.max_by("signal_id", F.struct(_at(), -F.col("signal_id"))).alias("representative"),
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.min("published_s").alias("first_published_s"), F.max("published_s").alias("last_published_s"), F.min("first_seen_s").alias("first_seen_s"),
     )
     return g.orderBy(F.desc(F.coalesce("last_published_s", "first_seen_s")), "unit")
