@@ -32,8 +32,21 @@ QUERIES = {
 
 #: op2 and op4 written as relations over all shingles and windows; words as the contracts have them.
 _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.ORACLE,
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+edges AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.m, d.doc_id)) AS class_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) r USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM edges WHERE same GROUP BY x) c USING (doc_id)
+""",
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),

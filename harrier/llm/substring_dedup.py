@@ -204,4 +204,4 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark, documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return dedup_substrings(spark, documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
