@@ -68,15 +68,20 @@ def discover(sightings: DataFrame, stored: DataFrame, blocked: list[str], exclud
 
 def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float = 0.9, body_at_least: float = 0.8) -> DataFrame:
     """(signal_id, other_id) where other is the same by hash at any age, or by title tokens and body shingles within
-    hours. The band join is cut down by a shared first token before any set is compared."""
-    s = signals.select("signal_id", "content_hash", "tokens", "shingles", T.seconds(F.col("first_seen_at")).alias("t"))
+    hours. Titles meet in a band of time by a token of a prefix that alike titles must share; bodies are only fetched,
+    and cut into shingles, for the pairs whose titles are alike."""
+    s = signals.select("signal_id", "content_hash", "tokens", T.seconds(F.col("first_seen_at")).alias("t"))
     o = s.select(*[F.col(c).alias(f"o_{c}") for c in s.columns])
     exact = s.join(o, F.col("content_hash") == F.col("o_content_hash")).where("signal_id <> o_signal_id").select("signal_id", F.col("o_signal_id").alias("other_id"))
-    rare = lambda p: F.explode(F.slice(F.col(f"{p}tokens"), F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(f"{p}tokens") * (1 - title_at_least)).cast("int") + 1)))
-    a, b = s.where("size(tokens) > 0").withColumn("k", rare("")), o.where("size(o_tokens) > 0").withColumn("k", rare("o_"))
-    near = band_join(a.drop("content_hash"), b.drop("o_content_hash"), "t", "o_t", hours * 3600.0, ["k"]).where("signal_id <> o_signal_id").drop("k").dropDuplicates(["signal_id", "o_signal_id"])
-    near = near.where((X.jaccard(F.col("tokens"), F.col("o_tokens")) >= title_at_least) & (X.jaccard(F.col("shingles"), F.col("o_shingles")) >= body_at_least))
-    return exact.unionByName(near.select("signal_id", F.col("o_signal_id").alias("other_id"))).distinct()
+    prefix = lambda p: F.explode(F.slice(F.col(f"{p}tokens"), F.lit(1), F.floor(F.size(f"{p}tokens") * (1 - title_at_least) + 1e-9).cast("int") + 1))
+    a, b = s.where("size(tokens) > 0").withColumn("k", prefix("")), o.where("size(o_tokens) > 0").withColumn("k", prefix("o_"))
+    alike = band_join(a.drop("content_hash"), b.drop("o_content_hash"), "t", "o_t", hours * 3600.0, ["k"]).where("signal_id < o_signal_id")
+    alike = alike.where(X.jaccard(F.col("tokens"), F.col("o_tokens")) >= title_at_least).select("signal_id", "o_signal_id").distinct()
+    text = signals.select("signal_id", "raw_text")
+    both = alike.join(text, "signal_id").join(text.select(F.col("signal_id").alias("o_signal_id"), F.col("raw_text").alias("o_text")), "o_signal_id")
+    near = both.where(X.jaccard(X.shingles(F.col("raw_text")), X.shingles(F.col("o_text"))) >= body_at_least)
+    turned = near.select(F.explode(F.array(F.struct("signal_id", F.col("o_signal_id").alias("other_id")), F.struct(F.col("o_signal_id").alias("signal_id"), F.col("signal_id").alias("other_id")))).alias("e")).select("e.*")
+    return exact.unionByName(turned).distinct()
 
 
 def resolve_duplicates(spark: SparkSession, signals: DataFrame, pairs: DataFrame) -> DataFrame:

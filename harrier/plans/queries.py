@@ -137,7 +137,7 @@ def story_chains(spark: SparkSession, d: str) -> DataFrame:
 
 def _duplicate_input(spark: SparkSession, d: str) -> DataFrame:
     s = D.signals(spark, d)
-    return s.select("signal_id", "first_seen_at", "published_at", X.content_hash(F.col("title"), F.col("raw_text")).alias("content_hash"), X.title_tokens(F.col("title")).alias("tokens"), X.shingles(F.col("raw_text")).alias("shingles"))
+    return s.select("signal_id", "first_seen_at", "published_at", X.content_hash(F.col("title"), F.col("raw_text")).alias("content_hash"), X.title_tokens(F.col("title")).alias("tokens"), "raw_text")
 
 
 _PAIRS = rf"""w AS (SELECT signal_id, first_seen_s, published_s, {_HASH} AS hash, {_FOLD.format("title")} AS ft, list_filter(string_split(trim(regexp_replace(regexp_replace({_FOLD.format("raw_text")}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS bw FROM signals),
