@@ -1,10 +1,10 @@
 """Benchmark decontamination: documents that hold an item of a benchmark, or nearly.
 
-Windows of an item's length are proposed where a document has several word trigrams of an item at one alignment. The
-CGK embedding (a random walk that copies characters and decides by random bits when to advance) turns the edit distance
-of window and item into a Hamming distance; bit-sampling LSH over embeddings, repeated until a pair at the largest
-distance allowed collides with the target probability, gives the candidate pairs; each is decided by its exact edit
-distance (bit-parallel, free ends in the document).
+Nothing within the distance is missed. An item of m characters is cut into disjoint pieces of PIECE characters; an edit
+spoils at most one of them, so of n pieces at least n - k stand unchanged in any text within k edits, and their places
+differ from those in the item by amounts that lie within k of each other (each insertion or deletion shifts the rest by
+one). So pieces found in a document are counted by item and by bins of that shift, 2 (k + 1) wide and overlapping by
+half; where a bin has n - k different pieces, the exact edit distance (bit-parallel, free ends in the document) decides.
 """
 
 from __future__ import annotations
@@ -18,21 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm.hashing import Bag, mix
+from harrier.llm.hashing import mix
 from harrier.llm.shared import documents
 
 #: Largest edit distance, as a share of the item's characters.
 EDIT_RATE = 0.15
 RECALL = 0.98
 SAMPLED = 3
-SEED_WORDS = 3
+#: Characters of a piece, and how many pieces an item should keep at least; shorter pieces for an item that would not.
+PIECE = 5
+KEPT = 4
 #: Items (characters) that are searched for in one pass over the documents, and so broadcast; more items, more passes.
 BLOCK_CHARS = 4_000_000
-#: Slots of the table that most trigrams of a document are told apart from all items' by, before they are looked up.
-SIEVE = 1 << 22
-#: Text searched together, and windows embedded together.
-BATCH_BYTES = 4 << 20
-WINDOWS = 2000
+#: Text searched together, counters of bins at once, and pieces found at once (characters, numbers).
+BATCH_CHARS = 1 << 18
+COUNTERS = 1 << 23
+HITS = 1 << 19
 
 
 def normal(text: str | None) -> str:
@@ -40,16 +41,24 @@ def normal(text: str | None) -> str:
 
 
 def edit_distance_within(pattern: str, text: str) -> int:
-    """The least edit distance of pattern to any substring of text (Myers' bit vectors)."""
+    """The least edit distance of pattern to any substring of text."""
+    return _nearest(pattern, text)[0]
+
+
+def _nearest(pattern: str, text: str, anchored: int | None = None) -> tuple[int, int]:
+    """The least edit distance of pattern to any substring of text (Myers' bit vectors) and its first end; anchored: the
+    first end of a prefix of text at that distance."""
     m = len(pattern)
     if not m:
-        return 0
+        return 0, 0
     peq: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         peq[c] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, m
-    for c in text:
+    pv, mv, score, best, end = full, 0, m, m, 0
+    if anchored == m:
+        return m, 0
+    for j, c in enumerate(text, 1):
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -59,12 +68,15 @@ def edit_distance_within(pattern: str, text: str) -> int:
             score += 1
         elif mh & top:
             score -= 1
-        ph = (ph << 1) & full
+        ph = ((ph << 1) | (anchored is not None)) & full
         mh = (mh << 1) & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
-        best = min(best, score)
-    return best
+        if score < best:
+            best, end = score, j
+        if score == anchored:
+            return score, j
+    return best, end
 
 
 def embed(texts: list[str], walks: int, steps: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -135,107 +147,141 @@ def bucket_of(length: int) -> int:
     return 16 * max(1, round(length / 16))
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def piece_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 32-bit hash of each run of size characters. Equal runs have equal hashes; a clash only adds a candidate."""
+    n = max(0, len(codes) - size + 1)
+    spread, x = codes * np.uint32(0x9E3779B1), np.zeros(n, np.uint32)
+    for j in range(size):
+        x = x * np.uint32(0x01000193) + spread[j : j + n]
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    return x
+
+
+def piece_size(length: int, limit: int) -> int:
+    """The longest piece, PIECE at most, of which an item within limit edits must keep KEPT, or else one."""
+    sizes = range(PIECE, 1, -1)
+    return next((q for kept in (KEPT, 1) for q in sizes if length // q - limit >= kept), 1)
+
+
+class Pieces:
+    """Items whose pieces are of one size: which items have a piece, and where."""
+
+    def __init__(self, size: int, items: list[int], texts: list[str], limits: list[int]):
+        self.size, self.items = size, np.array(items)
+        n = np.array([len(texts[i]) // size for i in items])
+        self.limit, self.chars = np.array([limits[i] for i in items]), np.array([len(texts[i]) for i in items])
+        self.need = n - self.limit
+        self.shift = 32 - min(22, max(10, int(64 * n.sum()).bit_length()))
+        slot = np.concatenate([piece_hashes(codes_of(texts[i]), size)[::size] for i in items]) >> np.uint32(self.shift)
+        order = np.argsort(slot, kind="stable")
+        self.owner = np.repeat(np.arange(len(items)), n)[order]
+        self.place = np.concatenate([np.arange(0, k * size, size) for k in n.tolist()])[order]
+        self.lead, self.width = (self.chars[self.owner] - self.place).astype(np.int32), (self.limit[self.owner] + 1).astype(np.int32)
+        self.first = np.zeros((1 << (32 - self.shift)) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << (32 - self.shift)), out=self.first[1:])
+        self.some = np.diff(self.first) > 0
+
+    def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to): the stretches of a text in which alone an item can stand within its limit."""
+        slot = piece_hashes(codes, self.size) >> np.uint32(self.shift)
+        at = np.flatnonzero(self.some[slot]).astype(np.int32)
+        begin = self.first[slot[at]]
+        count = self.first[slot[at] + np.uint32(1)] - begin
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        # Bins of a shift are numbered from -chars on; between two items one bin stays empty.
+        base = np.concatenate([[0], np.cumsum((len(codes) + self.chars) // (self.limit + 1) + 3)])
+        first_bin = base[self.owner].astype(np.int32)
+        cuts = [0]
+        while cuts[-1] < len(at):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + HITS, "right")) - 1))
+
+        def hits():
+            for lo, hi in zip(cuts, cuts[1:]):
+                c = count[lo:hi]
+                entry = np.repeat(begin[lo:hi] - (total[lo:hi] - total[lo]).astype(np.int32), c) + np.arange(total[hi] - total[lo], dtype=np.int32)
+                yield first_bin[entry] + (np.repeat(at[lo:hi], c) + self.lead[entry]) // self.width[entry], entry
+
+        found = np.zeros(base[-1] + 1, np.int64)
+        for key, _ in hits():
+            found += np.bincount(key, minlength=len(found))
+        need = np.repeat(self.need, np.diff(base))
+        flagged = np.append(found[:-1] + found[1:] >= need, False)
+        if not flagged.any():
+            return []
+        # Of these, a piece that stands there several times counts once.
+        different, longest = [np.empty(0, np.int64)], int(self.chars.max()) + 1
+        for key, entry in hits():
+            for k in (key, key - 1):
+                s = np.flatnonzero(flagged[k])
+                different.append(np.unique(k[s].astype(np.int64) * longest + self.place[entry[s]]))
+        bins, n = np.unique(np.unique(np.concatenate(different)) // longest, return_counts=True)
+        bins = bins[n >= need[bins]]
+        own = np.searchsorted(base, bins, "right") - 1
+        k, m = self.limit[own], self.chars[own]
+        shift = (bins - base[own]) * (k + 1) - m
+        out: list[tuple[int, int, int]] = []
+        for i, lo, hi in zip(own.tolist(), (shift - k).tolist(), (shift + 3 * k + 2 + m).tolist()):
+            if out and out[-1][0] == i and lo <= out[-1][2]:
+                out[-1] = (i, out[-1][1], hi)
+            else:
+                out.append((i, lo, hi))
+        return [(int(self.items[i]), lo, hi) for i, lo, hi in out]
+
+
+def best_place(pattern: str, text: str) -> tuple[int, int]:
+    """(distance, start) of the substring of text nearest to pattern: the first end, then the nearest start."""
+    distance, end = _nearest(pattern, text)
+    _, back = _nearest(pattern[::-1], text[:end][::-1], distance)
+    return distance, end - back
+
+
 class Index:
-    """A block of items: their trigrams, and the LSH keys by length."""
-
-    def __init__(self, ids: list[int], texts: list[str], rate: float, recall: float):
-        self.ids, self.texts, self.rate = ids, texts, rate
-        self.words = [len(t.split()) for t in texts]
-        self.walks = repetitions(texts, rate, recall)
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.sizes = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            n = min(SEED_WORDS, self.words[k])
-            at, _, h = Bag([t.encode()]).windows(n)
-            self.sizes[k] = len(at)
-            for p, x in zip(at.tolist(), h.tolist()):
-                grams[x].append((k, p))
-        self.seeds = np.array(sorted(grams), np.uint64)
-        self.maybe = np.zeros(SIEVE, bool)
-        self.maybe[(self.seeds % np.uint64(SIEVE)).astype(np.int64)] = True
-        self.first = np.cumsum([0, *(len(grams[x]) for x in self.seeds.tolist())])
-        flat = [e for x in self.seeds.tolist() for e in grams[x]]
-        self.item, self.place = np.array([k for k, _ in flat], np.int64), np.array([p for _, p in flat], np.int64)
-        self.seed_sizes = sorted({min(SEED_WORDS, w) for w in self.words})
-        self.lengths = sorted({bucket_of(len(t)) for t in texts})
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in self.lengths:
-            own = [k for k, t in enumerate(texts) if bucket_of(len(t)) == b]
-            key = np.concatenate([keys_of([texts[k] for k in own[i : i + 500]], b, self.walks) for i in range(0, len(own), 500)])
-            owner = np.repeat(np.array(own), self.walks)
-            order = np.argsort(key.ravel(), kind="stable")
-            self.tables[b] = key.ravel()[order], owner[order]
-
-    def proposals(self, bag: Bag) -> Iterator[tuple[int, int, int]]:
-        """(document, item, first word): alignments at which a document has enough of an item's trigrams."""
-        docs, items, starts = [], [], []
-        for n in self.seed_sizes:
-            at, doc, h = bag.windows(n)
-            sieved = np.flatnonzero(self.maybe[(h % np.uint64(SIEVE)).astype(np.int64)])
-            at, doc, h = at[sieved], doc[sieved], h[sieved]
-            pos = np.searchsorted(self.seeds, h)
-            pos[pos == len(self.seeds)] = 0
-            hit = np.flatnonzero(self.seeds[pos] == h) if len(self.seeds) else np.empty(0, np.int64)
-            count = self.first[pos[hit] + 1] - self.first[pos[hit]]
-            entry = np.repeat(self.first[pos[hit]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(hit) else np.empty(0, np.int64)
-            docs.append(np.repeat(doc[hit], count))
-            items.append(self.item[entry])
-            starts.append(np.repeat(at[hit], count) - self.place[entry])
-        d, i, s = map(np.concatenate, (docs, items, starts))
-        if not len(d):
-            return
-        need = np.maximum(1, np.minimum(2, self.sizes[i]))
-        for shift in (0, 8):  # bins of 16 words, overlapping by half
-            bin_ = (s + shift) >> 4
-            order = np.lexsort((s, bin_, i, d))
-            a, b, c, e, want = d[order], i[order], bin_[order], s[order], need[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-            group = np.cumsum(new) - 1
-            enough = np.bincount(group)[group] >= want
-            fresh = new | np.concatenate([[True], e[1:] != e[:-1]])
-            yield from zip(a[enough & fresh].tolist(), b[enough & fresh].tolist(), e[enough & fresh].tolist())
-
-    def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """A block of items, by the size of their pieces."""
+
+    def __init__(self, ids: list[int], texts: list[str], rate: float):
+        self.ids, self.texts = ids, texts
+        self.limits = [int(rate * len(t)) for t in texts]
+        self.reach = max((len(t) + k for t, k in zip(texts, self.limits)), default=0)
+        self.groups: list[Pieces] = []
+        own: dict[int, list[int]] = defaultdict(list)
+        for i, (t, k) in enumerate(zip(texts, self.limits)):
+            own[piece_size(len(t), k)].append(i)
+        for size, items in sorted(own.items()):
+            part, bins = [], 0.0
+            for i in items:
+                bins += (BATCH_CHARS + self.reach) / (self.limits[i] + 1)
+                if part and bins > COUNTERS:
+                    self.groups.append(Pieces(size, part, texts, self.limits))
+                    part, bins = [], (BATCH_CHARS + self.reach) / (self.limits[i] + 1)
+                part.append(i)
+            self.groups.append(Pieces(size, part, texts, self.limits))
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(document, item, first word, distance) of each pair within the edit rate, at its best place."""
-        if not self.ids:
-            return []
-        bag = Bag(texts)
-        windows: dict[tuple[int, int, int], None] = {}
-        for d, i, s in self.proposals(bag):
-            lo, hi = int(bag.offsets[d]), int(bag.offsets[d + 1])
-            windows[d, min(max(s, lo), hi - 1), i] = None
-        by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for d, s, i in windows:
-            by_length[bucket_of(len(self.texts[i]))].append((d, s, i))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for b, found in by_length.items():
-            spans = sorted({(d, s) for d, s, _ in found})
-            key, owner = self.tables[b]
-            for lo in range(0, len(spans), WINDOWS):
-                part = spans[lo : lo + WINDOWS]
-                text = [self._window(bag, d, s, b) for d, s in part]
-                q = keys_of(text, b, self.walks)
-                left, right = np.searchsorted(key, q, "left"), np.searchsorted(key, q, "right")
-                pairs = set()
-                # An item collides by chance with windows at which none of its trigrams stands; those are no candidates.
-                for k, r in zip(*np.nonzero(right > left)):
-                    pairs.update((int(k), o) for o in owner[left[k, r] : right[k, r]].tolist() if (*part[k], o) in windows)
-                for k, i in sorted(pairs):
-                    d, s = part[k]
-                    limit = int(self.rate * len(self.texts[i]))
-                    region = self._window(bag, d, s - 1, len(self.texts[i]) + 2 * limit + 24)
-                    distance = edit_distance_within(self.texts[i], region)
-                    if distance <= limit and (distance, s) < best.get((d, i), (limit + 1, 0)):
-                        best[d, i] = distance, s
-        return [(d, i, s - int(bag.offsets[d]), e) for (d, i), (e, s) in sorted(best.items())]
-
-    @staticmethod
-    def _window(bag: Bag, d: int, s: int, chars: int) -> str:
-        s = min(max(s, int(bag.offsets[d])), int(bag.offsets[d + 1]) - 1)
-        lo = int(bag.starts[s])
-        hi = min(int(bag.ends[int(bag.offsets[d + 1]) - 1]), lo + 4 * chars)
-        return bag.buf[lo:hi].tobytes().decode("utf-8", "ignore")[:chars]
+        whole, starts = "\n".join(texts), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        codes = codes_of(whole)
+        for lo in range(0, len(whole), BATCH_CHARS):  # each place within reach of a segment's start lies in it
+            for g in self.groups:
+                for i, a, b in g.candidates(codes[lo : lo + BATCH_CHARS + self.reach]):
+                    self._decide(i, max(0, lo + a), min(len(whole), lo + b), texts, starts, best)
+        return [(d, i, texts[d].count(" ", 0, s) + (texts[d][s : s + 1] == " "), e) for (d, i), (e, s) in sorted(best.items())]
+
+    def _decide(self, i: int, lo: int, hi: int, texts: list[str], starts: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        pattern, limit = self.texts[i], self.limits[i]
+        for d in range(max(0, int(np.searchsorted(starts, lo, "right")) - 1), min(len(texts), int(np.searchsorted(starts, hi)))):
+            s = int(starts[d])
+            a, b = max(0, lo - s), min(len(texts[d]), hi - s)
+            if b - a < len(pattern) - limit:
+                continue
+            distance, at = best_place(pattern, texts[d][a:b])
+            if distance <= limit and (distance, a + at) < best.get((d, i), (limit + 1, 0)):
+                best[d, i] = distance, a + at
 
 
 FOUND = "doc_id long, item_id long, first_word long, distance int, item_chars int"
@@ -247,8 +293,8 @@ def _search(index: Index):
             lo = 0
             while lo < rb.num_rows:
                 ids, texts, size = [], [], 0
-                while lo < rb.num_rows and size < BATCH_BYTES:
-                    texts.append(normal(rb.column(1)[lo].as_py()).encode())
+                while lo < rb.num_rows and size < BATCH_CHARS:
+                    texts.append(normal(rb.column(1)[lo].as_py()))
                     ids.append(rb.column(0)[lo].as_py())
                     size += len(texts[-1])
                     lo += 1
@@ -260,7 +306,7 @@ def _search(index: Index):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, distance, item_chars) of the items that documents hold within rate * item length
     edits, after lower-casing and joining words by one space; one row per pair, its best place.
 
@@ -274,14 +320,14 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, rec
     for r in listed.orderBy("item_id", "text").toLocalIterator():
         t = normal(r.text)
         if ids and size + len(t) > BLOCK_CHARS:
-            out.append(rows.mapInArrow(_search(Index(ids, texts, rate, recall)), FOUND))
+            out.append(rows.mapInArrow(_search(Index(ids, texts, rate)), FOUND))
             ids, texts, size = [], [], 0
         if t:
             ids.append(r.item_id)
             texts.append(t)
             size += len(t)
     if ids or not out:
-        out.append(rows.mapInArrow(_search(Index(ids, texts, rate, recall)), FOUND))
+        out.append(rows.mapInArrow(_search(Index(ids, texts, rate)), FOUND))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
