@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 #: Tracking parameters dropped from URLs.
 TRACKING_PREFIX, TRACKING_NAMES = "utm_", ("gclid", "fbclid")
@@ -119,6 +120,12 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 100.0 if not x and not y else 200.0 * _common_subsequence(x, y) / (len(x) + len(y)) for x, y in zip(a, b)], dtype="float64")
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def character_counts(t: pd.Series) -> pd.Series:
+    """How many characters of a text are in each of 32 classes; an insertion or deletion changes one count by one."""
+    return t.map(lambda x: None if x is None else np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32).astype(np.int32))
+
+
 def near_exact_title(t1: Column, t2: Column, p1: Column, p2: Column, least: float = 92.0, hours: int = 48) -> Column:
     """Titles alike but not equal, published close together. The length bound keeps most pairs from the UDF."""
     n1, n2 = F.length(t1), F.length(t2)

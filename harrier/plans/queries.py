@@ -403,13 +403,8 @@ def page_extracts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_exact_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of signals whose titles are alike by insertions and deletions; pairs meet by country and a band of 48 h."""
-    from harrier.operators.rangejoin import band_join
-
-    s = D.signals(spark, d).where("published_s IS NOT NULL AND country IS NOT NULL").select("signal_id", "title", "country", "published_at", "published_s", F.substring("title", 1, 4).alias("k"))
-    o = s.select("country", "k", *[F.col(c).alias(f"o_{c}") for c in ("signal_id", "title", "published_at", "published_s")])
-    p = band_join(s, o, "published_s", "o_published_s", 48 * 3600.0, ["country", "k"]).where("signal_id < o_signal_id")
-    return p.where(X.near_exact_title(F.col("title"), F.col("o_title"), F.col("published_at"), F.col("o_published_at"))).select("signal_id", "o_signal_id")
+    """Pairs of signals whose titles are alike by insertions and deletions, published within 48 h, of any country."""
+    return S.near_exact_pairs(D.signals(spark, d))
 
 
 @query()
