@@ -66,9 +66,9 @@ def discover(sightings: DataFrame, stored: DataFrame, blocked: list[str], exclud
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 
-def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float = 0.9, body_at_least: float = 0.8) -> DataFrame:
-    """(signal_id, other_id) where other is the same by hash at any age, or by title tokens and body shingles within
-    hours. Titles meet in a band of time by a token of a prefix that alike titles must share; bodies are only fetched,
+def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float = 0.9, body_at_least: float = 0.8, near_exact: bool = True) -> DataFrame:
+    """(signal_id, other_id) where other is the same by hash at any age, or within hours by a near-exact title (see
+    near_exact_pairs; needs title and published_at) or by title tokens and body shingles. Titles meet in a band of time by a token of a prefix that alike titles must share; bodies are only fetched,
     and cut into shingles, for the pairs whose titles are alike."""
     s = signals.select("signal_id", "content_hash", "tokens", T.seconds(F.col("first_seen_at")).alias("t"))
     o = s.select(*[F.col(c).alias(f"o_{c}") for c in s.columns])
@@ -80,6 +80,11 @@ def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float =
     text = signals.select("signal_id", "raw_text")
     both = alike.join(text, "signal_id").join(text.select(F.col("signal_id").alias("o_signal_id"), F.col("raw_text").alias("o_text")), "o_signal_id")
     near = both.where(X.jaccard(X.shingles(F.col("raw_text")), X.shingles(F.col("o_text"))) >= body_at_least)
+    near = near.select("signal_id", "o_signal_id")
+    if near_exact:
+        t = s.select("signal_id", "t")
+        met = near_exact_pairs(signals).join(t, "signal_id").join(t.select(F.col("signal_id").alias("o_signal_id"), F.col("t").alias("o_t")), "o_signal_id")
+        near = near.unionByName(met.where(F.abs(F.col("t") - F.col("o_t")) <= hours * 3600.0).select("signal_id", "o_signal_id"))
     turned = near.select(F.explode(F.array(F.struct("signal_id", F.col("o_signal_id").alias("other_id")), F.struct(F.col("o_signal_id").alias("signal_id"), F.col("signal_id").alias("other_id")))).alias("e")).select("e.*")
     return exact.unionByName(turned).distinct()
 

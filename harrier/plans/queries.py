@@ -137,7 +137,7 @@ def story_chains(spark: SparkSession, d: str) -> DataFrame:
 
 def _duplicate_input(spark: SparkSession, d: str) -> DataFrame:
     s = D.signals(spark, d)
-    return s.select("signal_id", "first_seen_at", "published_at", X.content_hash(F.col("title"), F.col("raw_text")).alias("content_hash"), X.title_tokens(F.col("title")).alias("tokens"), "raw_text")
+    return s.select("signal_id", "title", "first_seen_at", "published_at", X.content_hash(F.col("title"), F.col("raw_text")).alias("content_hash"), X.title_tokens(F.col("title")).alias("tokens"), "raw_text")
 
 
 _PAIRS = rf"""w AS (SELECT signal_id, first_seen_s, published_s, {_HASH} AS hash, {_FOLD.format("title")} AS ft, list_filter(string_split(trim(regexp_replace(regexp_replace({_FOLD.format("raw_text")}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS bw FROM signals),
@@ -149,7 +149,8 @@ WHERE len(list_intersect(a.tw, b.tw)) >= 0.9 * (len(a.tw) + len(b.tw) - len(list
 
 @query(f"{_W}, {_PAIRS} SELECT * FROM pairs")
 def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.duplicate_pairs(_duplicate_input(spark, d))
+    """The two rules that SQL can state; syndicated_pairs has near-exact titles, too."""
+    return S.duplicate_pairs(_duplicate_input(spark, d), near_exact=False)
 
 
 @query(f"""{_W.replace("WITH", "WITH RECURSIVE", 1)}, {_PAIRS},
@@ -158,6 +159,18 @@ WHERE (b.first_seen_s, b.published_s IS NULL, coalesce(b.published_s, 0), b.sign
 walk AS (SELECT s.signal_id, s.signal_id AS at_ FROM signals s UNION SELECT walk.signal_id, par.parent FROM walk JOIN par ON par.signal_id = walk.at_)
 SELECT walk.signal_id, at_ AS primary_id FROM walk LEFT JOIN par ON par.signal_id = at_ WHERE par.parent IS NULL""")
 def resolved_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """By the two rules that SQL can state; syndicated_primaries has near-exact titles, too."""
+    s = _duplicate_input(spark, d)
+    return S.resolve_duplicates(spark, s, S.duplicate_pairs(s, near_exact=False))
+
+
+@query()
+def syndicated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return S.duplicate_pairs(_duplicate_input(spark, d))
+
+
+@query()
+def syndicated_primaries(spark: SparkSession, d: str) -> DataFrame:
     s = _duplicate_input(spark, d)
     return S.resolve_duplicates(spark, s, S.duplicate_pairs(s))
 
