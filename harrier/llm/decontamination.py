@@ -9,7 +9,6 @@ half; where a bin has n - k different pieces, the exact edit distance (bit-paral
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from harrier.llm.shared import documents
 
 #: Largest edit distance, as a share of the item's characters.
 EDIT_RATE = 0.15
-RECALL = 0.98
+#: Steps sampled of an embedding; the search does not use embeddings.
 SAMPLED = 3
 #: Characters of a piece, and how many pieces an item should keep at least; shorter pieces for an item that would not.
 PIECE = 5
@@ -120,33 +119,6 @@ def keys_of(texts: list[str], length: int, walks: int) -> np.ndarray:
         return (k + np.arange(e.shape[0], dtype=np.uint64)[:, None]).T
 
 
-def repetitions(items: list[str], rate: float = EDIT_RATE, recall: float = RECALL, seed: int = 5, trials: int = 60) -> int:
-    """Repetitions for which a pair at the largest allowed distance collides with probability recall, from the collision
-    rate of items and randomly edited copies of them."""
-    rng = np.random.default_rng(seed)
-    usable = [t for t in items if len(t) >= 8]
-    if not usable:
-        return 1
-    alphabet = sorted(set("".join(usable[:50])))
-    hits = total = 0
-    for _ in range(trials):
-        t = usable[int(rng.integers(len(usable)))]
-        edited = list(t)
-        for _ in range(int(rate * len(t))):
-            k, what = int(rng.integers(len(edited))), int(rng.integers(3))
-            edited[k : k + (what != 1)] = [] if what == 2 and len(edited) > 1 else [alphabet[int(rng.integers(len(alphabet)))]]
-        a, b = keys_of([t, "".join(edited)], bucket_of(len(t)), 32)
-        hits += int((a == b).sum())
-        total += 32
-    p = max(hits / total, 0.01)
-    return max(1, min(400, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.99)))))
-
-
-def bucket_of(length: int) -> int:
-    """Items are embedded and compared by lengths rounded to 16 characters."""
-    return 16 * max(1, round(length / 16))
-
-
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
