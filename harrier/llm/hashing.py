@@ -1,11 +1,14 @@
 """Vectorised hashes of words, word windows and character n-grams.
 
 All hashes are polynomials modulo 2**64 with an odd base over randomised symbols, taken as differences of prefix sums,
-so the hash of any window costs two look-ups; a finaliser spreads the result over all bits.
+so the hash of any window costs two look-ups; a finaliser spreads the result over all bits. Modulo 2**64, long strings of
+two symbols exist that are equal under every odd base (Thue-Morse words, from about a thousand symbols), so words of more
+than LONG bytes are hashed by blake2b instead. A window has few words, by far too few for such a pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +16,8 @@ import numpy as np
 U64 = np.uint64
 #: Bytes hashed at once; eight-byte work arrays of this length are all that a long text needs besides itself.
 CHUNK = 1 << 19
+#: Bytes of the longest word that is hashed as a polynomial.
+LONG = 64
 
 #: White space of the word rule [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
@@ -93,6 +98,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         with np.errstate(over="ignore"):
             out[i:j] = mix(between(prefix(part, seed), s, e, seed) + (e - s).astype(U64))
         i = j
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
     return out
 
 

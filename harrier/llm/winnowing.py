@@ -48,12 +48,13 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def winnow(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(kept hashes, their positions), by position. A long text is worked off in pieces that overlap by a window."""
+    """(kept hashes, their positions), by position. A long text is worked off in pieces of CHUNK windows; a piece has all
+    grams of its windows."""
     points = code_points(text)
     if len(points) <= CHUNK:
         return _winnow(points, k, w)
     hashes, places = [], []
-    for lo in range(0, len(points) - k + 1, CHUNK):
+    for lo in range(0, max(1, len(points) - k - w + 2), CHUNK):
         h, p = _winnow(points[lo : lo + CHUNK + k + w - 2], k, w)
         hashes.append(h)
         places.append(p + lo)
@@ -159,7 +160,7 @@ def compare_neighbours(spark: SparkSession, docs: DataFrame, k: int = GRAM, w: i
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next document's, in
     ascending id order (rows without id first, rows of the same id by text; after the last: the first). Null texts count
-    as empty. One range shuffle orders the texts; only partitions' first and last documents are met by a join.
+    as empty; a text of any length is fingerprinted whole, in pieces. One range shuffle orders the texts; only partitions' first and last documents are met by a join.
     """
     scratch = Scratch(spark, "winnowing")
     order = [F.col("id").asc_nulls_first(), F.coalesce("text", F.lit("")).asc()]

@@ -33,6 +33,19 @@ def test_rule_and_guarantee(monkeypatch):
         assert len(np.intersect1d(m.winnow(a)[0], m.winnow(b)[0]))
 
 
+def test_every_length(monkeypatch):
+    """Texts of more than one piece, every remainder; and one of the true size of a piece."""
+    rnd = random.Random(4)
+    monkeypatch.setattr(m, "CHUNK", 64)
+    for n in range(50, 340):
+        text = "".join(rnd.choice("abé日") for _ in range(n))
+        assert m.winnow(text, 8, 16)[1].tolist() == brute(text, 8, 16)
+    monkeypatch.setattr(m, "CHUNK", 1 << 18)
+    for more in (0, 7, 12, 24):
+        text = "".join(rnd.choice("abé日") for _ in range((1 << 18) + more))
+        assert m.winnow(text)[1].tolist() == brute(text, m.GRAM, m.WINDOW)
+
+
 def test_gram_hashes_are_of_the_gram_alone():
     a, b = m.gram_hashes(m.code_points("xxabcdefgh"), 8), m.gram_hashes(m.code_points("abcdefghyy"), 8)
     assert a[2] == b[0] and len(set(a.tolist())) == 3
