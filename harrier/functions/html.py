@@ -1,157 +1,166 @@
-"""HTML to text, in pandas UDFs over Arrow batches: markup needs a parser, not a pattern."""
+"""HTML to text, in pandas UDFs over Arrow batches: markup needs a parser, not a pattern.
+
+A page is read once into a list of events (open, close, text); what is wanted of it is then taken from that list.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from datetime import UTC, datetime
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType, TimestampType
 
-#: Tags that separate words, whose text is skipped, that hold no article text, and that have no end.
-BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"}
+#: Tags that separate words, whose text is skipped, and that hold no article text.
+BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "thead", "tbody", "section", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 SILENT = {"script", "style"}
 ASIDE = SILENT | {"nav", "header", "footer", "aside", "form"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-PAGE = StructType().add("title", StringType()).add("site_name", StringType()).add("dates", ArrayType(StringType())).add("body", StringType())
-DATE_META = ("article:published_time", "og:published_time", "datepublished", "date", "pubdate")
+#: Where a page says when it was published.
+DATE_META = ("article:published_time", "og:article:published_time", "datepublished", "date", "pubdate", "publish-date", "dc.date.issued")
+DATE_KEYS = ("datePublished", "dateCreated")
+PAGE = StructType().add("title", StringType()).add("site_name", StringType()).add("published_at", TimestampType()).add("offset_minutes", IntegerType()).add("dates", ArrayType(StringType())).add("body", StringType())
+
+OPEN, CLOSE, TEXT = "open", "close", "text"
 
 
-class _Text(HTMLParser):
+class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.silent = [], 0
+        self.seen: list[tuple[str, str, dict]] = []
 
     def handle_starttag(self, tag, attrs):
-        self.silent += tag in SILENT
-        if tag in BLOCK:
-            self.out.append(" ")
+        self.seen.append((OPEN, tag, {k.lower(): v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        self.silent -= tag in SILENT and self.silent > 0
-        if tag in BLOCK:
-            self.out.append(" ")
+        self.seen.append((CLOSE, tag, {}))
 
     def handle_data(self, data):
-        if not self.silent:
-            self.out.append(data)
+        self.seen.append((TEXT, data, {}))
 
 
-def text_of(html: str | None) -> str | None:
-    if html is None:
-        return None
-    p = _Text()
+def events(html: str) -> list[tuple[str, str, dict]]:
+    p = _Events()
     p.feed(html)
     p.close()
-    return " ".join("".join(p.out).split())
-
-
-class _Regions(_Text):
-    def __init__(self, tag: str, token: str):
-        super().__init__()
-        self.tag, self.token, self.depth, self.regions = tag, token, 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == self.tag:
-            if self.depth:
-                self.depth += 1
-            elif self.token in (dict(attrs).get("class") or "").split():
-                self.depth, self.out = 1, []
-        super().handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        super().handle_endtag(tag)
-        if tag == self.tag and self.depth:
-            self.depth -= 1
-            if not self.depth:
-                self.regions.append(" ".join("".join(self.out).split()))
+    return p.seen
+
+
+def collapsed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def _words(stream: list[tuple[str, str, dict]]) -> str:
+    """The text of a stretch of events, block tags as blanks, without scripts and styles."""
+    out, silent = [], 0
+    for kind, what, _ in stream:
+        if kind == TEXT:
+            if not silent:
+                out.append(what)
+        elif what in SILENT:
+            silent = max(0, silent + (1 if kind == OPEN else -1))
+        elif what in BLOCK:
+            out.append(" ")
+    return collapsed(out)
+
+
+def _regions(stream: list[tuple[str, str, dict]], tag: str, attribute: str, token: str) -> Iterator[list[tuple[str, str, dict]]]:
+    """The stretches inside elements of a tag whose attribute has a token; inner elements of the tag belong to them."""
+    depth, first = 0, 0
+    for i, (kind, what, attrs) in enumerate(stream):
+        if what != tag or kind == TEXT:
+            continue
+        if kind == OPEN and (depth or token in attrs.get(attribute, "").split()):
+            depth, first = depth + 1, first if depth else i + 1
+        elif kind == CLOSE and depth:
+            depth -= 1
+            if not depth:
+                yield stream[first:i]
+
+
+def _linked_dates(x) -> Iterator[str]:
+    if isinstance(x, list):
+        for v in x:
+            yield from _linked_dates(v)
+    elif isinstance(x, dict):
+        for k, v in x.items():
+            if k in DATE_KEYS and isinstance(v, str):
+                yield v
+            else:
+                yield from _linked_dates(v)
+
+
+def _dates_of_json(text: str) -> list[str]:
+    """Dates anywhere in a JSON document, in order; none in one that cannot be read."""
+    try:
+        return list(_linked_dates(json.loads(text)))
+    except ValueError:
+        return []
 
 
-def regions_of(html: str | None, tag: str, token: str) -> str | None:
-    if html is None:
+def stated_time(text: str) -> tuple[datetime, int | None] | None:
+    """(time, stated offset in minutes) of an ISO time; a naive one is UTC and states none."""
+    text = text.strip()
+    try:
+        t = datetime.fromisoformat(f"{text[:-1]}+00:00" if text[-1:] in ("Z", "z") else text)
+    except ValueError:
         return None
-    p = _Regions(tag, token)
-    p.feed(html)
-    p.close()
-    return "\n\n".join(r for r in p.regions if r)
-
+    return (t.replace(tzinfo=UTC), None) if t.tzinfo is None else (t, int(t.utcoffset().total_seconds() // 60))
 
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.meta, self.dates, self.title, self.body = {}, [], [], []
-        self.aside = self.paragraph = 0
-        self.within, self.linked = None, []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta":
-            name, value = (a.get("property") or a.get("name") or a.get("itemprop") or "").lower(), a.get("content")
-            if value:
-                self.meta.setdefault(name, value)
-                if name in DATE_META:
-                    self.dates.append(value)
-        elif tag == "time" and a.get("datetime"):
-            self.dates.append(a["datetime"])
-        elif tag == "title":
-            self.within = "title"
-        elif tag == "script" and a.get("type") == "application/ld+json":
-            self.within, self.linked = "json", []
-        self.aside += tag in ASIDE
-        if tag == "p" and not self.aside:
-            self.paragraph = 1
-            self.body.append("")
 
-    def handle_endtag(self, tag):
-        if tag == "script" and self.within == "json":
-            self.dates += _published("".join(self.linked))
-        if tag in ("title", "script"):
-            self.within = None
-        self.aside -= tag in ASIDE and self.aside > 0
-        if tag == "p":
-            self.paragraph = 0
+def text_of(html: str | None) -> str | None:
+    return None if html is None else _words(events(html))
 
-    def handle_data(self, data):
-        if self.within == "title":
-            self.title.append(data)
-        elif self.within == "json":
-            self.linked.append(data)
-        elif self.paragraph and not self.aside:
-            self.body[-1] += data
-
-
-def _published(text: str) -> list[str]:
-    """Publication dates anywhere in a JSON document, in order."""
-    found = []
-
-    def walk(x):
-        if isinstance(x, dict):
-            if isinstance(x.get("datePublished"), str):
-                found.append(x["datePublished"])
-            for v in x.values():
-                walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v)
 
-    try:
-        walk(json.loads(text))
-    except ValueError:
-        pass
-    return found
+def regions_of(html: str | None, tag: str, token: str, attribute: str = "class") -> str | None:
+    """The texts of all regions, a blank line between; empty without any."""
+    return None if html is None else "\n\n".join(t for t in map(_words, _regions(events(html), tag, attribute, token)) if t)
 
 
 def page_of(html: str | None) -> tuple:
-    """(title, site name, candidate dates in document order, body)"""
+    """(title, site name, published, offset, candidate dates in document order, body). What stands in scripts, styles,
+    navigation, headers, footers, asides and forms does not count, but for linked data."""
     if html is None:
-        return None, None, [], None
-    p = _Page()
-    p.feed(html)
-    p.close()
-    title = " ".join("".join(p.title).split()) or None
-    body = "\n".join(" ".join(b.split()) for b in p.body if b.strip())
-    return p.meta.get("og:title") or title, p.meta.get("og:site_name"), p.dates, body or None
+        return None, None, None, None, [], None
+    meta: dict[str, str] = {}
+    dates, title, body, linked = [], [], [], None
+    aside = paragraph = 0
+    in_title = False
+    for kind, what, attrs in events(html):
+        if kind == TEXT:
+            if linked is not None:
+                linked.append(what)
+            elif not aside:
+                title += [what] if in_title else []
+                body += [what] if paragraph else []
+        elif what == "script" and (linked is not None if kind == CLOSE else attrs.get("type", "").lower() == "application/ld+json"):
+            dates += _dates_of_json("".join(linked)) if kind == CLOSE else []
+            linked = None if kind == CLOSE else []
+        elif what in ASIDE:
+            aside = max(0, aside + (1 if kind == OPEN else -1))
+        elif kind == CLOSE:
+            in_title = in_title and what != "title"
+            if what == "p" and paragraph:
+                paragraph -= 1
+                body.append(" ")
+        elif aside:
+            continue
+        elif what == "meta" and attrs.get("content"):
+            name = (attrs.get("property") or attrs.get("name") or "").lower()
+            meta[name] = attrs["content"]
+            dates += [attrs["content"]] if name in DATE_META else []
+        elif what == "time":
+            dates += [attrs["datetime"]] if attrs.get("datetime") else []
+        elif what == "title":
+            in_title = True
+        elif what == "p":
+            paragraph += 1
+            body.append(" ")
+    at, offset = next((t for t in map(stated_time, dates) if t), (None, None))
+    name = lambda parts: collapsed(parts) or None
+    return name([meta.get("og:title") or "".join(title)]), name([meta.get("og:site_name", "")]), at, offset, dates, collapsed(body)
 
 
 @pandas_udf(StringType())
@@ -159,14 +168,15 @@ def strip_html(s: pd.Series) -> pd.Series:
     return s.map(text_of)
 
 
-def strip_html_within(tag: str, token: str):
+def strip_html_within(tag: str, token: str, attribute: str = "class"):
     @pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: regions_of(t, tag, token))
+        return s.map(lambda t: regions_of(t, tag, token, attribute))
 
     return run
 
 
 @pandas_udf(PAGE)
 def extract_page(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([page_of(t) for t in s], columns=["title", "site_name", "dates", "body"])
+    out = pd.DataFrame([page_of(t) for t in s], columns=["title", "site_name", "published_at", "offset_minutes", "dates", "body"])
+    return out.assign(published_at=pd.to_datetime(out["published_at"], utc=True), offset_minutes=out["offset_minutes"].astype("Int32"))

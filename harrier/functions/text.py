@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,23 +30,46 @@ def collapse(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, BLANKS, " "))
 
 
-def _form(kind: str, fold: bool):
+def _form(kind: str | None, folded: bool):
     @pandas_udf(StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield s.map(lambda t: None if t is None else (unicodedata.normalize(kind, t).casefold() if fold else unicodedata.normalize(kind, t)))
+            yield s.map(lambda t: None if t is None else (lambda x: x.casefold() if folded else x)(unicodedata.normalize(kind, t) if kind else t))
 
     return run
 
 
+def _only(c: Column, needed: Column, udf) -> Column:
+    """udf of c where it is needed; other rows send it a null, not their text."""
+    return F.when(needed, udf(F.when(needed, c))).otherwise(c)
+
+
 def nfc(c: Column) -> Column:
     """NFC, with the UDF only where a text has a character beyond Latin-1 letters that could compose."""
-    return F.when(c.rlike(r"[̀-￿]"), _form("NFC", False)(c)).otherwise(c)
+    return _only(c, c.rlike(r"[̀-￿]"), _form("NFC", False))
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC; ASCII is its own form."""
+    return _only(c, c.rlike(r"[^\x00-\x7F]"), _form("NFKC", False))
+
+
+@lru_cache(maxsize=1)
+def _folds_apart() -> str:
+    """The characters whose case folding is not their lower case, sigma and its final form among them; by rule."""
+    odd = [chr(i) for i in range(0x110000) if 0xFF < i and not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i).lower()]
+    return "[Σ" + re.escape("".join(odd)) + "]"
+
+
+def latin_fold(c: Column) -> Column:
+    """Case folding of Latin-1 text: lower case, sharp s as ss. The form for lambdas, where no UDF can stand."""
+    return F.replace(F.translate(F.lower(c), "µ", "μ"), F.lit("ß"), F.lit("ss"))
 
 
 def fold(c: Column) -> Column:
-    """Case folding for Latin text: lower case and sharp s as ss."""
-    return F.regexp_replace(F.lower(c), "ß", "ss")
+    """Case folding: that of Latin text, and the UDF for texts with any other character that folds further."""
+    odd = c.rlike(r"[^\x00-\xFF]") & c.rlike(_folds_apart())
+    return F.when(odd, _form(None, True)(F.when(odd, c))).otherwise(latin_fold(c))
 
 
 def content_hash(title: Column, body: Column) -> Column:
@@ -56,27 +81,44 @@ def hash_holds(title: Column, body: Column, stored: Column) -> Column:
     return F.coalesce((stored != "") & (content_hash(title, body) == stored), F.lit(False))
 
 
+def _decoded(c: Column) -> Column:
+    """A query name or value without its escapes; a percent sign that begins none stays."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _encoded(c: Column) -> Column:
+    """Escaped as in a form: blanks as plus, letters, digits and _.-~ as they are."""
+    return F.regexp_replace(F.regexp_replace(F.url_encode(c), "\\*", "%2A"), "%7E", "~")
+
+
 def canonical_url(u: Column) -> Column:
-    """Scheme and host lower-case, tracking parameters dropped, the rest sorted, no fragment, no trailing slash."""
+    """Scheme and host lower-case, no fragment, no trailing slash; the query's pairs decoded, tracking ones dropped, the
+    rest sorted by name and value and encoded again."""
     u = F.btrim(u)
     head = F.lower(F.regexp_extract(u, r"^([^:/?#]+://[^/?#]*)", 1))
-    path = F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(u, r"^(?:[^:/?#]+://[^/?#]*)?([^?#]*)", 1)
     path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(F.lower(p), F.lit(TRACKING_PREFIX)) & ~F.substring_index(F.lower(p), "=", 1).isin(*TRACKING_NAMES))
-    tail = F.array_join(F.array_sort(pairs), "&")
+
+    def pair(p: Column) -> Column:
+        value = F.when(F.contains(p, F.lit("=")), F.substring(p, F.locate("=", p) + 1, F.length(p))).otherwise(F.lit(""))
+        return F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(value).alias("value"))
+
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    kept = F.filter(pairs, lambda p: ~F.startswith(F.lower(p["name"]), F.lit(TRACKING_PREFIX)) & ~F.lower(p["name"]).isin(*TRACKING_NAMES))
+    tail = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
     return F.concat(head, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")))
 
 
 def masthead_title(title: Column) -> Column:
     """A headline without the publisher's name behind a spaced separator, punctuation removed, folded."""
-    t = F.regexp_replace(title, r"\s+[-|–—]\s+[^-|–—]{1,40}$", "")
+    t = F.regexp_replace(nfkc(title), r"\s[-|–—]\s[^-|–—]{1,40}$", "")
     return fold(collapse(F.regexp_replace(t, r"[^\p{L}\p{N}_\s-]", "")))
 
 
 def title_tokens(title: Column) -> Column:
     """The set of words of a title, sorted; a tail of at most six words behind a dash is dropped."""
-    t = fold(title)
+    t = fold(nfc(title))
     tail = F.regexp_extract(t, r"^(.*) [-–—] (.*)$", 2)
     short = (tail != "") & (F.size(F.split(collapse(tail), " ")) <= 6)
     t = F.when(short, F.regexp_extract(t, r"^(.*) [-–—] (.*)$", 1)).otherwise(t)
@@ -84,18 +126,30 @@ def title_tokens(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
-def shingles(body: Column, size: int = 5) -> Column:
-    """Distinct word n-grams of the folded text; a shorter text is one shingle; none for a blank one."""
-    words = F.filter(F.split(collapse(F.regexp_replace(fold(body), r"[^\p{L}\p{N}_\s]", " ")), " "), lambda w: w != "")
+def _split_words(body: Column) -> Column:
+    return F.filter(F.split(collapse(fold(nfc(body))), " "), lambda w: w != "")
 
+
+def _grams(words: Column, size: int) -> Column:
     def of(w: Column) -> Column:
         n = F.size(w)
         many = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-        return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(w, " "))).otherwise(many)
 
     return let(words, of)
 
 
+def shingles(body: Column, size: int = 5) -> Column:
+    """Distinct word n-grams of the folded text, words being what white space separates; a shorter text is one shingle;
+    none for a blank one."""
+    return F.array_distinct(_grams(_split_words(body), size))
+
+
+def shingle_hashes(body: Column, size: int = 5) -> Column:
+    """The shingles as sorted distinct 64-bit hashes: an eighth of the bytes, and enough to compare two texts."""
+    return F.array_sort(F.array_distinct(F.transform(_grams(_split_words(body), size), lambda g: F.xxhash64(g))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 0 if either set is empty."""
     both = F.size(F.array_intersect(a, b))
@@ -135,9 +189,9 @@ def near_exact_title(t1: Column, t2: Column, p1: Column, p2: Column, least: floa
     return F.coalesce((r >= least) & (r < 100), F.lit(False))
 
 
-def place_form(c: Column) -> Column:
+def place_form(c: Column, folded: Callable[[Column], Column] = fold) -> Column:
     """A place name for look-up: punctuation and symbols blank, folded, collapsed."""
-    return collapse(fold(F.regexp_replace(c, r"[\p{P}\p{S}]", " ")))
+    return collapse(folded(F.regexp_replace(c, r"[\p{P}\p{S}]", " ")))
 
 
 @pandas_udf(StringType())
@@ -169,8 +223,28 @@ def country_code(c: Column) -> Column:
 
 
 def private_text(c: Column) -> Column:
-    """Does a text hold an e-mail address, a telephone number or a run of nine digits?"""
-    return c.rlike(r"[\w.+-]+@[\w-]+\.[\w.-]+") | c.rlike(r"\+?\d[\d ()-]{7,}\d") | c.rlike(r"\d{9,}")
+    """Does a text hold an e-mail address, a telephone number or a run of nine digits? Patterns are fixed values."""
+    return c.rlike(r"[^\s@]+@[^\s@]+\.[^\s@]+") | c.rlike(r"\+\d[\d\s().-]{7,}\d|\b\d[\d\s().-]{8,}\d\b") | c.rlike(r"\d{9,}")
+
+
+def embedding_text(title: Column, body: Column, most: int = 1200) -> Column:
+    """What an embedding is made of: the title and the beginning of the body."""
+    return F.concat(title, F.lit("\n"), F.substring(body, 1, most))
+
+
+def point_text(longitude: Column, latitude: Column) -> Column:
+    """A point as well-known text, null without both coordinates."""
+    return F.when(longitude.isNotNull() & latitude.isNotNull(), F.concat(F.lit("POINT("), longitude.cast("string"), F.lit(" "), latitude.cast("string"), F.lit(")")))
+
+
+def listing(items: Column, line: Callable[[Column, Column], Column]) -> Column:
+    """A numbered list for a prompt: line(item, number from 1) of each item of an array, one to a line."""
+    return F.array_join(F.transform(items, lambda x, i: line(x, (i + 1).cast("string"))), "\n")
+
+
+def spaced(c: Column) -> Column:
+    """An enumeration's name for readers."""
+    return F.replace(c, F.lit("_"), F.lit(" "))
 
 
 def exception_name(c: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: Weight and rank of a location's precision, from fine to coarse.
 PRECISION_WEIGHT = {"place": 1.0, "admin2": 0.75, "admin1": 0.5, "country": 0.25, "unresolved": 0.0}
 PRECISION_RANK = {"place": 4, "admin2": 3, "admin1": 2, "country": 1, "unresolved": 0}
-#: Credibility of a source.
-CREDIBILITY = {"high": 1.0, "medium": 0.8, "low": 0.5, "unknown": 0.2}
+#: Credibility of a source, and its rank among representatives.
+CREDIBILITY = {"official": 1.0, "high": 0.8, "medium": 0.5, "unknown": 0.2}
+CREDIBILITY_RANK = {"official": 3, "high": 2, "medium": 1, "unknown": 0}
 EARTH_KM = 6371.0
 
 
@@ -46,10 +47,23 @@ def gap_days(a: Column, b: Column) -> Column:
     return F.abs(F.unix_micros(a) - F.unix_micros(b)) / 86_400e6
 
 
+def span_gap_days(start: Column, end: Column, o_start: Column, o_end: Column) -> Column:
+    """Days between two spans of time, 0 where they overlap."""
+    apart = F.greatest(F.unix_micros(o_start) - F.unix_micros(end), F.unix_micros(start) - F.unix_micros(o_end), F.lit(0))
+    return apart / 86_400e6
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 86_400_000_000)
 
 
+def catch_up(now: Column, last_end: Column, default_minutes: int, most_minutes: int) -> tuple[Column, Column]:
+    """(start, end) of a polling window: from the last run's end (or the default back from now), at most most_minutes
+    back and never after now."""
+    back = lambda minutes: now - F.make_interval(mins=F.lit(minutes))
+    return F.least(F.greatest(F.coalesce(last_end, back(default_minutes)), back(most_minutes)), now), now
+
+
 def stale_run(status: Column, finished: Column, started: Column, now: Column, poll_minutes: int) -> Column:
     return (status == "running") & finished.isNull() & (F.unix_micros(now) - F.unix_micros(started) > 2 * poll_minutes * 60_000_000)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.functions import timegeo as T
-from harrier.operators.surveillance import MATCH_WEIGHTS
+from harrier.operators.events import MATCH_WEIGHTS
 
 ASSEMBLED = "cluster_id long, decision string, event_id long, score double"
 
@@ -26,7 +26,7 @@ def _km(a: dict, b: dict) -> float:
 
 
 def score(a: dict, b: dict, km: float, days: float) -> float:
-    """The match score of a cluster and an event of the same disease (surveillance.match_scores, one pair at a time)."""
+    """The match score of a cluster and an event of the same disease (events.match_scores, one pair at a time)."""
     rank = min(T.PRECISION_RANK.get(x["precision"], 0) for x in (a, b))
     if rank == 0 or a["country"] is None or a["country"] != b["country"]:
         return 0.0
@@ -40,8 +40,8 @@ def score(a: dict, b: dict, km: float, days: float) -> float:
         if d > km:
             return 0.0
         spatial = max(0.5, 1 - 0.5 * d / km)
-    gap = abs(a["at"] - b["at"]) / 86400
-    weight = min(T.PRECISION_WEIGHT.get(x["precision"], 0.0) for x in (a, b))
+    gap = max(0.0, b["at"] - a["updated"], a["at"] - b["updated"]) / 86400
+    weight = T.PRECISION_WEIGHT.get(a["precision"], 0.0)
     return MATCH_WEIGHTS["disease"] + MATCH_WEIGHTS["spatial"] * spatial + MATCH_WEIGHTS["temporal"] * max(0.0, 1 - gap / days) + MATCH_WEIGHTS["precision"] * weight
 
 
@@ -57,20 +57,19 @@ def _block(now: float, lookback: float, newest: int, threshold: float, km: float
                 s, e = over[0]
                 e["updated"] = max(e["updated"], c["updated"])
                 out.append((c["id"], "attach", e["id"], s))
-            elif over:
-                out.append((c["id"], "refuse", None, max(s for s, _ in over)))
             else:
                 events.append(c | {"kind": "event"})
-                out.append((c["id"], "create", c["id"], 0.0))
+                out.append((c["id"], "refuse" if over else "create", c["id"], max((s for s, _ in over), default=0.0)))
         return pd.DataFrame(out, columns=["cluster_id", "decision", "event_id", "score"]).astype({"event_id": "Int64"})
 
     return run
 
 
 def assemble(clusters: DataFrame, events: DataFrame, now: float, lookback_days: float = 7, newest: int = 20, threshold: float = 0.60, km: float = 50.0, days: float = 90.0) -> DataFrame:
-    """clusters and events: id, identity, country, admin1, admin2, precision, latitude, longitude, at and updated (seconds).
-    A cluster attaches to the one event that reaches the threshold, is refused if several do, and opens an event named by
-    its own id if none does. Clusters without disease or country open events of their own."""
+    """clusters and events: id, identity, country, admin1, admin2, precision, latitude, longitude, at and updated
+    (seconds: first and last time). A cluster attaches to the one event that reaches the threshold. If several do, it is
+    refused, and like one that none matches it opens an event named by its own id. Clusters without disease or country
+    open events of their own."""
     cols = ["id", "identity", "country", "admin1", "admin2", "precision", "latitude", "longitude", "at", "updated"]
     both = clusters.select(*cols, F.lit("cluster").alias("kind")).unionByName(events.select(*cols, F.lit("event").alias("kind")))
     met = both.where("identity IS NOT NULL AND country IS NOT NULL").groupBy("identity", "country").applyInPandas(_block(now, lookback_days * 86400, newest, threshold, km, days), ASSEMBLED)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrier.functions import timegeo as T
+
 ATTEMPTS = "id string, model string, tier int, attempt int, outcome string, reason string, content string, tokens_in long, tokens_out long"
 
 
@@ -52,6 +54,23 @@ def climb(requests: DataFrame, ladder: list[tuple[str, int]], call: Callable[[st
     return requests.select("id", "prompt", "body").mapInPandas(run, ATTEMPTS)
 
 
+def ask(requests: DataFrame, call: Callable[[str, str], tuple[str, int, int]], check: Callable[[str, str], str | None], model: str = "model") -> DataFrame:
+    """One model, with one repair: the climb of a ladder of one rung. call(prompt, fault), check(content, body)."""
+    return climb(requests, [(model, 1)], lambda _, prompt, fault: call(prompt, fault), check)
+
+
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
+    """(key, embedding) of texts in batches of an injected model, vectors at length 1 (a zero vector as it is)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = [v for lo in range(0, len(frame), batch) for v in embed(frame[text].iloc[lo : lo + batch].tolist())]
+            yield pd.DataFrame({key: frame[key], "embedding": [list(map(float, v)) for v in vectors]})
+
+    raw = rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
+    return raw.withColumn("embedding", T.unit(F.col("embedding")))
+
+
 def unsummarized(signals: DataFrame, summaries: DataFrame, key: str = "event_key") -> DataFrame:
     """Per event: articles first seen after its last summary (all of them without one)."""
     last = summaries.groupBy(key).agg(F.max("created_at").alias("_last"))

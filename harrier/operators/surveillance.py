@@ -1,4 +1,4 @@
-"""The stages of the pipeline as set operations: gates, duplicates, stories, events, scores, places, reviews.
+"""The first stages as set operations: gates, duplicates, stories, scores, places, summaries.
 
 Every function takes and returns DataFrames; `now` is always a parameter.
 """
@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
-from harrier.operators.graph import components, flatten_pointers
+from harrier.operators.graph import flatten_pointers, step_table
 from harrier.operators.rangejoin import band_join
 
-#: Weights of the scores and of a match.
+#: Weights of the scores.
 EARLY_WEIGHTS = {"recency": 0.25, "velocity": 0.20, "sources": 0.25, "spread": 0.15, "precision": 0.15}
 EVIDENCE_WEIGHTS = {"official": 0.30, "credibility": 0.25, "observations": 0.20, "consistency": 0.15, "confidence": 0.10}
-MATCH_WEIGHTS = {"disease": 0.30, "spatial": 0.35, "temporal": 0.20, "precision": 0.15}
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -66,27 +65,48 @@ def discover(sightings: DataFrame, stored: DataFrame, blocked: list[str], exclud
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 
+def precedence() -> Column:
+    """The order in which signals come before their duplicates: first seen, published with nulls last, id."""
+    return F.struct("first_seen_at", F.col("published_at").isNull().alias("_undated"), "published_at", "signal_id")
+
+
+def _alike_titles(s: DataFrame, width: float, least: float) -> DataFrame:
+    """Pairs (signal_id < o_signal_id) of (signal_id, tokens, t) whose token sets are alike. They meet in a band of time by
+    a token of a prefix that alike sets must share, the rarest tokens first."""
+    tokens = s.select("signal_id", "t", F.size("tokens").alias("n"), F.explode("tokens").alias("k"))
+    rare = tokens.groupBy("k").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("signal_id").orderBy("df", "k"))
+    prefix = tokens.join(rare, "k").withColumn("_r", rank).where(F.col("_r") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1).select("k", "signal_id", "t", "n")
+    other = prefix.select("k", F.col("signal_id").alias("o_signal_id"), F.col("t").alias("o_t"), F.col("n").alias("o_n"))
+    fits = f"signal_id < o_signal_id AND least(n, o_n) >= {least} * greatest(n, o_n) - 1e-9"
+    met = band_join(prefix, other, "t", "o_t", width, ["k"]).where(fits).select("signal_id", "o_signal_id").distinct()
+    sets = s.select("signal_id", "tokens")
+    both = met.join(sets, "signal_id").join(sets.select(F.col("signal_id").alias("o_signal_id"), F.col("tokens").alias("o_tokens")), "o_signal_id")
+    return both.where(X.jaccard(F.col("tokens"), F.col("o_tokens")) >= least).select("signal_id", "o_signal_id")
+
+
 def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float = 0.9, body_at_least: float = 0.8, near_exact: bool = True) -> DataFrame:
-    """(signal_id, other_id) where other is the same by hash at any age, or within hours by a near-exact title (see
-    near_exact_pairs; needs title and published_at) or by title tokens and body shingles. Titles meet in a band of time by a token of a prefix that alike titles must share; bodies are only fetched,
-    and cut into shingles, for the pairs whose titles are alike."""
-    s = signals.select("signal_id", "content_hash", "tokens", T.seconds(F.col("first_seen_at")).alias("t"))
-    o = s.select(*[F.col(c).alias(f"o_{c}") for c in s.columns])
-    exact = s.join(o, F.col("content_hash") == F.col("o_content_hash")).where("signal_id <> o_signal_id").select("signal_id", F.col("o_signal_id").alias("other_id"))
-    prefix = lambda p: F.explode(F.slice(F.col(f"{p}tokens"), F.lit(1), F.floor(F.size(f"{p}tokens") * (1 - title_at_least) + 1e-9).cast("int") + 1))
-    a, b = s.where("size(tokens) > 0").withColumn("k", prefix("")), o.where("size(o_tokens) > 0").withColumn("k", prefix("o_"))
-    alike = band_join(a.drop("content_hash"), b.drop("o_content_hash"), "t", "o_t", hours * 3600.0, ["k"]).where("signal_id < o_signal_id")
-    alike = alike.where(X.jaccard(F.col("tokens"), F.col("o_tokens")) >= title_at_least).select("signal_id", "o_signal_id").distinct()
-    text = signals.select("signal_id", "raw_text")
-    both = alike.join(text, "signal_id").join(text.select(F.col("signal_id").alias("o_signal_id"), F.col("raw_text").alias("o_text")), "o_signal_id")
-    near = both.where(X.jaccard(X.shingles(F.col("raw_text")), X.shingles(F.col("o_text"))) >= body_at_least)
-    near = near.select("signal_id", "o_signal_id")
+    """(signal_id, other_id), in both directions, where other is the same by hash at any age, or within hours by a
+    near-exact title (see near_exact_pairs; needs title and published_at) or by title tokens and body shingles.
+
+    Of the signals of one hash, each is paired with the one that precedes all others, not with every other: that is the
+    one that they are copies of. Bodies are only read for signals with an alike title, and cut into shingles once."""
+    spark = signals.sparkSession
+    s = step_table(spark, signals.select("signal_id", "content_hash", "tokens", "first_seen_at", "published_at", T.seconds(F.col("first_seen_at")).alias("t")), "signals")
+    first = s.groupBy("content_hash").agg(F.min(precedence()).alias("f"), F.count("*").alias("n")).where("n > 1").select("content_hash", F.col("f.signal_id").alias("other_id"))
+    exact = s.join(first, "content_hash").where("signal_id <> other_id").select("signal_id", F.col("other_id").alias("o_signal_id"))
+    alike = step_table(spark, _alike_titles(s.where("size(tokens) > 0").select("signal_id", "tokens", "t"), hours * 3600.0, title_at_least), "alike")
+    wanted = alike.selectExpr("explode(array(signal_id, o_signal_id)) AS signal_id").distinct()
+    bodies = step_table(spark, signals.select("signal_id", "raw_text").join(wanted, "signal_id", "left_semi").select("signal_id", X.shingle_hashes(F.col("raw_text")).alias("grams")), "grams")
+    both = alike.join(bodies, "signal_id").join(bodies.select(F.col("signal_id").alias("o_signal_id"), F.col("grams").alias("o_grams")), "o_signal_id")
+    near = both.where(X.jaccard(F.col("grams"), F.col("o_grams")) >= body_at_least).select("signal_id", "o_signal_id")
     if near_exact:
         t = s.select("signal_id", "t")
         met = near_exact_pairs(signals).join(t, "signal_id").join(t.select(F.col("signal_id").alias("o_signal_id"), F.col("t").alias("o_t")), "o_signal_id")
         near = near.unionByName(met.where(F.abs(F.col("t") - F.col("o_t")) <= hours * 3600.0).select("signal_id", "o_signal_id"))
-    turned = near.select(F.explode(F.array(F.struct("signal_id", F.col("o_signal_id").alias("other_id")), F.struct(F.col("o_signal_id").alias("signal_id"), F.col("signal_id").alias("other_id")))).alias("e")).select("e.*")
-    return exact.unionByName(turned).distinct()
+    pairs = near.unionByName(exact)
+    turned = F.explode(F.array(F.struct("signal_id", F.col("o_signal_id").alias("other_id")), F.struct(F.col("o_signal_id").alias("signal_id"), F.col("signal_id").alias("other_id"))))
+    return pairs.select(turned.alias("e")).select("e.*").distinct()
 
 
 def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
@@ -106,8 +126,7 @@ def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -
 def resolve_duplicates(spark: SparkSession, signals: DataFrame, pairs: DataFrame) -> DataFrame:
     """(signal_id, primary_id): each signal's earliest match that precedes it (first seen, published with nulls last, id),
     followed to the root; a signal without one is its own primary."""
-    rank = F.struct("first_seen_at", F.col("published_at").isNull(), "published_at", "signal_id")
-    ranked = signals.select("signal_id", rank.alias("rank"))
+    ranked = signals.select("signal_id", precedence().alias("rank"))
     met = pairs.join(ranked, "signal_id").join(ranked.select(F.col("signal_id").alias("other_id"), F.col("rank").alias("o_rank")), "other_id")
     parent = met.where("o_rank < rank").groupBy("signal_id").agg(F.min_by("other_id", "o_rank").alias("parent"))
     roots = flatten_pointers(spark, ranked.select("signal_id").join(parent, "signal_id", "left"), "signal_id", "parent")
@@ -117,14 +136,38 @@ def resolve_duplicates(spark: SparkSession, signals: DataFrame, pairs: DataFrame
 # --- stories ---------------------------------------------------------------------------------------------------------
 
 
+def sessions(rows: DataFrame, keys: list[str], time: str, order: list[str], gap_seconds: float) -> DataFrame:
+    """Adds session (from 1, per key): a gap of more than gap_seconds opens the next."""
+    w = Window.partitionBy(*keys).orderBy(time, *order)
+    new = F.coalesce((F.unix_micros(time) - F.unix_micros(F.lag(time).over(w)) > gap_seconds * 1e6).cast("int"), F.lit(1))
+    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+
+
+def representative_order() -> Column:
+    """The best first: official, credible, seen early, least id."""
+    rank = T.lookup(F.col("credibility"), T.CREDIBILITY_RANK, 0)
+    return F.struct((~F.col("is_official")).cast("int").alias("a"), (-rank).alias("b"), F.col("first_seen_at").alias("c"), F.col("signal_id").alias("d"))
+
+
 def story_chains(signals: DataFrame, window_days: int = 1) -> DataFrame:
     """Adds chain (from 1, per rule group and country): a gap of more than window_days whole days opens the next. Null
-    keys form one group. Adds is_representative: official, credible, early, least id."""
-    w = Window.partitionBy("rule_group", "country").orderBy("first_seen_at", "signal_id")
-    gap = T.whole_days(F.col("first_seen_at"), F.lag("first_seen_at").over(w))
-    chained = signals.withColumn("_new", F.coalesce((gap > window_days).cast("int"), F.lit(1))).withColumn("chain", F.sum("_new").over(w)).drop("_new")
-    best = Window.partitionBy("rule_group", "country", "chain").orderBy(F.desc("is_official"), F.desc(T.lookup(F.col("credibility"), T.CREDIBILITY, 0.0)), "first_seen_at", "signal_id")
-    return chained.withColumn("is_representative", F.row_number().over(best) == 1)
+    keys form one group. Adds is_representative: official, credible, early, least id.
+
+    Times are cut into spans of window_days + 1 days. Within one, no gap is long enough, so chains break between spans
+    only: the window runs over a key's spans, whose number time bounds, not over its signals."""
+    if not 1 <= window_days <= 2:
+        raise ValueError("window_days is 1 or 2")
+    day, keys = 86_400_000_000, ["rule_group", "country", "_span"]
+    s = signals.withColumn("_span", F.floor(F.unix_micros("first_seen_at") / ((window_days + 1) * day)))
+    spans = s.groupBy(*keys).agg(F.min("first_seen_at").alias("_from"), F.max("first_seen_at").alias("_to"))
+    along = Window.partitionBy("rule_group", "country").orderBy("_span")
+    new = F.coalesce((T.whole_days(F.col("_from"), F.lag("_to").over(along)) > window_days).cast("int"), F.lit(1))
+    spans = spans.withColumn("_new", new).withColumn("chain", F.sum("_new").over(along))
+    same = lambda names: reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names])
+    chained = s.alias("s").join(spans.alias("o"), same(keys)).select(*[f"s.{c}" for c in signals.columns], "o.chain")
+    chain = ["rule_group", "country", "chain"]
+    best = chained.groupBy(*chain).agg(F.min(representative_order()).alias("b")).select(*chain, F.col("b.d").alias("_best"))
+    return chained.alias("s").join(best.alias("o"), same(chain)).select(*[f"s.{c}" for c in signals.columns], "s.chain", (F.col("s.signal_id") == F.col("o._best")).alias("is_representative"))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
@@ -158,58 +201,12 @@ def evidence_scores(signals: DataFrame, key: str = "event_key") -> DataFrame:
         "observations": T.saturate(F.col("_n"), 3),
         "consistency": F.when(F.col("_n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce("_drop", F.lit(0.0)) / (F.col("_n") - 1))),
         "confidence_score": F.coalesce("_conf", F.lit(0.5)),
-        "verification": F.when(F.col("_official") == 1, "official").when(F.col("_high") == 1, "reliable_media").otherwise("signal"),
+        "verification": F.when(F.col("_official") == 1, "officially_confirmed").when(F.col("_high") == 1, "high_credibility").otherwise("signal"),
     })
     parts = {"official": F.col("_official"), "credibility": F.col("credibility_score"), "observations": F.col("observations"), "consistency": F.col("consistency"), "confidence": F.col("confidence_score")}
     return g.withColumn("evidence_score", T.clamp(sum(parts[k] * v for k, v in EVIDENCE_WEIGHTS.items()))).drop("_official", "_conf", "_high", "_n", "_drop")
 
 
-# --- clusters and events ---------------------------------------------------------------------------------------------
-
-_PLACE = ("country", "admin1", "admin2", "latitude", "longitude", "precision")
-
-
-def clusterable(signals: DataFrame) -> DataFrame:
-    d = signals.withColumn("identity", X.disease_identity(F.col("disease_id"), F.col("disease_text"))).withColumn("at", F.coalesce("published_at", "first_seen_at"))
-    return d.withColumn("place", F.struct(*_PLACE)).withColumn("clusterable", F.col("identity").isNotNull() & F.col("country").isNotNull() & (F.col("precision") != "unresolved"))
-
-
-def cluster(spark: SparkSession, signals: DataFrame, window_days: int = 7, km: float = 50.0) -> DataFrame:
-    """(signal_id, cluster_id): single link over signals of one disease whose times and places agree; the least id of a
-    cluster names it, null where a signal cannot be clustered. Pairs meet by disease, country and a band of days only."""
-    c = clusterable(signals)
-    a = c.where("clusterable").select("identity", "country", "signal_id", "place", T.seconds(F.col("at")).alias("t"))
-    b = a.select("identity", "country", F.col("signal_id").alias("o_id"), F.col("place").alias("o_place"), F.col("t").alias("o_t"))
-    edges = band_join(a, b, "t", "o_t", window_days * 86400.0, ["identity", "country"]).where("signal_id < o_id").where(T.spatially_compatible("place", "o_place", km))
-    found = components(spark, edges.select(F.col("signal_id").alias("a"), F.col("o_id").alias("b")))
-    own = F.when(F.col("clusterable"), F.coalesce("component", "signal_id"))
-    return c.select("signal_id", "clusterable").join(found.withColumnRenamed("node", "signal_id"), "signal_id", "left").select("signal_id", own.alias("cluster_id"))
-
-
-def match_scores(pairs: DataFrame, km: float = 50.0, days: float = 90.0) -> DataFrame:
-    """Pairs with identity/o_identity, place/o_place and at/o_at: score of the match, 0 if disease or place disagree, and
-    the first reason against it."""
-    near = T.haversine_km(*[F.col(f"{p}.{c}") for p in ("place", "o_place") for c in ("latitude", "longitude")])
-    shared = F.least(*[T.lookup(F.col(f"{p}.precision"), T.PRECISION_RANK, 0) for p in ("place", "o_place")])
-    weight = F.least(*[T.lookup(F.col(f"{p}.precision"), T.PRECISION_WEIGHT, 0.0) for p in ("place", "o_place")])
-    same = F.coalesce(F.col("identity") == F.col("o_identity"), F.lit(False))
-    fits = T.spatially_compatible("place", "o_place", km)
-    spatial = F.when(shared == 4, F.greatest(F.lit(0.5), 1 - 0.5 * near / km)).when(shared == 3, 0.75).when(shared == 2, 0.5).otherwise(0.25)
-    gap = T.gap_days(F.col("at"), F.col("o_at"))
-    score = MATCH_WEIGHTS["disease"] + MATCH_WEIGHTS["spatial"] * spatial + MATCH_WEIGHTS["temporal"] * F.greatest(F.lit(0.0), 1 - gap / days) + MATCH_WEIGHTS["precision"] * weight
-    veto = F.coalesce(F.col("place.admin1") != F.col("o_place.admin1"), F.lit(False))
-    reason = F.when(~same, "disease").when(veto, "admin1").when(gap > days, "time").when(~fits, "distance")
-    return pairs.withColumn("score", F.when(same & fits, score).otherwise(0.0)).withColumn("reason", reason)
-
-
-def decide(scored: DataFrame, key: str, threshold: float = 0.60, review: float | None = None) -> DataFrame:
-    """One match attaches, two or more are refused, one in the review band is ambiguous, none creates."""
-    over = F.col("score") >= threshold
-    band = (~over & (F.col("score") >= review)) if review is not None else F.lit(False)
-    g = scored.groupBy(key).agg(F.count_if(over).alias("n_over"), F.count_if(band).alias("n_band"), F.max_by("event_id", F.when(over, F.col("score"))).alias("best"))
-    return g.withColumn("decision", F.when(F.col("n_over") == 1, "attach").when(F.col("n_over") > 1, "refuse").when(F.col("n_band") == 1, "ambiguous").otherwise("create")).withColumn("event_id", F.when(F.col("decision") == "attach", F.col("best"))).drop("best")
-
-
 # --- places ----------------------------------------------------------------------------------------------------------
 
 
@@ -221,44 +218,7 @@ def centroids(places: DataFrame) -> DataFrame:
     return g.withColumn("level", level).where("level = 'country' OR (level = 'admin1' AND admin1 IS NOT NULL) OR (admin1 IS NOT NULL AND admin2 IS NOT NULL)").drop("_g")
 
 
-def geocode(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """queries (query_id, name, country, admin1) against gazetteer (place_id, name, ascii_name, alternates, country,
-    admin1, latitude, longitude): exact, then ASCII, then alternate names, each within the stated scope. Two places for
-    a form end the search: what is ambiguous is never guessed, but coarsened to the unit's or the country's mean."""
-    q = queries.withColumn("k_exact", X.place_form(F.col("name"))).withColumn("k_ascii", X.ascii_form(F.col("name")))
-    scope = (F.col("q.country").isNull() | (F.col("q.country") == F.col("g.country"))) & (F.col("q.admin1").isNull() | (F.col("q.admin1") == F.col("g.admin1")))
-    place = F.struct("g.latitude", "g.longitude", "g.country", "g.place_id")
-
-    def matched(form: str, g: DataFrame, left: str) -> DataFrame:
-        m = q.alias("q").join(g.alias("g"), (F.col(f"q.{left}") == F.col("g.k")) & scope)
-        return m.groupBy("q.query_id").agg(F.countDistinct("g.place_id").alias(f"n_{form}"), F.min_by(place, F.col("g.place_id")).alias(f"p_{form}"))
-
-    base = gazetteer.select("place_id", "country", "admin1", "latitude", "longitude", "name", "ascii_name", "alternates")
-    out = q
-    for form, g, left in (
-        ("exact", base.withColumn("k", X.place_form(F.col("name"))), "k_exact"),
-        ("ascii", base.withColumn("k", F.col("ascii_name")), "k_ascii"),
-        ("alternate", base.withColumn("k", F.explode("alternates")), "k_exact"),
-    ):
-        out = out.join(matched(form, g, left), "query_id", "left")
-    n = {f: F.coalesce(F.col(f"n_{f}"), F.lit(0)) for f in ("exact", "ascii", "alternate")}
-    form = F.when(n["exact"] > 0, F.when(n["exact"] == 1, "exact")).when(n["ascii"] > 0, F.when(n["ascii"] == 1, "ascii")).when(n["alternate"] == 1, "alternate")
-    ambiguous = (n["exact"] > 1) | ((n["exact"] == 0) & (n["ascii"] > 1)) | ((n["exact"] == 0) & (n["ascii"] == 0) & (n["alternate"] > 1))
-    means = centroids(gazetteer.withColumn("admin2", F.lit(None).cast("string")))
-    unit = means.where("level = 'admin1'").select("country", "admin1", F.struct("latitude", "longitude").alias("c1"))
-    land = means.where("level = 'country'").select("country", F.struct("latitude", "longitude").alias("c0"))
-    out = out.withColumn("form", form).withColumn("ambiguous", ambiguous).join(unit, ["country", "admin1"], "left").join(land, "country", "left")
-    found = F.when(F.col("form") == "exact", F.col("p_exact")).when(F.col("form") == "ascii", F.col("p_ascii")).when(F.col("form") == "alternate", F.col("p_alternate"))
-    precision = F.when(F.col("form").isNotNull(), "place").when(F.col("c1").isNotNull(), "admin1").when(F.col("c0").isNotNull(), "country").otherwise("unresolved")
-    out = out.withColumn("precision", precision).withColumn("_p", found)
-    return out.select(
-        "query_id", "form", "ambiguous", "precision", F.col("_p.place_id").alias("place_id"),
-        F.coalesce("_p.latitude", "c1.latitude", "c0.latitude").alias("latitude"), F.coalesce("_p.longitude", "c1.longitude", "c0.longitude").alias("longitude"),
-        T.geocode_confidence(F.col("precision"), F.col("form")).alias("confidence"),
-    )
-
-
-# --- summaries, ledger, reviews --------------------------------------------------------------------------------------
+# --- summaries, model checks ------------------------------------------------------------------------------------------
 
 
 def pick_sources(articles: DataFrame, k: int, key: str = "event_key") -> DataFrame:
@@ -277,41 +237,6 @@ def should_resummarize(last: Column, latest: Column, same_counts: Column, new_ar
     return last.isNull() | (latest.isNotNull() & ~same_counts) | (new_articles >= articles) | (F.unix_micros(now) - F.unix_micros(last) > hours * 3_600_000_000)
 
 
-def validate_extraction(df: DataFrame, content: str, body: str, least_confidence: float = 0.6) -> DataFrame:
-    """reason: the first check that an extraction fails (not_json, shape, arithmetic, ungrounded, empty, private, low
-    confidence), or null. Unknown keys are a fault of shape."""
-    schema = "struct<confidence:double,suspected:bigint,confirmed:bigint,total:bigint,deaths:bigint,span:string,disease:string>"
-    c = F.from_json(content, schema)
-    keys = F.json_object_keys(content)
-    legal = F.array(*[F.lit(k) for k in ("confidence", "suspected", "confirmed", "total", "deaths", "span", "disease")])
-    flat = lambda x: X.fold(X.collapse(x))
-    bad = (c["deaths"] > c["total"]) | (c["confirmed"] > c["total"]) | (c["suspected"] < 0) | (c["deaths"] < 0)
-    reason = (
-        F.when(keys.isNull(), "not_json")
-        .when((F.size(F.array_except(keys, legal)) > 0) | c["confidence"].isNull(), "shape")
-        .when(F.coalesce(bad, F.lit(False)), "arithmetic")
-        .when(c["span"].isNotNull() & ~F.contains(flat(F.coalesce(F.col(body), F.lit(""))), flat(c["span"])), "ungrounded")
-        .when(c["disease"].isNull() & c["total"].isNull() & c["deaths"].isNull(), "empty")
-        .when(X.private_text(F.coalesce(c["disease"], F.lit(""))), "private")
-        .when(c["confidence"] < least_confidence, "low_confidence")
-    )
-    return df.withColumn("reason", reason)
-
-
-#: Which resolutions close which kind of review case.
-ALLOWED = {"retrieval": ["retry", "discard"], "dedupe": ["mark_duplicate", "keep"], "match": ["attach", "create_event", "discard"], "extraction": ["retry", "discard", "accept"]}
-
-
-def resolve_reviews(cases: DataFrame, commands: DataFrame) -> DataFrame:
-    """cases (case_id, reason, state, version), commands (case_id, action, version): closed, refused (not allowed for the
-    reason, or already closed), stale (another version) or untouched."""
-    matrix = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    j = cases.join(commands.select("case_id", "action", F.col("version").alias("seen")), "case_id", "left")
-    legal = F.array_contains(matrix[F.col("reason")], F.col("action"))
-    outcome = F.when(F.col("action").isNull(), "untouched").when(F.col("state") != "open", "refused").when(F.col("seen") != F.col("version"), "stale").when(legal, "closed").otherwise("refused")
-    return j.withColumn("outcome", outcome).withColumn("new_state", F.when(F.col("outcome") == "closed", "resolved").otherwise(F.col("state"))).withColumn("new_version", F.col("version") + (F.col("outcome") == "closed").cast("int"))
-
-
 def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     """tp, fp, tn, fn, accuracy and recall of 0/1 columns; a rate over nothing is 0."""
     p, a = F.col(predicted) == 1, F.col(actual) == 1

@@ -8,27 +8,19 @@ from pyspark.sql import functions as F
 from harrier.functions import html as H
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
+from harrier.operators import events as E
+from harrier.operators import places as P
+from harrier.operators import reviews as V
 from harrier.operators import surveillance as S
 from harrier.plans import domain as D
 from harrier.plans import read_models as R
+from harrier.plans.registry import query
 from harrier.sources import sinks as K
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 _W = f"WITH {D.SIGNALS_SQL}"
 _AT = "coalesce(published_s, first_seen_s)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _squash(c: str) -> str:
     return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
@@ -42,10 +34,11 @@ _TITLE_WORDS = r"list_sort(list_distinct(list_filter(string_split(trim(regexp_re
 r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY first_seen_s, published_s NULLS LAST, signal_id) AS n FROM h)
 SELECT source, count(*) AS n_signals, count(*) FILTER (n = 1) AS n_primary, count(*) FILTER (n > 1) AS n_duplicate FROM r GROUP BY source""")
 def exact_duplicates_by_source(spark: SparkSession, d: str) -> DataFrame:
-    s = D.signals(spark, d).select("signal_id", "source", "first_seen_s", "published_s", X.content_hash(F.col("title"), F.col("raw_text")).alias("hash"))
-    best = s.groupBy("hash").agg(F.min(F.struct("first_seen_s", F.col("published_s").isNull(), "published_s", "signal_id")).alias("b")).select("hash", "b.signal_id").withColumn("primary", F.lit(1))
-    j = s.join(best, ["hash", "signal_id"], "left")
-    return j.groupBy("source").agg(F.count("*").alias("n_signals"), F.count("primary").alias("n_primary"), F.count_if(F.col("primary").isNull()).alias("n_duplicate"))
+    hash_ = X.content_hash(F.col("title"), F.col("raw_text")).alias("hash")
+    rank = F.struct("first_seen_s", F.col("published_s").isNull().alias("undated"), "published_s", "signal_id")
+    counted = D.signals(spark, d).select("source", hash_, rank.alias("rank")).groupBy("hash", "source").agg(F.count("*").alias("n"), F.min("rank").alias("best"))
+    led = counted.withColumn("primary", (F.col("best") == F.min("best").over(Window.partitionBy("hash"))).cast("int"))
+    return led.groupBy("source").agg(F.sum("n").alias("n_signals"), F.sum("primary").alias("n_primary"), F.sum(F.col("n") - F.col("primary")).alias("n_duplicate"))
 
 
 @query(f"""{_W}, s AS (SELECT * FROM signals WHERE length(trim(raw_text)) > 0)
@@ -66,9 +59,10 @@ def radar(spark: SparkSession, d: str) -> DataFrame:
 def _events(spark: SparkSession, d: str) -> DataFrame:
     s = D.signals(spark, d)
     scores = S.early_signal_scores(s, D.now()).select("event_key", "early_signal_score")
+    proven = S.evidence_scores(s).select("event_key", "verification")
     first = F.struct("first_seen_s", "signal_id")
     e = s.groupBy("event_key").agg(F.min_by("title", first).alias("title"), F.min_by(F.coalesce("disease_id", F.lit("none")), first).alias("disease"), F.min_by("country", first).alias("country"), F.min_by("admin1", first).alias("admin1"), F.max(F.coalesce("published_s", "first_seen_s")).alias("last_s"), F.count("*").alias("n_articles"))
-    return e.withColumn("status", F.when(F.col("event_key") % 3 == 0, "closed").otherwise("active")).withColumn("last_updated_at", F.timestamp_seconds("last_s")).join(scores, "event_key", "left")
+    return e.withColumn("status", F.when(F.col("event_key") % 3 == 0, "closed").otherwise("active")).withColumn("last_updated_at", F.timestamp_seconds("last_s")).join(scores, "event_key", "left").join(proven, "event_key", "left")
 
 
 _SCORES = f"""p AS (SELECT *, {_AT} AS t, CASE precision WHEN 'place' THEN 1.0 WHEN 'admin2' THEN 0.75 WHEN 'admin1' THEN 0.5 WHEN 'country' THEN 0.25 ELSE 0.0 END AS w FROM signals),
@@ -85,9 +79,9 @@ def early_signal_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_W}, cnt AS (SELECT *, lag(total_cases) OVER (PARTITION BY event_key ORDER BY {_AT}, signal_id) AS prev FROM signals WHERE total_cases IS NOT NULL),
 dr AS (SELECT event_key, count(*) AS n, coalesce(sum(CASE WHEN prev > 0 THEN greatest(0, (prev - total_cases) / prev) END), 0) AS drop_ FROM cnt GROUP BY event_key),
-g AS (SELECT event_key, max(CAST(is_official AS INT)) AS o, max(CASE credibility WHEN 'high' THEN 1.0 WHEN 'medium' THEN .8 WHEN 'low' THEN .5 ELSE .2 END) AS cred, avg(CAST(confidence AS DOUBLE)) AS conf, max(CAST(credibility = 'high' AS INT)) AS hi FROM signals GROUP BY event_key),
+g AS (SELECT event_key, max(CAST(is_official AS INT)) AS o, max(CASE credibility WHEN 'official' THEN 1.0 WHEN 'high' THEN .8 WHEN 'medium' THEN .5 ELSE .2 END) AS cred, avg(CAST(confidence AS DOUBLE)) AS conf, max(CAST(credibility = 'high' AS INT)) AS hi FROM signals GROUP BY event_key),
 e AS (SELECT event_key, o, cred, hi, conf, 1 - exp(-coalesce(n, 0) / 3.0) AS obs, CASE WHEN coalesce(n, 0) < 2 THEN 1.0 ELSE greatest(0, 1 - drop_ / (n - 1)) END AS cons FROM g LEFT JOIN dr USING (event_key))
-SELECT event_key, round(CAST(cred AS DOUBLE), 6) AS credibility_score, round(obs, 6) AS observations, round(cons, 6) AS consistency, round(conf, 6) AS confidence_score, CASE WHEN o = 1 THEN 'official' WHEN hi = 1 THEN 'reliable_media' ELSE 'signal' END AS verification, round(least(1, greatest(0, .3 * o + .25 * cred + .2 * obs + .15 * cons + .1 * conf)), 6) AS evidence_score FROM e""")
+SELECT event_key, round(CAST(cred AS DOUBLE), 6) AS credibility_score, round(obs, 6) AS observations, round(cons, 6) AS consistency, round(conf, 6) AS confidence_score, CASE WHEN o = 1 THEN 'officially_confirmed' WHEN hi = 1 THEN 'high_credibility' ELSE 'signal' END AS verification, round(least(1, greatest(0, .3 * o + .25 * cred + .2 * obs + .15 * cons + .1 * conf)), 6) AS evidence_score FROM e""")
 def evidence_scores(spark: SparkSession, d: str) -> DataFrame:
     g = S.evidence_scores(D.signals(spark, d))
     return g.select("event_key", "verification", *[F.round(c, 6).alias(c) for c in ("credibility_score", "observations", "consistency", "confidence_score", "evidence_score")])
@@ -97,20 +91,24 @@ _EVENTS = f"""f AS (SELECT event_key, arg_min(title, (first_seen_s, signal_id))
 events_ AS (SELECT f.*, CASE WHEN event_key % 3 = 0 THEN 'closed' ELSE 'active' END AS status, early_signal_score FROM f JOIN early USING (event_key))"""
 
 
-@query(f"{_W}, {_SCORES}, {_EVENTS} SELECT event_key, title, disease, country, status, last_s, n_articles FROM events_ WHERE status = 'active' AND lower(disease) = 'd1' AND last_s >= {D.EPOCH} AND last_s < {D.NOW} ORDER BY early_signal_score DESC NULLS LAST, last_s DESC, event_key LIMIT 20")
+_VERIFIED = "v AS (SELECT event_key, CASE WHEN bool_or(is_official) THEN 'officially_confirmed' WHEN bool_or(credibility = 'high') THEN 'high_credibility' ELSE 'signal' END AS verification FROM signals GROUP BY event_key)"
+
+
+@query(f"""{_W}, {_SCORES}, {_EVENTS}, {_VERIFIED}, k AS (SELECT * FROM events_ JOIN v USING (event_key) WHERE status = 'active' AND lower(disease) = 'd1' AND admin1 ILIKE '%a1%' AND verification = 'signal' AND last_s >= {D.EPOCH} AND last_s < {D.NOW})
+SELECT event_key, title, disease, country, status, verification, last_s, n_articles, (SELECT count(*) FROM k) AS n_total FROM k ORDER BY last_s DESC, event_key DESC LIMIT 3""")
 def event_list(spark: SparkSession, d: str) -> DataFrame:
     at = lambda s: F.timestamp_seconds(F.lit(s))
-    return R.event_list(_events(spark, d), disease="D1", status="active", start=at(D.EPOCH), end=at(D.NOW), limit=20).select("event_key", "title", "disease", "country", "status", "last_s", "n_articles")
+    return R.event_list(_events(spark, d), disease="D1", admin1="a1", status="active", verification="signal", start=at(D.EPOCH), end=at(D.NOW), limit=3).select("event_key", "title", "disease", "country", "status", "verification", "last_s", "n_articles", "n_total")
 
 
-_PLACES = "places AS (SELECT signal_id AS place_id, country, admin1, admin2, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude FROM signals WHERE country IS NOT NULL AND signal_id % 4 <> 1)"
+_PLACES = "places AS (SELECT signal_id AS place_id, country, admin1, admin2, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude FROM signals WHERE country IS NOT NULL)"
 _CENTROIDS = """cen AS (SELECT 'country' AS level, country, NULL AS admin1, NULL AS admin2, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS n_places FROM places GROUP BY country
 UNION ALL SELECT 'admin1', country, admin1, NULL, avg(latitude), avg(longitude), count(*) FROM places WHERE admin1 IS NOT NULL GROUP BY country, admin1
 UNION ALL SELECT 'admin2', country, admin1, admin2, avg(latitude), avg(longitude), count(*) FROM places WHERE admin1 IS NOT NULL AND admin2 IS NOT NULL GROUP BY country, admin1, admin2)"""
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    return D.signals(spark, d).where("country IS NOT NULL AND signal_id % 4 <> 1").select(F.col("signal_id").alias("place_id"), "country", "admin1", "admin2", "latitude", "longitude")
+    return D.signals(spark, d).where("country IS NOT NULL").select(F.col("signal_id").alias("place_id"), "country", "admin1", "admin2", "latitude", "longitude")
 
 
 @query(f"{_W}, {_PLACES}, {_CENTROIDS} SELECT level, country, admin1, admin2, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, n_places FROM cen")
@@ -118,16 +116,23 @@ def gazetteer_centroids(spark: SparkSession, d: str) -> DataFrame:
     return S.centroids(_places(spark, d)).select("level", "country", "admin1", "admin2", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "n_places")
 
 
-@query(f"""{_W}, {_SCORES}, {_EVENTS}, {_PLACES}, {_CENTROIDS}
-SELECT event_key, CASE WHEN u.latitude IS NOT NULL THEN 'admin1' WHEN c.latitude IS NOT NULL THEN 'country' ELSE 'none' END AS mapped_by, round(coalesce(u.latitude, c.latitude), 6) AS latitude, round(coalesce(u.longitude, c.longitude), 6) AS longitude
-FROM events_ e LEFT JOIN (SELECT * FROM cen WHERE level = 'admin1') u ON e.country = u.country AND e.admin1 = u.admin1 LEFT JOIN (SELECT * FROM cen WHERE level = 'country') c ON e.country = c.country""")
+_NAMED = "CASE event_key % 4 WHEN 0 THEN admin1 WHEN 1 THEN concat('RÉGION ', 6 + event_key % 24) WHEN 2 THEN concat('Region ', 6 + event_key % 24) ELSE 'Nowhere' END"
+
+
+@query(f"""{_W}, {_SCORES}, {_EVENTS}, {D.GAZETTEER_SQL},
+u AS (SELECT country_code, k, arg_min({{'name': name, 'latitude': latitude, 'longitude': longitude}}, geonames_id) AS p FROM (SELECT country_code, geonames_id, name, latitude, longitude, unnest([admin1_code, normalized_name, ascii_name]) AS k FROM gazetteer WHERE precision = 'admin1') GROUP BY country_code, k),
+land AS (SELECT country_code, arg_min({{'latitude': latitude, 'longitude': longitude}}, geonames_id) AS p FROM gazetteer WHERE precision = 'country' GROUP BY country_code),
+e AS (SELECT event_key, country, {_NAMED} AS a FROM events_)
+SELECT event_key, coalesce(u0.p.name, u1.p.name, u2.p.name, a) AS place_name, CASE WHEN coalesce(u0.p, u1.p, u2.p) IS NOT NULL THEN 'admin1' WHEN land.p IS NOT NULL THEN 'country' END AS map_level, coalesce(u0.p.latitude, u1.p.latitude, u2.p.latitude, land.p.latitude) AS latitude, coalesce(u0.p.longitude, u1.p.longitude, u2.p.longitude, land.p.longitude) AS longitude
+FROM e LEFT JOIN u u0 ON u0.country_code = country AND u0.k = a LEFT JOIN u u1 ON u1.country_code = country AND u1.k = lower(a) LEFT JOIN u u2 ON u2.country_code = country AND u2.k = strip_accents(lower(a)) LEFT JOIN land ON land.country_code = country""")
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return R.dashboard(_events(spark, d), S.centroids(_places(spark, d))).select("event_key", "mapped_by", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+    e = _events(spark, d).select("event_key", F.col("country").alias("country_code"), F.expr(_NAMED).alias("admin1"))
+    return P.mapped(e, D.gazetteer(spark, d)).select("event_key", "place_name", "map_level", "latitude", "longitude")
 
 
 @query(f"""{_W}, l AS (SELECT *, lag(first_seen_s) OVER (PARTITION BY rule_group, country ORDER BY first_seen_s, signal_id) AS prev FROM signals),
 n AS (SELECT *, sum(CASE WHEN prev IS NULL OR floor((first_seen_s - prev) / 3600.0) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rule_group, country ORDER BY first_seen_s, signal_id) AS chain FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY rule_group, country, chain ORDER BY is_official DESC, CASE credibility WHEN 'high' THEN 1.0 WHEN 'medium' THEN .8 WHEN 'low' THEN .5 ELSE .2 END DESC, first_seen_s, signal_id) = 1 AS is_representative FROM n)
+r AS (SELECT *, row_number() OVER (PARTITION BY rule_group, country, chain ORDER BY is_official DESC, CASE credibility WHEN 'official' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, first_seen_s, signal_id) = 1 AS is_representative FROM n)
 SELECT signal_id, rule_group, country, CAST(chain AS BIGINT) AS chain, is_representative FROM r""")
 def story_chains(spark: SparkSession, d: str) -> DataFrame:
     # An hour of the tables stands for a day: times are stretched so that gaps of both kinds occur.
@@ -140,11 +145,13 @@ def _duplicate_input(spark: SparkSession, d: str) -> DataFrame:
     return s.select("signal_id", "title", "first_seen_at", "published_at", X.content_hash(F.col("title"), F.col("raw_text")).alias("content_hash"), X.title_tokens(F.col("title")).alias("tokens"), "raw_text")
 
 
-_PAIRS = rf"""w AS (SELECT signal_id, first_seen_s, published_s, {_HASH} AS hash, {_FOLD.format("title")} AS ft, list_filter(string_split(trim(regexp_replace(regexp_replace({_FOLD.format("raw_text")}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS bw FROM signals),
+_PAIRS = rf"""w AS (SELECT signal_id, first_seen_s, published_s, {_HASH} AS hash, {_FOLD.format("nfc_normalize(title)")} AS ft, list_filter(string_split({_squash(_FOLD.format("nfc_normalize(raw_text)"))}, ' '), lambda x: x <> '') AS bw FROM signals),
 k AS (SELECT *, {_TITLE_WORDS.format("ft")} AS tw, CASE WHEN len(bw) = 0 THEN [] WHEN len(bw) < 5 THEN [array_to_string(bw, ' ')] ELSE list_distinct([array_to_string(list_slice(bw, i, i + 4), ' ') FOR i IN range(1, len(bw) - 3)]) END AS sh FROM w),
-pairs AS (SELECT a.signal_id, b.signal_id AS other_id FROM k a JOIN k b ON a.hash = b.hash AND a.signal_id <> b.signal_id
-UNION SELECT a.signal_id, b.signal_id FROM k a JOIN k b ON a.signal_id <> b.signal_id AND abs(a.first_seen_s - b.first_seen_s) <= 72 * 3600 AND len(a.tw) > 0 AND len(b.tw) > 0 AND a.tw[1] <= b.tw[-1]
-WHERE len(list_intersect(a.tw, b.tw)) >= 0.9 * (len(a.tw) + len(b.tw) - len(list_intersect(a.tw, b.tw))) AND len(list_intersect(a.sh, b.sh)) >= 0.8 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))))"""
+lead_ AS (SELECT hash, arg_min(signal_id, (first_seen_s, published_s IS NULL, coalesce(published_s, 0), signal_id)) AS f FROM k GROUP BY hash),
+one AS (SELECT k.signal_id AS x, f AS y FROM k JOIN lead_ USING (hash) WHERE k.signal_id <> f
+UNION SELECT a.signal_id, b.signal_id FROM k a JOIN k b ON a.signal_id < b.signal_id AND abs(a.first_seen_s - b.first_seen_s) <= 72 * 3600 AND len(a.tw) > 0 AND len(b.tw) > 0 AND a.tw[1] <= b.tw[-1]
+WHERE len(list_intersect(a.tw, b.tw)) >= 0.9 * (len(a.tw) + len(b.tw) - len(list_intersect(a.tw, b.tw))) AND len(list_intersect(a.sh, b.sh)) >= 0.8 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))),
+pairs AS (SELECT x AS signal_id, y AS other_id FROM one UNION SELECT y, x FROM one)"""
 
 
 @query(f"{_W}, {_PAIRS} SELECT * FROM pairs")
@@ -182,47 +189,65 @@ _FITS = f"CASE least({_RANKS.format('a')}, {_RANKS.format('b')}) WHEN 0 THEN FAL
 _CLUST = f"c AS (SELECT signal_id, country, admin1, admin2, precision, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude, {_IDENT} AS ident, {_AT} AS t, {_IDENT} IS NOT NULL AND country IS NOT NULL AND precision <> 'unresolved' AS ok FROM signals)"
 
 
-@query()
+_REACH = f"""{_CLUST}, e AS (SELECT a.signal_id AS a, b.signal_id AS b FROM c a JOIN c b ON a.ok AND b.ok AND a.signal_id <> b.signal_id AND a.ident = b.ident AND a.country = b.country AND abs(a.t - b.t) <= 7 * 86400 AND {_FITS}),
+reach AS (SELECT signal_id AS x, signal_id AS y FROM c WHERE ok UNION SELECT r.x, e.b FROM reach r JOIN e ON e.a = r.y),
+cl AS (SELECT x AS signal_id, min(y) AS cluster_id FROM reach GROUP BY x)"""
+_WR = _W.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"{_WR}, {_REACH} SELECT signal_id, cluster_id FROM signals LEFT JOIN cl USING (signal_id)")
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return S.cluster(spark, D.signals(spark, d))
+    return E.cluster(spark, D.signals(spark, d))
+
+
+_FACTS = f"""{_REACH}, facts AS (SELECT cluster_id, min(ident) AS ident, min(country) AS country, arg_min({{'admin1': admin1, 'admin2': admin2, 'precision': precision, 'latitude': latitude, 'longitude': longitude}}, (-{_RANKS.format('c')}, t, signal_id)) AS p, min(t) AS s, max(t) AS e, count(*) AS n_signals, arg_min(signal_id, (t, signal_id)) AS first_id FROM cl JOIN c USING (signal_id) GROUP BY cluster_id)"""
+
+
+@query(f"{_WR}, {_FACTS} SELECT cluster_id, ident AS identity, p.precision AS precision, p.admin1 AS admin1, s AS start_s, e AS end_s, n_signals, first_id, row_number() OVER (PARTITION BY ident ORDER BY s, first_id) AS number FROM facts")
+def cluster_facts(spark: SparkSession, d: str) -> DataFrame:
+    s = D.signals(spark, d)
+    f = E.cluster_facts(s, E.cluster(spark, s))
+    return f.select("cluster_id", "identity", "place.precision", "place.admin1", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "n_signals", "first_id", "number")
 
 
 def _match_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = S.clusterable(D.signals(spark, d)).where("clusterable")
-    new = c.where("signal_id % 3 = 0").select(F.col("signal_id").alias("cluster_id"), "identity", "country", "place", "at")
-    old = c.where("signal_id % 3 = 1").select(F.col("signal_id").alias("event_id"), "identity", "country", F.col("place").alias("o_place"), F.col("at").alias("o_at"))
-    recent = old.where(F.col("o_at") >= D.now() - F.expr("interval 8 days"))
-    j = new.join(recent, ["identity", "country"]).withColumn("o_identity", F.col("identity"))
-    return j.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("o_at"), "event_id"))).where("_n <= 20").drop("_n")
+    """All clusters against all events of the same disease and country that are recent: the newest 20."""
+    s = D.signals(spark, d)
+    first = F.struct("first_seen_s", "signal_id")
+    c = E.clusterable(s).where("clusterable").groupBy(F.col("event_key").alias("event_id"))
+    events = c.agg(F.min_by("identity", first).alias("identity"), F.min_by("country", first).alias("country"), F.min_by("place", first).alias("place"), F.min("at").alias("start"), F.max("at").alias("updated"))
+    return E.candidate_events(E.cluster_facts(s, E.cluster(spark, s)), events, D.now())
 
 
-_SCORED = f"""{_CLUST}, cand AS (SELECT a.signal_id AS cluster_id, b.signal_id AS event_id, row_number() OVER (PARTITION BY a.signal_id ORDER BY b.t DESC, b.signal_id) AS n,
-coalesce({_FITS}, FALSE) AS fits, least({_RANKS.format('a')}, {_RANKS.format('b')}) AS rk, {_KM} AS km, abs(a.t - b.t) / 86400.0 AS gap, coalesce(a.admin1 <> b.admin1, FALSE) AS veto
-FROM c a JOIN c b ON a.ok AND b.ok AND a.ident = b.ident AND a.country = b.country AND a.signal_id % 3 = 0 AND b.signal_id % 3 = 1 AND b.t >= {D.NOW} - 8 * 86400),
-scored AS (SELECT cluster_id, event_id, CASE WHEN fits THEN .3 + .35 * CASE rk WHEN 4 THEN greatest(.5, 1 - .5 * km / 50) WHEN 3 THEN .75 WHEN 2 THEN .5 ELSE .25 END + .2 * greatest(0, 1 - gap / 90) + .15 * [0, .25, .5, .75, 1.0][rk + 1] ELSE 0 END AS score,
-CASE WHEN veto THEN 'admin1' WHEN gap > 90 THEN 'time' WHEN NOT fits THEN 'distance' END AS reason FROM cand WHERE n <= 20)"""
+_SCORED = f"""{_FACTS}, ev AS (SELECT event_key AS event_id, arg_min({{'ident': ident, 'country': country, 'admin1': admin1, 'admin2': admin2, 'precision': precision, 'latitude': latitude, 'longitude': longitude}}, (first_seen_s, signal_id)) AS p, min(t) AS s, max(t) AS e FROM c JOIN (SELECT signal_id, first_seen_s, event_key FROM signals) USING (signal_id) WHERE ok GROUP BY event_key),
+newest AS (SELECT event_id, s AS bs, e AS be, p.ident AS ident, p.country AS country, p.admin1 AS admin1, p.admin2 AS admin2, p.precision AS precision, p.latitude AS latitude, p.longitude AS longitude, row_number() OVER (PARTITION BY p.ident, p.country ORDER BY e DESC, event_id) AS n FROM ev WHERE e >= {D.NOW} - 7 * 86400),
+flat AS (SELECT cluster_id, ident, country, s, e, p.admin1 AS admin1, p.admin2 AS admin2, p.precision AS precision, p.latitude AS latitude, p.longitude AS longitude FROM facts),
+cand AS (SELECT cluster_id, event_id, coalesce({_FITS}, FALSE) AS fits, least({_RANKS.format('a')}, {_RANKS.format('b')}) AS rk, {_RANKS.format('a')} AS own, {_KM} AS km, greatest(0, bs - a.e, a.s - be) / 86400.0 AS gap, coalesce(a.admin1 <> b.admin1, FALSE) AS veto FROM flat a JOIN newest b ON a.ident = b.ident AND a.country = b.country WHERE n <= 20),
+ruled AS (SELECT *, CASE WHEN veto THEN 'conflicting_admin1' WHEN gap > 90 THEN 'outside_time_window' WHEN NOT fits THEN 'too_far' END AS against FROM cand),
+scored AS (SELECT cluster_id, event_id, against, CASE WHEN against IS NULL THEN .3 + .35 * CASE rk WHEN 4 THEN greatest(.5, 1 - .5 * km / 50) WHEN 3 THEN .75 WHEN 2 THEN .5 ELSE .25 END + .2 * greatest(0, 1 - gap / 90) + .15 * [0, .25, .5, .75, 1.0][own + 1] ELSE 0 END AS score FROM ruled)"""
 
 
-@query(f"{_W}, {_SCORED} SELECT cluster_id, event_id, round(score, 6) AS score, reason FROM scored")
+@query(f"{_WR}, {_SCORED} SELECT cluster_id, event_id, round(CAST(score AS DOUBLE), 6) AS score, CASE WHEN against IS NULL AND score < .7 THEN 'score_below_threshold' ELSE against END AS reason FROM scored")
 def match_scores(spark: SparkSession, d: str) -> DataFrame:
-    return S.match_scores(_match_pairs(spark, d)).select("cluster_id", "event_id", F.round("score", 6).alias("score"), "reason")
+    return E.match_scores(_match_pairs(spark, d), threshold=0.8, review=0.7).select("cluster_id", "event_id", F.round("score", 6).alias("score"), "reason")
 
 
-@query(f"""{_W}, {_SCORED}, g AS (SELECT cluster_id, count(*) FILTER (score >= .8) AS n_over, count(*) FILTER (score < .8 AND score >= .7) AS n_band, arg_max(event_id, score) AS best FROM scored GROUP BY cluster_id)
+@query(f"""{_WR}, {_SCORED}, g AS (SELECT cluster_id, count(*) FILTER (score >= .8) AS n_over, count(*) FILTER (score < .8 AND score >= .7) AS n_band, arg_max(event_id, score) AS best FROM scored GROUP BY cluster_id)
 SELECT cluster_id, n_over, n_band, CASE WHEN n_over = 1 THEN 'attach' WHEN n_over > 1 THEN 'refuse' WHEN n_band = 1 THEN 'ambiguous' ELSE 'create' END AS decision, CASE WHEN n_over = 1 THEN best END AS event_id FROM g""")
 def match_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return S.decide(S.match_scores(_match_pairs(spark, d)), "cluster_id", 0.8, 0.7).select("cluster_id", "n_over", "n_band", "decision", "event_id")
+    return E.decide(E.match_scores(_match_pairs(spark, d)), "cluster_id", 0.8, 0.7).select("cluster_id", "n_over", "n_band", "decision", "event_id")
 
 
 @query(f"""{_W}, s AS (SELECT signal_id, title, 'www.' || source || CASE WHEN signal_id % 13 = 0 THEN '.spam.example' ELSE '.news.example' END AS domain FROM signals)
-SELECT signal_id, CASE WHEN domain = 'spam.example' OR domain LIKE '%.spam.example' THEN 'blocked_domain' WHEN regexp_matches(title, '(?i)\\b(la|der)\\b') THEN 'excluded_title' WHEN NOT (contains({_FOLD.format(_squash('title'))}, 'th') OR contains({_FOLD.format(_squash('title'))}, 'en')) THEN 'no_keyword' ELSE 'pass' END AS verdict FROM s""")
+SELECT signal_id, CASE WHEN domain = 'spam.example' OR domain LIKE '%.spam.example' THEN 'blocked_domain' WHEN regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(la|der)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'excluded_title' WHEN NOT (contains({_FOLD.format(_squash('title'))}, 'th') OR contains({_FOLD.format(_squash('title'))}, 'en')) THEN 'no_keyword' ELSE 'pass' END AS verdict FROM s""")
 def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     s = D.signals(spark, d).withColumn("domain", F.concat(F.lit("www."), "source", F.when(F.col("signal_id") % 13 == 0, ".spam.example").otherwise(".news.example")))
     return S.gate(s, "domain", "title", ["spam.example"], [r"\b(la|der)\b"], ["TH", "en"]).select("signal_id", "verdict")
 
 
-_SEEN = """p AS (SELECT page_id, trim(url) AS u, url, lower(regexp_extract(trim(url), '^([^:/?#]+://[^/?#]*)', 1)) AS head, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
-canon AS (SELECT page_id, head, head || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND split_part(lower(x), '=', 1) NOT IN ('gclid', 'fbclid'))) AS kept FROM p))"""
+_SEEN = f"""p AS (SELECT page_id, trim(url) AS u, url, lower(regexp_extract(trim(url), '^([^:/?#]+://[^/?#]*)', 1)) AS head, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
+split AS (SELECT *, [{{'n': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, strpos(x || '=', '=') + 1), '+', ' '))}} FOR x IN list_filter(string_split(q, '&'), lambda y: y <> '')] AS ps FROM p),
+canon AS (SELECT page_id, head, head || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string([replace(url_encode(x.n), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+') FOR x IN kept], '&') ELSE '' END AS canonical_url FROM (SELECT *, list_sort(list_filter(ps, lambda x: NOT starts_with(lower(x.n), 'utm_') AND lower(x.n) NOT IN ('gclid', 'fbclid'))) AS kept FROM split))"""
 
 
 @query(f"WITH {_SEEN} SELECT page_id, canonical_url FROM canon")
@@ -241,15 +266,17 @@ def discovery_routes(spark: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("route").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
-_DOC_WORDS = _squash(r"regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g')")
 _DOC_PLACE = _FOLD.format(_squash(r"regexp_replace(text, '[\p{P}\p{S}]', ' ', 'g')"))
+_DOC_TITLE = r"regexp_replace(split_part(nfc_normalize(text), chr(10), 1), '\s[-|–—]\s[^-|–—]{1,40}$', '')"
+_MASTHEAD = _FOLD.format(_squash(rf"regexp_replace({_DOC_TITLE}, '[^\p{{L}}\p{{N}}_\s-]', '', 'g')"))
 
 
-@query(rf"""SELECT doc_id, {_DOC_WORDS} <> '' AS has_words, {_DOC_PLACE} AS place_form, lower({_squash("text")}) AS cache_key, left(text, 1200) AS excerpt,
-regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.-]+') OR regexp_matches(text, '\+?\d[\d ()-]{{7,}}\d') OR regexp_matches(text, '\d{{9,}}') AS private FROM documents""")
+@query(rf"""SELECT doc_id, {_MASTHEAD} AS masthead, {_DOC_PLACE} AS place_form, lower({_squash("text")}) AS cache_key, left(text, 1200) AS excerpt, split_part(text, chr(10), 1) || chr(10) || left(text, 1200) AS embedding_text,
+regexp_matches(text, '[^\s@]+@[^\s@]+\.[^\s@]+') OR regexp_matches(text, '\+\d[\d\s().-]{{7,}}\d|\b\d[\d\s().-]{{8,}}\d\b') OR regexp_matches(text, '\d{{9,}}') AS private FROM documents""")
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return D.table(spark, d, "documents").select("doc_id", (X.collapse(F.regexp_replace(t, r"[^\p{L}\p{N}_\s-]", "")) != "").alias("has_words"), X.place_form(t).alias("place_form"), X.cache_key(t).alias("cache_key"), F.substring(t, 1, 1200).alias("excerpt"), X.private_text(t).alias("private"))
+    title = F.split_part(t, F.lit("\n"), F.lit(1))
+    return D.table(spark, d, "documents").select("doc_id", X.masthead_title(title).alias("masthead"), X.place_form(t).alias("place_form"), X.cache_key(t).alias("cache_key"), F.substring(t, 1, 1200).alias("excerpt"), X.embedding_text(title, t).alias("embedding_text"), X.private_text(t).alias("private"))
 
 
 @query(f"SELECT doc_id, {_HASH} AS content_hash FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS raw_text FROM documents)")
@@ -343,18 +370,20 @@ def representative_sources(spark: SparkSession, d: str) -> DataFrame:
     return S.pick_sources(D.signals(spark, d).withColumn("n_brief", F.col("signal_id") % 4), 5).select("event_key", "signal_id", F.col("slot").cast("bigint").alias("slot"))
 
 
-@query(f"""SELECT o_orderkey, o_orderdate IS NULL OR o_orderpriority <> '1-URGENT' AND FALSE OR o_orderkey % 5 >= 3 OR {D.EPOCH} - epoch(o_orderdate) > 86400 * 9000 OR (o_orderstatus = 'P' AND NOT (o_custkey % 2 = 0)) AS again FROM orders""")
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN TRUE WHEN o_orderstatus = 'P' AND o_custkey % 2 = 1 THEN TRUE WHEN o_orderkey % 5 >= 3 THEN TRUE ELSE {D.EPOCH} - epoch(o_orderdate) > 86400 * 9000 END AS again FROM orders""")
 def resummarize_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The last summary is an order's date, missing for some; the latest observation is there for orders in progress."""
     o = D.table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
-    now = F.timestamp_seconds(F.lit(D.EPOCH))
-    again = S.should_resummarize(F.col("at"), F.when(F.col("o_orderstatus") == "P", F.col("at")), F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 5, now, hours=9000 * 24)
+    last = F.when(F.col("o_orderkey") % 6 != 0, F.col("at"))
+    again = S.should_resummarize(last, F.when(F.col("o_orderstatus") == "P", F.col("at")), F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 5, F.timestamp_seconds(F.lit(D.EPOCH)), hours=9000 * 24)
     return o.select("o_orderkey", again.alias("again"))
 
 
-@query("SELECT DISTINCT l_partkey AS k, max(l_orderkey) OVER (PARTITION BY l_partkey) + 1 AS version FROM lineitem WHERE l_suppkey % 2 = 0 UNION ALL SELECT DISTINCT l_partkey, 1 FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey % 2 = 0)")
+@query("SELECT p_partkey AS k, coalesce(max(l_orderkey), 0) + 1 AS version FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def next_versions(spark: SparkSession, d: str) -> DataFrame:
-    l = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("version"), "l_suppkey")
-    return K.next_versions(l.where("l_suppkey % 2 = 0"), l.select("k").distinct(), "k").select("k", "version")
+    """The next version of every part, whose versions so far are its line items' orders."""
+    stored = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("version"))
+    return K.next_versions(stored, D.table(spark, d, "part").select(F.col("p_partkey").alias("k")), "k").select("k", "version")
 
 
 @query("SELECT p_partkey, CASE WHEN s.p_partkey IS NOT NULL AND p.p_partkey % 2 = 0 THEN 'new' ELSE p_brand END AS p_brand, p_size FROM part p LEFT JOIN (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_quantity > 49) s USING (p_partkey)")
@@ -384,13 +413,19 @@ def replaced_children(spark: SparkSession, d: str) -> DataFrame:
     return K.replace_children(l, l.where("l_orderkey % 7 = 0 AND l_linenumber = 1").withColumn("flag", F.lit("new")), ["l_orderkey"])
 
 
-@query("SELECT reason, action, outcome, count(*) AS n FROM (SELECT *, CASE WHEN action IS NULL THEN 'untouched' WHEN state <> 'open' THEN 'refused' WHEN seen <> version THEN 'stale' WHEN (reason, action) IN (('retrieval','retry'),('retrieval','discard'),('dedupe','mark_duplicate'),('dedupe','keep'),('match','attach'),('match','create_event'),('match','discard'),('extraction','retry'),('extraction','discard'),('extraction','accept')) THEN 'closed' ELSE 'refused' END AS outcome FROM (SELECT o_orderkey, ['retrieval','dedupe','match','extraction'][o_orderkey % 4 + 1] AS reason, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END AS state, o_custkey % 3 AS version, CASE WHEN o_orderkey % 3 <> 0 THEN ['retry','discard','attach','mark_duplicate','accept'][o_custkey % 5 + 1] END AS action, o_custkey % 3 + CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS seen FROM orders)) GROUP BY ALL")
+_REASONS = ["retrieval_failed", "extraction_rejected", "disease_unresolved", "location_unresolved", "event_match_ambiguous", "content_integrity", "legacy_unclassified"]
+_ACTIONS = ["retry_retrieval", "retry_extraction", "assign_disease", "retry_geocoding", "link_event", "create_event", "dismiss"]
+
+
+@query(f"""SELECT reason, action, outcome, CASE WHEN outcome = 'closed' THEN CASE action WHEN 'retry_retrieval' THEN 'fetched' WHEN 'retry_extraction' THEN 'classified' WHEN 'assign_disease' THEN 'extracted' WHEN 'retry_geocoding' THEN 'extracted' WHEN 'dismiss' THEN 'dismissed' ELSE 'matched' END END AS new_status, count(*) AS n
+FROM (SELECT *, CASE WHEN action IS NULL THEN 'untouched' WHEN state <> 'open' THEN 'refused' WHEN seen <> version THEN 'stale' WHEN action = 'dismiss' OR (reason, action) IN (('retrieval_failed','retry_retrieval'),('extraction_rejected','retry_extraction'),('disease_unresolved','assign_disease'),('location_unresolved','retry_geocoding'),('event_match_ambiguous','link_event'),('event_match_ambiguous','create_event')) THEN 'closed' ELSE 'refused' END AS outcome
+FROM (SELECT {_REASONS}[o_orderkey % 7 + 1] AS reason, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END AS state, o_custkey % 3 AS version, CASE WHEN o_orderkey % 3 <> 0 THEN {_ACTIONS}[o_custkey % 7 + 1] END AS action, o_custkey % 3 + CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS seen FROM orders)) GROUP BY ALL""")
 def review_outcomes(spark: SparkSession, d: str) -> DataFrame:
     o = D.table(spark, d, "orders")
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))
-    cases = o.select(F.col("o_orderkey").alias("case_id"), pick(["retrieval", "dedupe", "match", "extraction"], F.col("o_orderkey") % 4).alias("reason"), F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("state"), (F.col("o_custkey") % 3).alias("version"))
-    commands = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("case_id"), pick(["retry", "discard", "attach", "mark_duplicate", "accept"], F.col("o_custkey") % 5).alias("action"), (F.col("o_custkey") % 3 + (F.col("o_custkey") % 11 == 0).cast("int")).alias("version"))
-    return S.resolve_reviews(cases, commands).groupBy("reason", "action", "outcome").agg(F.count("*").alias("n"))
+    cases = o.select(F.col("o_orderkey").alias("case_id"), pick(_REASONS, F.col("o_orderkey") % 7).alias("reason"), F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("state"), (F.col("o_custkey") % 3).alias("version"))
+    commands = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("case_id"), pick(_ACTIONS, F.col("o_custkey") % 7).alias("action"), (F.col("o_custkey") % 3 + (F.col("o_custkey") % 11 == 0).cast("int")).alias("version"))
+    return V.resolve_reviews(cases, commands).groupBy("reason", "action", "outcome", "new_status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -402,16 +437,19 @@ def hourly_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n_stories, max(n) AS longest FROM (SELECT user_id, grp, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def user_stories(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = D.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    new = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > 6 * 3_600_000_000).cast("int"), F.lit(1))
-    g = e.withColumn("brk", new).withColumn("grp", F.sum("brk").over(w)).groupBy("user_id", "grp").agg(F.count("*").alias("n"))
+    g = S.sessions(e, ["user_id"], "ts", ["event_id"], 6 * 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"))
     return g.groupBy("user_id").agg(F.count("*").alias("n_stories"), F.max("n").alias("longest"))
 
 
-@query()
+_BLOCKS = "p|div|br|li|ul|ol|tr|td|th|table|thead|tbody|section|blockquote|h[1-6]"
+_PLAIN = rf"replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(style|script)[^>]*>.*?</(style|script)>', '', 'g'), '</?({_BLOCKS})( [^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(rf"SELECT page_id, replace({_squash(r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '&amp;', '&') AS title, CAST(NULL AS VARCHAR) AS site_name, 0 AS n_dates, sha256({_squash(_PLAIN)}) AS text_sha256 FROM pages")
 def page_extracts(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "pages").select("page_id", H.extract_page(F.col("html")).alias("e"), H.strip_html(F.col("html")).alias("text")).select("page_id", "e.title", "e.site_name", F.size("e.dates").alias("n_dates"), F.length("e.body").alias("body_chars"), F.sha2("text", 256).alias("text_sha256"))
+    p = D.table(spark, d, "pages").select("page_id", H.extract_page(F.col("html")).alias("e"), H.strip_html(F.col("html")).alias("text"))
+    return p.select("page_id", "e.title", "e.site_name", F.size("e.dates").alias("n_dates"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()
@@ -420,9 +458,43 @@ def near_exact_titles(spark: SparkSession, d: str) -> DataFrame:
     return S.near_exact_pairs(D.signals(spark, d))
 
 
-@query()
+_CODE = "'C' || regexp_extract(lower({}), '^land +([0-5])$', 1)"
+_CACHE_SQL = "CASE WHEN q.place_name IS NOT NULL AND regexp_matches(lower(q.place_name), 'port 9[0-4]$') THEN 'cache' WHEN regexp_matches(lower(q.place_name), 'port 9[5-7]$') THEN 'service' END"
+_FORM = "(SELECT count(*) FROM gazetteer g WHERE {} AND (q.cc IS NULL OR g.country_code = q.cc AND (q.a1 IS NULL OR g.admin1_code = q.a1)))"
+_LADDER = f"""{D.GAZETTEER_SQL}, {D.MENTIONS_SQL},
+q0 AS (SELECT *, CASE WHEN regexp_matches(lower(country_name), '^land +[0-5]$') THEN {_CODE.format('country_name')} END AS cc FROM mentions),
+q AS (SELECT q0.*, (SELECT arg_min(g.admin1_code, g.geonames_id) FROM gazetteer g WHERE g.precision = 'admin1' AND g.country_code = q0.cc AND (g.normalized_name = lower(q0.admin1_name) OR g.ascii_name = strip_accents(lower(q0.admin1_name)))) AS a1 FROM q0),
+hit AS (SELECT q.signal_id, form, count(DISTINCT g.geonames_id) AS n, min(g.geonames_id) AS id FROM q JOIN (SELECT *, 1 AS form, normalized_name AS k FROM gazetteer UNION ALL SELECT *, 2, ascii_name FROM gazetteer UNION ALL SELECT *, 3, other_name FROM gazetteer WHERE other_name <> '') g
+ON g.k = CASE WHEN form = 2 THEN strip_accents(lower(q.place_name)) ELSE lower(q.place_name) END AND (q.cc IS NULL OR g.country_code = q.cc AND (q.a1 IS NULL OR g.admin1_code = q.a1)) GROUP BY q.signal_id, form),
+best AS (SELECT signal_id, min(form) AS form, arg_min(n, form) AS n, arg_min(id, form) AS id FROM hit GROUP BY signal_id),
+r AS (SELECT q.signal_id, q.cc, q.place_name, coalesce(b.n, 0) > 1 AS ambiguous, CASE WHEN b.n = 1 THEN ['exact', 'ascii', 'alternate'][b.form] WHEN b.n IS NULL AND {_CACHE_SQL} IS NOT NULL AND ({_CACHE_SQL} = 'service' OR q.cc IS NULL) THEN 'external' END AS form, {_CACHE_SQL} AS outside,
+CASE WHEN b.n = 1 THEN b.id END AS id, (SELECT min(geonames_id) FROM gazetteer g WHERE g.precision = 'admin1' AND g.country_code = q.cc AND g.admin1_code = q.a1) AS unit, (SELECT min(geonames_id) FROM gazetteer g WHERE g.precision = 'country' AND g.country_code = q.cc) AS land FROM q LEFT JOIN best b USING (signal_id)),
+final AS (SELECT r.signal_id, r.form, r.ambiguous, g.geonames_id, CASE WHEN r.form = 'external' THEN 'place' WHEN g.geonames_id IS NULL THEN 'unresolved' WHEN r.form IS NOT NULL THEN g.precision WHEN unit IS NOT NULL THEN 'admin1' ELSE 'country' END AS precision, CASE WHEN r.form = 'external' THEN CASE outside WHEN 'cache' THEN 1.5 ELSE 2.5 END ELSE g.latitude END AS latitude
+FROM r LEFT JOIN gazetteer g ON g.geonames_id = CASE WHEN r.form = 'external' THEN -1 ELSE coalesce(id, unit, land) END)"""
+_CONFIDENCE = "CASE WHEN precision = 'place' THEN CASE form WHEN 'exact' THEN .95 WHEN 'ascii' THEN .85 WHEN 'alternate' THEN .75 ELSE .65 END WHEN precision = 'admin2' THEN .7 WHEN precision = 'admin1' THEN .55 WHEN precision = 'country' THEN .3 END"
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' places; the cache knows five ports for the whole world, the service three for every country."""
+    known = [(f"port {k}", None, f"Port {k}", 1.5, 1.5) for k in range(90, 95)]
+    asked = [(f"port {k}", c, f"Port {k}", 2.5, 2.5) for k in range(95, 98) for c in (None, *[f"C{i}" for i in range(6)])]
+    answers = lambda rows: spark.createDataFrame(rows, "normalized_query string, country_code string, resolved_name string, latitude double, longitude double")
+    return P.geocode(D.mentions(spark, d), D.gazetteer(spark, d), D.aliases(spark), answers(known), answers(asked))
+
+
+@query(f"WITH {_LADDER} SELECT signal_id, form, ambiguous, precision, geonames_id, latitude, CAST({_CONFIDENCE} AS DOUBLE) AS confidence FROM final")
 def geocode_ladder(spark: SparkSession, d: str) -> DataFrame:
-    p = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("place_id"), F.concat(F.lit("Port "), F.col("s_suppkey") % 60).alias("name"), F.concat(F.lit("C"), F.col("s_nationkey") % 6).alias("country"), F.concat(F.lit("A"), F.col("s_suppkey") % 4).alias("admin1"), (F.col("s_suppkey") % 90).cast("double").alias("latitude"), (F.col("s_suppkey") % 170).cast("double").alias("longitude"))
-    g = p.withColumn("ascii_name", X.ascii_form(F.col("name"))).withColumn("alternates", F.array(F.concat(F.lit("harbour "), F.col("place_id").cast("string"))))
-    q = D.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Harbour "), F.col("c_custkey") % 150)).otherwise(F.concat(F.lit("Port "), F.col("c_custkey") % 80)).alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("C"), F.col("c_nationkey") % 6)).alias("country"), F.when(F.col("c_custkey") % 7 == 0, F.lit("A1")).alias("admin1"))
-    return S.geocode(q, g).withColumn("latitude", F.round("latitude", 6)).withColumn("longitude", F.round("longitude", 6))
+    return _resolved(spark, d).select("signal_id", "form", "ambiguous", "precision", "geonames_id", "latitude", "confidence")
+
+
+@query(f"""WITH {_LADDER}, old AS (SELECT signal_id, 'v1' AS src FROM mentions WHERE signal_id % 2 = 0), m AS (SELECT signal_id FROM mentions WHERE signal_id % 3 = 0)
+SELECT precision, geocoding_source, count(*) AS n, (SELECT count(*) FROM m) AS n_geocoded FROM (SELECT 'country' AS precision, src AS geocoding_source FROM old WHERE signal_id NOT IN (SELECT signal_id FROM m) UNION ALL SELECT precision, 'v2' FROM final WHERE signal_id IN (SELECT signal_id FROM m)) GROUP BY 1, 2""")
+def geocoding_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Every third signal awaits geocoding; every second one has a place from an earlier version."""
+    m = D.mentions(spark, d)
+    signals = m.select("signal_id", F.when(F.col("signal_id") % 3 == 0, "extracted").otherwise("matched").alias("status"))
+    stored = m.where("signal_id % 2 = 0").select("signal_id", F.lit("country").alias("precision"), F.lit("v1").alias("geocoding_source"))
+    due = _resolved(spark, d).join(signals.where("status = 'extracted'").select("signal_id"), "signal_id", "left_semi")
+    after, places = P.geocoding_pass(signals, stored, due.select("signal_id", "precision"), "v2")
+    done = after.where("status = 'geocoded'").agg(F.count("*").alias("n_geocoded"))
+    return places.groupBy("precision", "geocoding_source").agg(F.count("*").alias("n")).crossJoin(F.broadcast(done))  # one row

@@ -1,4 +1,4 @@
-"""Read models: evidence page, radar, event list, detail and dashboard, runs, reviews, spend, backlog, schema report."""
+"""Read models: evidence page, radar, event list and detail, spend, backlog, schema report, a reader's filters."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
 
+
 def _at() -> Column:
     return F.coalesce("published_at", "first_seen_at")
 
@@ -50,20 +51,51 @@ def representative_places(places: DataFrame) -> DataFrame:
     return places.where(ok).groupBy("signal_id").agg(F.min_by(F.struct("place_id", "precision", "latitude", "longitude", X.country_code(F.col("country")).alias("country")), rank).alias("p")).select("signal_id", "p.*")
 
 
-def event_list(events: DataFrame, *, disease: str | None = None, country: str | None = None, status: str | None = None, title_like: str | None = None, start: Column | None = None, end: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Events by optional filters, score first; the range of times is half open."""
-    tests = [F.lower("disease") == disease.lower() if disease else None, F.col("country") == country if country else None, F.col("status") == status if status else None, F.col("title").ilike(f"%{title_like}%") if title_like else None, F.col("last_updated_at") >= start if start is not None else None, F.col("last_updated_at") < end if end is not None else None]
+def event_list(events: DataFrame, *, disease: str | None = None, country: str | None = None, admin1: str | None = None, status: str | None = None, verification: str | None = None, start: Column | None = None, end: Column | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Events by optional filters, the latest update first; the range of times is half open. A unit's name matches in part,
+    and its wildcards count. n_total: how many there are on all pages."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    tests = [
+        F.lower("disease") == disease.lower() if disease else None, F.col("country") == country.upper() if country else None, F.col("admin1").ilike(f"%{admin1}%") if admin1 else None, F.col("status") == status if status else None,
+        F.col("verification") == verification if verification else None, F.col("last_updated_at") >= start if start is not None else None, F.col("last_updated_at") < end if end is not None else None,
+    ]
     kept = events.where(reduce(lambda a, b: a & b, [t for t in tests if t is not None], F.lit(True)))
-    return kept.orderBy(F.desc_nulls_last("early_signal_score"), F.desc_nulls_last("last_updated_at"), "event_key").limit(limit + offset).offset(offset)
+    page = kept.orderBy(F.desc("last_updated_at"), F.desc("event_key")).limit(limit + offset).offset(offset)
+    return page.crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_total"))))  # one row
+
+
+def event_sources(links: DataFrame, signals: DataFrame, sources: DataFrame, event_id: int | None = None) -> DataFrame:
+    """The articles of one event (of every event without event_id), with their sources' standing and position: primary
+    first, then the latest, then the greatest id."""
+    l = links if event_id is None else links.where(F.col("event_id") == event_id)
+    j = l.join(signals, "signal_id").join(sources, "source")
+    w = Window.partitionBy("event_id").orderBy(F.desc("is_primary"), F.desc(_at()), F.desc("signal_id"))
+    return j.select("event_id", F.row_number().over(w).alias("position"), "signal_id", "source", "is_official", "credibility", "title", "published_at", "first_seen_at", "relationship_type", "is_primary")
+
+
+def event_observations(observations: DataFrame, event_id: int | None = None) -> DataFrame:
+    """The observations of one event (of every event without event_id) by the time of their report."""
+    o = observations if event_id is None else observations.where(F.col("event_id") == event_id)
+    w = Window.partitionBy("event_id").orderBy(F.coalesce("reported_at", "created_at"), "created_at", "signal_id")
+    return o.withColumn("position", F.row_number().over(w))
+
 
+def event_summaries(summaries: DataFrame) -> DataFrame:
+    """Versions of events' summaries, the newest first."""
+    return summaries.withColumn("position", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("version"))))
 
-def dashboard(events: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Events with a place for the map: their first level unit's mean, else their country's, else none."""
-    unit = centroids.where("level = 'admin1'").select("country", "admin1", F.col("latitude").alias("u_lat"), F.col("longitude").alias("u_lon"))
-    land = centroids.where("level = 'country'").select("country", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
-    j = events.join(unit, ["country", "admin1"], "left").join(land, "country", "left")
-    how = F.when(F.col("u_lat").isNotNull(), "admin1").when(F.col("c_lat").isNotNull(), "country").otherwise("none")
-    return j.select("event_key", how.alias("mapped_by"), F.coalesce("u_lat", "c_lat").alias("latitude"), F.coalesce("u_lon", "c_lon").alias("longitude"))
+
+def event_details(events: DataFrame, sources: DataFrame, observations: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Events with what belongs to each, in order: sources, observations, summaries as arrays. For one event, filter first."""
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        cols = ["position", *[c for c in df.columns if c not in ("event_id", "position")]]
+        return df.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+
+    out = events
+    for df, name in ((sources, "sources"), (observations, "observations"), (summaries, "summaries")):
+        out = out.join(listed(df, name), "event_id", "left")
+    return out
 
 
 def spend(ledger: DataFrame, now: Column, days: int = 30) -> DataFrame:
@@ -88,6 +120,28 @@ def source_counts(sources: DataFrame, signals: DataFrame) -> DataFrame:
     return sources.join(n, "source", "left").select("source", F.coalesce("_n", F.lit(0)).alias("n_signals"))
 
 
-def schema_report(spark: SparkSession, expected: list[str], present: list[str]) -> DataFrame:
-    """Which of the expected tables are missing."""
-    return spark.createDataFrame([(t, t in set(present)) for t in sorted(expected)], "table_name string, present boolean")
+def schema_report(spark: SparkSession, expected: list[str], tables: dict[str, DataFrame], key: str | None = None) -> DataFrame:
+    """Each expected table: its state (missing, empty or filled) and its rows."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in tables.items() if t in expected]
+    names = spark.createDataFrame([(t,) for t in sorted(expected)], "table_name string")
+    found = reduce(DataFrame.unionByName, counts) if counts else names.select("table_name", F.lit(0).alias("n")).limit(0)
+    j = names.join(found, "table_name", "left")
+    return j.select("table_name", F.when(F.col("n").isNull(), "missing").when(F.col("n") == 0, "empty").otherwise("filled").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def within_reach(events: DataFrame, text: str | None = None, regions: dict[str, list[str]] | None = None, region: str | None = None, now: Column | None = None, hours: int | None = None, first_day: Column | None = None, last_day: Column | None = None) -> DataFrame:
+    """What a reader's filters leave: a text anywhere in title, disease, country or unit; a region's countries; the last
+    hours, or days from first to last, both included; the latest first."""
+    hay = F.lower(F.concat_ws(" ", "title", "disease", "country", "admin1"))
+    tests = [
+        F.contains(hay, F.lit(text.strip().lower())) if text and text.strip() else None, F.col("country").isin(*(regions or {})[region]) if region else None,
+        F.col("last_updated_at") >= now - F.make_interval(hours=F.lit(hours)) if hours else None,
+        F.to_date("last_updated_at") >= first_day if first_day is not None else None, F.to_date("last_updated_at") <= last_day if last_day is not None else None,
+    ]
+    return events.where(reduce(lambda a, b: a & b, [t for t in tests if t is not None], F.lit(True))).orderBy(F.desc("last_updated_at"), "event_key")
+
+
+def shown_totals(events: DataFrame) -> DataFrame:
+    """One row for a page's head: events, those on the map, the active ones, countries, and the choices of its filters."""
+    on_map = F.col("latitude").isNotNull() & ~F.isnan("latitude") & F.col("longitude").isNotNull() & ~F.isnan("longitude")
+    return events.agg(F.count("*").alias("n_events"), F.count_if(on_map).alias("n_mapped"), F.count_if(F.col("status") == "active").alias("n_active"), F.countDistinct("country").alias("n_countries"), F.array_sort(F.collect_set("disease")).alias("diseases"), F.array_sort(F.collect_set("country")).alias("countries"))

@@ -19,7 +19,7 @@ def test_later_clusters_see_earlier_events(spark):
     got = {r.cluster_id: (r.decision, r.event_id) for r in A.assemble(clusters, events, 5 * 86400.0).collect()}
     assert got == {1: ("create", 1), 2: ("attach", 1), 3: ("create", 3), 4: ("create", 4), 5: ("create", 5), 6: ("attach", 3)}
     two = spark.createDataFrame([place(100, 0), place(101, 0)], COLS)
-    assert {r.cluster_id: r.decision for r in A.assemble(clusters.where("id = 1"), two, 86400.0).collect()} == {1: "refuse"}
+    assert {r.cluster_id: (r.decision, r.event_id) for r in A.assemble(clusters.where("id = 1"), two, 86400.0).collect()} == {1: ("refuse", 1)}
     assert {r.decision for r in A.assemble(clusters.where("id = 1"), two, 30 * 86400.0).collect()} == {"create"}
 
 
