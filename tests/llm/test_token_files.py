@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from harrier.llm import token_files
 from harrier.llm.shared import Scratch
 from harrier.llm.token_files import Encoder, Part, op7_token_files, read_tokens, write_tokens
 
@@ -29,7 +31,30 @@ def brute(rows):
 def test_pieces_are_the_whole(text):
     e = Encoder(VOCABULARY)
     for _ in range(2):
-        assert np.frombuffer(e.encode(text), e.kind).tolist() == ids(text)[:-1]
+        assert e.encode([text])[0].tolist() == ids(text)[:-1]
+
+
+def test_many_texts_at_once(monkeypatch):
+    """Pieces that many texts share, punctuation behind words, texts longer than a chunk, memory that forgets."""
+    rnd = random.Random(1)
+    word = lambda: rnd.choice(["it's", "Straße", "12,5", "e.g.", "wow!!!", "日本", "\n", "a\tb", "x\n\n", "''", ".", "?!", "naïve,", "C3PO.", "²,", "e\u0301.", "<|endoftext|>" if rnd.random() < 0.01 else "z"] + ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) + rnd.choice(["", ".", ",", ";!"])])
+    texts = [(" " if rnd.random() < 0.98 else "  ").join(word() for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", " ", "x" * 3000, "word " * 2000]
+    for chunk, remembered in ((1 << 22, 500_000), (400, 300)):
+        monkeypatch.setattr(token_files, "CHUNK", chunk)
+        monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+        e = Encoder(VOCABULARY)
+        for part in (texts[:150], texts[150:], texts):
+            found, counts = e.encode(part)
+            ends = np.cumsum(counts)
+            assert [found[b - n : b].tolist() for n, b in zip(counts, ends)] == [ids(t)[:-1] for t in part]
+
+
+def test_a_file_that_is_there_already(tmp_path):
+    disk, root = token_files._open(str(tmp_path))
+    for data in (b"same", b"same", b"other"):
+        (tmp_path / "mine").write_bytes(data)
+        token_files._put(disk, f"{root}/mine", f"{root}/part")
+        assert (tmp_path / "part").read_bytes() == data and not (tmp_path / "mine").exists()
 
 
 def test_awkward(awkward, spark):
