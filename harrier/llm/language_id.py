@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.llm.hashing import mix
-from harrier.llm.shared import documents
-from harrier.llm.subwords import fold, groups, points_of
+from harrier.llm.shared import Scratch, documents
+from harrier.llm.subwords import bounded_rows, fold, groups, hash_below, points_of
 
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 GRAMS = (3, 4)
 SLOTS_PER_GRAM = 2
-#: Documents of each language that filters are filled from, about; texts of more characters are not learned from.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
+#: Documents of each language that filters are filled from at most, and their characters, together.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6_000_000
 #: An n-gram enters a language's filter if at least so many documents have it, and if it is at least so often in the
 #: language as in the one that has it most.
 LEAST_DOCS, LEAST_SHARE = 3, 0.1
@@ -109,17 +109,17 @@ def build_filters(texts: list[str], langs: list[str]) -> Filters | None:
 
 
 def train_language(docs: DataFrame, per_language: int = SAMPLE_DOCS, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters | None:
-    """Filters from about per_language documents of each language outside the held-out fold, chosen by a hash of the id;
-    None without such rows."""
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Filters from at most per_language documents of each language outside the held-out fold, those of least hash of the
+    id, and of SAMPLE_CHARS characters; None without such rows. Rows of the same id are one document."""
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("y"))
+    known = known.where(F.col("y").isNotNull() & (fold("doc_id", folds) != held_out) & F.col("text").isNotNull())
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for n, k in counts.items() for x in (n, min(1.0, per_language / k))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(folds)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(drawn < share[F.col("lang")]).select("text", "lang").limit(2 * per_language * len(counts)).collect()
-    return build_filters([r.text for r in rows], [r.lang for r in rows])
+    share = F.create_map(*[F.lit(x) for n, k in counts.items() for x in (n, min(1.0, (1.2 * per_language + 100) / k))])
+    h, drawn = hash_below("doc_id", folds, share[F.col("y")])
+    rows = bounded_rows(known.where(drawn).withColumn("h", h), per_language, SAMPLE_CHARS, Scratch(docs.sparkSession, "languages"))
+    return build_filters([t for _, t, _ in rows], [n for *_, n in rows])
 
 
 def identify(texts: list[str], filters: Filters | None) -> tuple[list[str], np.ndarray]:
@@ -162,7 +162,9 @@ def predict_language(docs: DataFrame, filters: Filters | None, id_col: str = "do
 
 
 def classify_language(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row. A row without id is neither learned from nor held out."""
+    """doc_id, held_out, lang_pred and score of every row. A row without id is neither learned from nor held out. Rows of
+    the same id are each predicted; equal texts get equal predictions, languages in a tie the first by name; texts of any
+    length are read whole; other columns are ignored, and an empty table gives an empty result."""
     got = predict_language(docs, train_language(docs))
     return got.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.llm.shared import documents
-from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, sigmoid
+from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, runs, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-#: Features of a document drawn for training; scoring uses all.
-SAMPLE_FEATURES = 2000
 
 
 def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -30,15 +28,23 @@ def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
     return total / np.maximum(count, 1) + model.bias, words
 
 
-def _sampled_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids, offsets = [], [0]
-    for t in texts:
-        f = np.concatenate([Words([p], letters=False).features(pairs=True)[0] for _, (p,) in groups([t])])
-        if len(f) > SAMPLE_FEATURES:
-            f = np.random.default_rng(len(f)).choice(f, SAMPLE_FEATURES, replace=False)
-        ids.append(f.astype(np.int32))
-        offsets.append(offsets[-1] + len(f))
-    return np.concatenate(ids) if ids else np.empty(0, np.int32), np.array(offsets)
+class _Bags:
+    """All features of whole texts, each once with how often a text has it."""
+
+    def __init__(self, texts: list[str]):
+        ids, often, self.n = [], [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            f = np.concatenate([Words(held, letters=False).features(pairs=True)[0] for _, held in groups([t])]) if t else np.empty(0, np.int32)
+            own, k = np.unique(f, return_counts=True)
+            ids.append(own.astype(np.int32))
+            often.append(k.astype(np.float32))
+            self.n[i] = len(own)
+        self.ids, self.often = np.concatenate(ids or [np.empty(0, np.int32)]), np.concatenate(often or [np.empty(0, np.float32)])
+        self.first = np.cumsum(self.n) - self.n
+
+    def __call__(self, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = runs(self.first[bags], self.n[bags])
+        return self.ids[at], self.often[at], self.n[bags]
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE_DOCS) -> tuple[Model, np.ndarray]:
@@ -49,9 +55,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         p = np.clip((y * weight).mean() if len(y) else 0.5, 0.01, 0.99)
         return Model(np.zeros(1 << 18, np.float32), 0.0), np.array([0.0, np.log(p / (1 - p))])
     own = part > 0
-    ids, offsets = _sampled_bags([t for t, o in zip(texts, own) if o])
+    bags = _Bags([t for t, o in zip(texts, own) if o])
     balance = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
-    model = fit(ids, offsets, y[own], balance[own], most=400, epochs=8, batch=64)
+    model = fit(bags, y[own], balance[own], np.flatnonzero(bags.n), epochs=8, batch=64)
     rest = ~own if len(set(y[~own].tolist())) == 2 else np.ones(len(y), bool)
     z, n = document_logits([t for t, r in zip(texts, rest) if r], model)
     return model, logistic(z[n > 0][:, None], y[rest][n > 0], weight[rest][n > 0])
@@ -76,7 +82,9 @@ def score_quality(docs: DataFrame, model: Model, scale: np.ndarray, id_col: str
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row. A row without id is neither learned from nor held out."""
+    """doc_id, held_out, score and predicted of every row. A row without id is neither learned from nor held out. Rows of
+    the same id are each scored; equal texts score alike; texts of any length are scored whole; other columns are ignored,
+    and an empty table gives an empty result."""
     model, scale = train_quality(docs, labels)
     scored = score_quality(docs, model, scale)
     return scored.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,23 +6,25 @@ two is one number per bucket, so a text costs look-ups and sums only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm.hashing import between, mix, prefix
+from harrier.llm.shared import Scratch
 
 BITS = 18
 GRAMS = (3, 4, 5)
 #: Code points worked on at once.
 CHUNK = 1 << 18
-#: Labelled documents of each class that a model is fitted on, and the longest text among them. Scoring has no limit.
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 100_000
+#: Labelled documents of each class that a model is fitted on, and their characters, together. Scoring has no limit.
+SAMPLE_DOCS = 4000
+SAMPLE_CHARS = 24_000_000
 
 
 @lru_cache(maxsize=1)
@@ -147,41 +149,36 @@ class Model:
     bias: float
 
 
-def fit(ids: np.ndarray, offsets: np.ndarray, target: np.ndarray, weight: np.ndarray, *, dim: int = 8, epochs: int = 6, rate: float = 0.4, batch: int = 256, most: int = 0, keep: float = 1.0, visits: np.ndarray | None = None, seed: int = 1) -> Model:
-    """Stochastic gradient descent (with per-row step sizes) on the cross entropy of soft targets.
+Draw = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    ids[offsets[i]:offsets[i+1]] are the features of bag i. most: features of a bag drawn for one step, 0 for all.
-    visits: the bags that an epoch visits, some more than once; None: each once.
-    keep: share of a bag's features that a step sees, so that no single one is relied on.
+
+def fit(draw: Draw, target: np.ndarray, weight: np.ndarray, visits: np.ndarray, *, dim: int = 8, epochs: int = 6, rate: float = 0.4, batch: int = 256, keep: float = 1.0, seed: int = 1) -> Model:
+    """Stochastic gradient descent (with per-row step sizes) on the cross entropy of soft targets; the vectors of all
+    buckets and the softmax above their average are trained together.
+
+    draw(bags) gives (features of these bags one after the other, how often each occurs, how many rows each bag has).
+    visits: the bags that an epoch visits, some more than once. keep: share of a bag's features that a step sees, so that
+    no single one is relied on.
     """
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias, seen = np.zeros(2, np.float32), np.full(1 << BITS, 1e-8, np.float32)
     seen_w, seen_b = np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    lengths = np.diff(offsets)
-    usable = np.arange(len(lengths)) if visits is None else visits
-    usable = usable[lengths[usable] > 0]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.02
-        for part in np.array_split(rng.permutation(usable), max(1, len(usable) // batch)):
+        for part in np.array_split(rng.permutation(visits), max(1, len(visits) // batch)):
             if not len(part):
                 continue
-            n = lengths[part]
-            if most and n.max() > most:
-                took = np.minimum(n, most)
-                at = np.concatenate([offsets[i] + (rng.integers(0, k, t) if t < k else np.arange(k)) for i, k, t in zip(part, n, took)])
-                n = took
-            else:
-                at = np.repeat(offsets[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            if keep < 1:
-                stay = rng.random(len(at)) < keep
-                stay[np.cumsum(n) - 1] = True
-                n = np.add.reduceat(stay.astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
-                at = at[stay]
-            flat = ids[at]
+            flat, often, n = draw(part)
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            x = np.add.reduceat(table[flat], first) / n[:, None].astype(np.float32)
+            if keep < 1:
+                stay = rng.random(len(flat)) < keep
+                stay[first] = True
+                flat, often, n = flat[stay], often[stay], np.add.reduceat(stay.astype(np.int64), first)
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            share = (often / np.repeat(np.add.reduceat(often, first), n)).astype(np.float32)
+            x = np.add.reduceat(table[flat] * share[:, None], first)
             z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -190,7 +187,7 @@ def fit(ids: np.ndarray, offsets: np.ndarray, target: np.ndarray, weight: np.nda
             order = np.argsort(flat, kind="stable")
             new = np.concatenate([[True], np.diff(flat[order]) != 0])
             rows = flat[order][new]
-            back = np.repeat(g @ soft.T / n[:, None].astype(np.float32), n, axis=0)[order]
+            back = (np.repeat(g @ soft.T, n, axis=0) * share[:, None])[order]
             by_row = np.add.reduceat(back, np.flatnonzero(new))
             seen[rows] += (by_row**2).mean(1)
             table[rows] -= step * by_row / np.sqrt(seen[rows])[:, None]
@@ -202,6 +199,11 @@ def fit(ids: np.ndarray, offsets: np.ndarray, target: np.ndarray, weight: np.nda
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (n[0] numbers), then those from begin[1] on, and so forth."""
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 def logistic(features: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
     """Coefficients (the last: intercept) of a logistic regression, by Newton's method."""
     x = np.column_stack([features, np.ones(len(features))])
@@ -221,30 +223,56 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fold(id_col: str, of: int) -> F.Column:
+def fold(id_col: str, of: int) -> Column:
     """crc32 of the id as text, modulo of; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held: int, docs_per_class: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(texts, labels, weights, folds) of at most docs_per_class labelled rows of each class outside the held-out fold.
+def bounded_rows(found: DataFrame, per_class: int, chars: int, scratch: Scratch) -> list[tuple[int, str, Any]]:
+    """(doc_id, text, y) of a bounded sample of rows (doc_id, text, y, h), ascending by id: of each class those of least h,
+    per_class of them at most and chars characters together, a row that would go beyond that being passed over. Rows of
+    one id count as one, of the least text. found: not many more rows than that."""
+    rows = scratch.table(found.groupBy("doc_id").agg(F.min(F.struct("text", "y", "h")).alias("r")).select("doc_id", "r.*"), "sample")
+    left: dict[Any, list[int]] = {}
+    chosen = []
+    for r in sorted(rows.select("y", "h", "doc_id", F.length("text").alias("n")).collect()):
+        room = left.setdefault(r.y, [per_class, chars])
+        if room[0] > 0 and (r.n or 0) <= room[1]:
+            room[0], room[1] = room[0] - 1, room[1] - (r.n or 0)
+            chosen.append((r.doc_id,))
+    # As many ids as the sample has rows.
+    ids = F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long"))
+    return sorted((r.doc_id, r.text or "", r.y) for r in rows.join(ids, "doc_id").select("doc_id", "text", "y").collect())
+
+
+def hash_below(id_col: str, salt: int, share: Column | float) -> tuple[Column, Column]:
+    """(a hash of the id in [0, 1), whether it is below share)."""
+    h = F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+    return h, h < share
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held: int, docs_per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, labels, weights, folds) of at most docs_per_class labelled rows of each class outside the held-out fold, and
+    of chars characters.
 
-    Rows are taken in the order of a hash of their id; the weights restore the classes' shares. Texts longer than
-    longest are not trained on. A document with several labels has the greatest.
+    Rows are taken in the order of a hash of their id; the weights restore the classes' shares. A document with several
+    labels has the greatest, rows of the same id are one document, and labels without a document are passed over.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"doc_id IS NOT NULL AND y IN (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.where(fold("doc_id", of) != held).groupBy("doc_id").agg(F.max("y").alias("y"))
     shares = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id", F.lit(of))
-    picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(docs_per_class) for y in (0, 1)]
-    # Broadcast: 2 * docs_per_class ids at most.
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
-    got = sorted(rows.join(chosen, "doc_id").select("doc_id", "text", "y").limit(3 * docs_per_class).collect())
-    y = np.array([r.y for r in got], float)
+    if not shares:
+        return [], np.empty(0), np.empty(0), np.empty(0, int)
+    # A little more than is wanted, as hashes and labels without documents vary: about 2.6 * docs_per_class ids at most.
+    share = F.create_map(*[F.lit(x) for y, n in shares.items() for x in (y, min(1.0, (1.2 * docs_per_class + 100) / n))])
+    h, drawn = hash_below("doc_id", of, share[F.col("y")])
+    picked = F.broadcast(known.where(drawn).withColumn("h", h))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    got = bounded_rows(rows.join(picked, "doc_id"), docs_per_class, chars, Scratch(docs.sparkSession, "sample"))
+    y = np.array([r[2] for r in got], float)
     weight = np.ones(len(got))
     for c in (0, 1):
         if (y == c).any():
             weight[y == c] = shares[c] / (y == c).sum()
-    folds = mix(np.array([r.doc_id for r in got], np.int64).view(np.uint64), 99) % np.uint64(5) if got else np.empty(0, np.uint64)
-    return [r.text or "" for r in got], y, weight / weight.mean() if len(got) else weight, folds.astype(int)
+    folds = mix(np.array([r[0] for r in got], np.int64).view(np.uint64), 99) % np.uint64(5) if got else np.empty(0, np.uint64)
+    return [r[1] for r in got], y, weight / weight.mean() if len(got) else weight, folds.astype(int)

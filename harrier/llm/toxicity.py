@@ -1,10 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A bag is one word: its own vector and those of its character n-grams, so a misspelling never seen before is near the word
-that it shares most n-grams with. A document is as toxic as its most toxic words: a few insults in a long text would
-vanish in an average over the document. Documents are labelled, words are not, so a word's target starts as the share of
-toxic documents among those that have it, and a second fit takes from each toxic document the words that the first one
-found, and no others, for toxic.
+A bag is a passage of PASSAGE words: the vectors of its words and of their character n-grams, averaged, so a misspelling
+never seen before is near the word that it shares most n-grams with. A document is as toxic as its most toxic passage: a
+few insults in a long text would vanish in an average over all of it.
+
+Documents are labelled, passages are not. A first fit takes every passage of a toxic document for toxic: what clean
+documents have, too, it learns to give no weight. A second fit takes from each toxic document the passages that the first
+one tells from nearly all clean ones, and no others.
 """
 
 from __future__ import annotations
@@ -17,95 +19,107 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.llm.shared import documents
-from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, sigmoid
+from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, runs, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Distinct words that a model is fitted on, the most frequent first.
-SAMPLE_WORDS = 150_000
+#: Words of a passage, and the share of clean passages that a toxic one must stand above after the first fit.
+PASSAGE, CLEAN_SHARE = 5, 0.999
 
 
-def _words(text: str) -> set[str]:
-    out = set()
+def _words(text: str) -> list[str]:
+    out: list[str] = []
     for _, held in groups([text.lower()]):
-        w = Words(held, letters=True)
-        s = w.points.tobytes().decode("utf-32-le", "surrogatepass")
-        out.update(s.split())
+        out += Words(held, letters=True).points.tobytes().decode("utf-32-le", "surrogatepass").split()
     return out
 
 
-def document_features(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(the greatest and the second greatest word logit, the logarithm of the number of words), and that number."""
-    n = len(texts)
-    best, second, words = np.full(n, -30.0), np.full(n, -30.0), np.zeros(n)
+class _Passages:
+    """Passages of a sample of texts, by the features of their words; a word's features are kept once."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        docs = [np.fromiter((number.setdefault(w, len(number)) for w in _words(t)), np.int32) for t in texts]
+        ids, sizes = [], []
+        everything = list(number)
+        for lo in range(0, len(everything), 20_000):
+            part = everything[lo : lo + 20_000]
+            f, owner = Words(part, letters=True).features(pairs=False)
+            ids.append(f[np.argsort(owner, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(owner, minlength=len(part)))
+        self.ids, self.size = np.concatenate(ids or [np.empty(0, np.int32)]), np.concatenate(sizes or [np.empty(0, np.int64)])
+        self.at = np.cumsum(self.size) - self.size
+        self.words = np.concatenate(docs or [np.empty(0, np.int32)])
+        counts = np.array([len(d) for d in docs], np.int64)
+        # A text's passages follow each other; its last one is what is left.
+        per = -(-counts // PASSAGE)
+        self.doc = np.repeat(np.arange(len(texts)), per)
+        k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        self.first = np.repeat(np.cumsum(counts) - counts, per) + k * PASSAGE
+        self.n = np.minimum(PASSAGE, np.repeat(counts, per) - k * PASSAGE)
+
+    def __call__(self, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = self.words[runs(self.first[bags], self.n[bags])]
+        sizes = self.size[w]
+        flat = self.ids[runs(self.at[w], sizes)]
+        n = np.add.reduceat(sizes, np.cumsum(self.n[bags]) - self.n[bags])
+        return flat, np.ones(len(flat), np.float32), n
+
+    def logits(self, model: Model) -> np.ndarray:
+        """Of each passage."""
+        value = np.add.reduceat(model.table[self.ids], self.at) if len(self.ids) else np.empty(0)
+        sums, sizes = (np.concatenate([[0.0], np.cumsum(x[self.words])]) for x in (value, self.size))
+        end = self.first + self.n
+        return (sums[end] - sums[self.first]) / np.maximum(sizes[end] - sizes[self.first], 1) + model.bias
+
+
+def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(the greatest logit of any PASSAGE consecutive words, or of all if there are fewer, and the number of words)."""
+    sums, sizes = [[] for _ in texts], [[] for _ in texts]
     for who, held in groups([t.lower() for t in texts]):
         w = Words(held, letters=True)
-        if not len(w.starts):
-            continue
         s, k = w.sums(model.table, pairs=False)
-        z = s / np.maximum(k, 1) + model.bias
-        first = np.flatnonzero(np.diff(w.offsets) > 0)
-        top = np.maximum.reduceat(z, w.offsets[first])
-        hit = z == np.repeat(top, np.diff(w.offsets)[first])
-        at = np.concatenate([[True], w.text[1:] != w.text[:-1]])
-        rank = np.cumsum(hit) - np.repeat(np.cumsum(hit)[at] - hit[at], np.diff(w.offsets)[first])
-        rest = np.maximum.reduceat(np.where(hit & (rank == 1), -30.0, z), w.offsets[first])
-        for i, a, b, c in zip(np.array(who)[first], top, rest, np.diff(w.offsets)[first]):
-            best[i], second[i] = max(best[i], a), max(min(best[i], a), second[i], b)
-            words[i] += c
-    return np.column_stack([np.maximum(best, -8), np.maximum(second, -8), np.log1p(words)]), words
-
-
-def _fit_words(words: list[str], target: np.ndarray, weight: np.ndarray) -> Model:
-    w = Words(words, letters=True)
-    ids, owner = w.features(pairs=False)
-    order = np.argsort(owner, kind="stable")
-    # The few toxic words are visited as often as a fifth of all others, each time with other n-grams left out.
-    toxic, other = np.flatnonzero(target > 0.5), np.flatnonzero(target <= 0.5)
-    times = max(1, int(0.2 * len(other) / max(1, len(toxic))))
-    visits = np.concatenate([other, np.tile(toxic, times)])
-    return fit(ids[order], np.searchsorted(owner[order], np.arange(len(words) + 1)), target, weight, epochs=4, batch=1024, keep=0.5, visits=visits)
-
-
-def _logits(words: list[str], model: Model) -> np.ndarray:
-    out = []
-    for i in range(0, len(words), 20_000):
-        s, k = Words(words[i : i + 20_000], letters=True).sums(model.table, pairs=False)
-        out.append(s / np.maximum(k, 1) + model.bias)
-    return np.concatenate(out) if out else np.empty(0)
+        for i, lo, hi in zip(who, w.offsets[:-1], w.offsets[1:]):
+            sums[i].append(s[lo:hi])
+            sizes[i].append(k[lo:hi])
+    best, words = np.full(len(texts), -30.0), np.zeros(len(texts))
+    for i, (s, k) in enumerate(zip(sums, sizes)):
+        s, k = np.concatenate([[0.0], *s]), np.concatenate([[0], *k])
+        words[i] = len(s) - 1
+        if words[i]:
+            s, k, w = np.cumsum(s), np.cumsum(k), min(PASSAGE, len(s) - 1)
+            best[i] = ((s[w:] - s[:-w]) / np.maximum(k[w:] - k[:-w], 1)).max() + model.bias
+    return best, words
+
+
+def _visits(target: np.ndarray, share: float) -> np.ndarray:
+    """All passages, the toxic ones so often that they make up about that share."""
+    toxic, clean = np.flatnonzero(target > 0.5), np.flatnonzero(target <= 0.5)
+    return np.concatenate([clean, np.tile(toxic, max(1, round(share / (1 - share) * len(clean) / max(1, len(toxic)))))])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE_DOCS) -> tuple[Model, np.ndarray]:
-    """The word model and the coefficients of document_features, fitted on a fifth of the sample that the model has not
-    seen. Without labels of both classes, every text gets the share of label 1 (one half if there are none)."""
+    """The passage model, and the coefficients that make a document's greatest logit a probability; these are fitted on a
+    fifth of the sample that the model has not seen. Without labels of both classes, every text gets the share of label 1
+    (one half if there are none)."""
     texts, y, weight, part = labelled_sample(docs, labels, label, folds, held_out, sample)
     if len(set(y.tolist())) < 2:
         p = np.clip((y * weight).mean() if len(y) else 0.5, 0.01, 0.99)
-        return Model(np.zeros(1 << 18, np.float32), 0.0), np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))])
-    own = np.flatnonzero(part > 0)
-    number: dict[str, int] = {}
-    sets = [np.fromiter((number.setdefault(w, len(number)) for w in _words(texts[i])), np.int32) for i in own]
-    share = (y[own] == 1).sum() / len(own)
-    n0, n1 = (np.bincount(np.concatenate([s for i, s in zip(own, sets) if y[i] == c] or [np.empty(0, np.int32)]), minlength=len(number)) for c in (0, 1))
-    kept = np.argsort(-(n0 + n1), kind="stable")[:SAMPLE_WORDS]
-    everything = list(number)
-    words = [everything[k] for k in kept]
-    del number, everything
-    m0, m1 = n0[kept], n1[kept]
-    few = 3.0  # a word's share counts as much as so many documents of the sample's share
-    target = np.maximum(0, (m1 + few * share) / (m0 + m1 + few) - share) / (1 - share)
-    model = _fit_words(words, target, np.log1p(m0 + m1))
-    z = np.full(len(n0), -30.0)
-    z[kept] = _logits(words, model)
-    named = np.zeros(len(n0), np.int64)
-    for i, s in zip(own, sets):
-        if y[i] == 1 and len(s):
-            named[s[z[s] >= min(max(z[s].max(), -1.0), 0.0)]] += 1
-    hit = named[kept]
-    target = hit / np.maximum(m0 + np.maximum(hit, m1), 1)
-    model = _fit_words(words, target, np.log1p(m0 + m1))
+        return Model(np.zeros(1 << 18, np.float32), 0.0), np.array([0.0, np.log(p / (1 - p))])
+    own = part > 0 if len(set(y[part > 0].tolist())) == 2 else np.ones(len(y), bool)
+    p = _Passages([t for t, o in zip(texts, own) if o])
+    target = y[own][p.doc]
+    even = np.ones(len(target), np.float32)
+    z = p.logits(fit(p, target, even, _visits(target, 0.3), epochs=2, batch=1024, keep=0.5))
+    clean = z[target == 0]
+    named = (target == 1) & (z > (np.quantile(clean, CLEAN_SHARE) if len(clean) else -np.inf))
+    if named.any():
+        target = named.astype(float)
+        model = fit(p, target, even, _visits(target, 0.2), epochs=3, batch=1024, keep=0.5, seed=2)
+    else:  # too few documents to tell passages apart
+        model = fit(p, target, even, _visits(target, 0.3), epochs=4, batch=64)
     rest = part == 0 if len(set(y[part == 0].tolist())) == 2 else np.ones(len(y), bool)
-    f, n = document_features([t for t, r in zip(texts, rest) if r], model)
-    return model, logistic(f[n > 0], y[rest][n > 0], weight[rest][n > 0])
+    f, n = document_logits([t for t, r in zip(texts, rest) if r], model)
+    return model, logistic(f[n > 0][:, None], y[rest][n > 0], weight[rest][n > 0])
 
 
 def _score(model: Model, scale: np.ndarray):
@@ -113,8 +127,8 @@ def _score(model: Model, scale: np.ndarray):
         for rb in batches:
             for lo in range(0, rb.num_rows, 500):
                 part = rb.slice(lo, 500)
-                f, words = document_features([t or "" for t in part.column(1).to_pylist()], model)
-                score = np.where(words > 0, sigmoid(f @ scale[:-1] + scale[-1]), 0.0)
+                z, words = document_logits([t or "" for t in part.column(1).to_pylist()], model)
+                score = np.where(words > 0, sigmoid(z * scale[0] + scale[1]), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return run
@@ -127,7 +141,9 @@ def score_toxicity(docs: DataFrame, model: Model, scale: np.ndarray, id_col: str
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row. A row without id is neither learned from nor held out."""
+    """doc_id, held_out, score and predicted of every row. A row without id is neither learned from nor held out. Rows of
+    the same id are each scored; equal texts score alike; texts of any length are scored whole; other columns are ignored,
+    and an empty table gives an empty result."""
     model, scale = train_toxicity(docs, labels)
     scored = score_toxicity(docs, model, scale)
     return scored.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
