@@ -11,19 +11,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm.hashing import mix
 from harrier.llm.shared import documents
 
 #: Largest edit distance, as a share of the item's characters.
 EDIT_RATE = 0.15
-#: Steps sampled of an embedding; the search does not use embeddings.
-SAMPLED = 3
 #: Characters of a piece, and how many pieces an item should keep at least; shorter pieces for an item that would not.
 PIECE = 5
 KEPT = 4
@@ -78,47 +76,6 @@ def _nearest(pattern: str, text: str, anchored: int | None = None) -> tuple[int,
     return best, end
 
 
-def embed(texts: list[str], walks: int, steps: np.ndarray, seed: int = 7) -> np.ndarray:
-    """CGK embeddings at the sampled steps only: (walks, texts, samples); steps: (walks, samples), per walk.
-
-    A text of n characters is walked through in 3 n steps; past its end it gives 0."""
-    last = int(steps.max()) + 1 if steps.size else 0
-    longest = max((len(t) for t in texts), default=0)
-    codes = np.zeros((len(texts), longest + 1), np.int64)
-    for k, t in enumerate(texts):
-        codes[k, : len(t)] = mix(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64), 4) % np.uint64(255) + np.uint64(1)
-    at = np.zeros((walks, len(texts)), np.int32)
-    out = np.zeros((walks, len(texts), steps.shape[1]), np.uint8)
-    wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for w in range(walks):
-        for j, s in enumerate(steps[w].tolist()):
-            wanted[s].append((w, j))
-    rows, rng = np.arange(len(texts))[None, :], np.random.default_rng(seed)
-    which = np.arange(walks)[:, None]
-    for s in range(last):
-        bits = rng.integers(0, 2, (walks, 256), dtype=np.int32)
-        c = codes[rows, np.minimum(at, longest)]
-        for w, j in wanted.get(s, ()):
-            out[w, :, j] = c[w]
-        at += bits[which, c]
-    return out
-
-
-def sampled_steps(length: int, walks: int, samples: int = SAMPLED, seed: int = 3) -> np.ndarray:
-    """Steps at which items of about that length are sampled, within three steps a character."""
-    return np.random.default_rng(seed + length).integers(0, max(1, 2 * length), (walks, samples))
-
-
-def keys_of(texts: list[str], length: int, walks: int) -> np.ndarray:
-    """(texts, walks): one LSH key for each repetition."""
-    e = embed(texts, walks, sampled_steps(length, walks), length).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        k = np.full(e.shape[:2], 1, np.uint64)
-        for j in range(e.shape[2]):
-            k = mix(k * np.uint64(257) + e[:, :, j], j)
-        return (k + np.arange(e.shape[0], dtype=np.uint64)[:, None]).T
-
-
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -259,51 +216,79 @@ class Index:
 FOUND = "doc_id long, item_id long, first_word long, distance int, item_chars int"
 
 
+def _gathered(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and normal texts, some BATCH_CHARS characters together."""
+    rows, texts, size = [], [], 0
+    for i, t in enumerate(column):
+        rows.append(i)
+        texts.append(normal(t.as_py()))
+        size += len(texts[-1])
+        if size >= BATCH_CHARS:
+            yield rows, texts
+            rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
+
+
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            lo = 0
-            while lo < rb.num_rows:
-                ids, texts, size = [], [], 0
-                while lo < rb.num_rows and size < BATCH_CHARS:
-                    texts.append(normal(rb.column(1)[lo].as_py()))
-                    ids.append(rb.column(0)[lo].as_py())
-                    size += len(texts[-1])
-                    lo += 1
+            for rows, texts in _gathered(rb.column(1)):
                 got = index.search(texts)
                 if got:
-                    cols = [[ids[d] for d, *_ in got], [index.ids[i] for _, i, *_ in got], [w for *_, w, _ in got], [e for *_, e in got], [len(index.texts[i]) for _, i, *_ in got]]
+                    ids = rb.column(0).take(pa.array([rows[d] for d, *_ in got])).to_pylist()
+                    cols = [ids, [index.ids[i] for _, i, *_ in got], [w for *_, w, _ in got], [e for *_, e in got], [len(index.texts[i]) for _, i, *_ in got]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "first_word", "distance", "item_chars"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, first_word, distance, item_chars) of the items that documents hold within rate * item length
-    edits, after lower-casing and joining words by one space; one row per pair, its best place.
-
-    Items without words are left out; those of the same text are each reported. Null or empty texts hold nothing.
-    Documents without id are searched, too. Items go through in blocks of BLOCK_CHARS characters, so what is broadcast
-    is bounded; a benchmark of more takes more passes.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def indexes(items: DataFrame, rate: float, item_col: str = "item_id", item_text: str = "text") -> Iterator[Index]:
+    """The items in blocks of BLOCK_CHARS characters, so what is broadcast is bounded; more items make more blocks."""
     listed = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.trim("text") != "")
-    out, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for r in listed.orderBy("item_id", "text").toLocalIterator():
         t = normal(r.text)
         if ids and size + len(t) > BLOCK_CHARS:
-            out.append(rows.mapInArrow(_search(Index(ids, texts, rate)), FOUND))
+            yield Index(ids, texts, rate)
             ids, texts, size = [], [], 0
         if t:
             ids.append(r.item_id)
             texts.append(t)
             size += len(t)
-    if ids or not out:
-        out.append(rows.mapInArrow(_search(Index(ids, texts, rate)), FOUND))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    yield Index(ids, texts, rate)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, first_word, distance, item_chars) of the items that documents hold within rate * item length
+    edits, after lower-casing and joining words by one space; one row per pair, its best place.
+
+    Items without words are left out; those of the same text are each reported. Null or empty texts hold nothing; texts of
+    any length are searched whole. Documents without id are searched, too, and rows of the same id each. Of places that are
+    equally near, the first counts. Other columns are ignored; an empty table, or one without items, gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(index), FOUND) for index in indexes(items, rate, item_col, item_text)])
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, text_col: str = "text") -> DataFrame:
+    """The rows of a table whose own text holds no item within rate * item length edits, all columns as they are. Each row
+    is judged by itself: null and repeated ids make no difference."""
+    at = docs.columns.index(text_col)
+
+    def clean(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                keep = np.ones(rb.num_rows, bool)
+                for rows, texts in _gathered(rb.column(at)):
+                    keep[[rows[d] for d, *_ in index.search(texts)]] = False
+                yield rb.filter(pa.array(keep))
+
+        return run
+
+    for index in indexes(items, rate):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,21 @@ def score_quality(docs: DataFrame, model: Model, scale: np.ndarray, id_col: str
     return rows.mapInArrow(_score(model, scale), "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, scale: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of a table whose own text scores threshold or more, all columns as they are. Each row is judged by itself:
+    null and repeated ids make no difference, a null or empty text goes."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for lo in range(0, rb.num_rows, 500):
+                part = rb.slice(lo, 500)
+                z, words = document_logits([t or "" for t in part.column(at).to_pylist()], model)
+                yield part.filter(pa.array((words > 0) & (sigmoid(z * scale[0] + scale[1]) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. A row without id is neither learned from nor held out. Rows of
     the same id are each scored; equal texts score alike; texts of any length are scored whole; other columns are ignored,

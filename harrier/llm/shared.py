@@ -36,6 +36,9 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/harrier-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        # Results read from these tables when they are used, so the folder stays as long as the session, and no longer.
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path), spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).deleteOnExit(path)
         # Fewer rows in an Arrow batch: what a worker and the JVM's off-heap buffers hold does not depend on luck.
         if int(spark.conf.get(_ARROW)) > ARROW_ROWS:
             spark.conf.set(_ARROW, str(ARROW_ROWS))

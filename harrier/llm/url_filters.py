@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A list of at most so many intervals is broadcast (some 20 MB); a longer one is joined in SALTS copies.
 BROADCAST_ROWS = 200_000
 SALTS = 16
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
 
@@ -22,12 +22,14 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def patterns_of(url: F.Column) -> F.Column:
-    """All patterns that cover a URL: its host's suffixes of two labels or more, and its path's prefixes."""
+def patterns_of(url: F.Column, depth: int) -> F.Column:
+    """All patterns that can cover a URL: its host's suffixes of two labels or more (an address has itself alone), and its
+    path's prefixes of at most depth steps, which is as deep as any listed path is."""
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
-    steps = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
+    most = F.when(host.rlike(r"^[0-9.]+$|^\["), 1).otherwise(F.greatest(F.lit(1), n - 1))
+    domains = F.transform(F.sequence(F.lit(1), most), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
+    steps = F.slice(F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != ""), 1, max(1, depth))
     paths = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
     return F.when(host != "", F.concat(domains, F.coalesce(paths, F.array().cast("array<string>"))))
 
@@ -47,12 +49,15 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     entry, and n_active, the number of entries that hold for it.
 
     The longest path pattern decides, then the longest domain. A capture with a null or unreadable URL or without time
-    has no entries. Rows equal in id, URL and time are one capture. Other columns are ignored.
+    has no entries. The host of an address is the address (IPv6 in brackets), with no suffixes. Rows equal in id, URL and
+    time are one capture; patterns of one length and kind come in the order of their text, the last first. URLs of any
+    length are read whole. Other columns are ignored; an empty table gives an empty result, an empty list judges nothing.
     """
     held = intervals(entries)
-    small = held.limit(broadcast_rows + 1).count() <= broadcast_rows
+    size = held.agg(F.count("*").alias("n"), F.max(F.size(F.split("pattern", "/"))).alias("steps")).first()
+    small = size.n <= broadcast_rows
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).cast("timestamp").alias("at"))
-    keyed = rows.select("*", F.explode_outer(patterns_of(F.col("url"))).alias("pattern"))
+    keyed = rows.select("*", F.explode_outer(patterns_of(F.col("url"), (size.steps or 1) - 1)).alias("pattern"))
     on = "c.pattern = i.pattern AND c.at >= i.since AND (i.until IS NULL OR c.at < i.until)"
     if small:
         met = keyed.alias("c").join(F.broadcast(held).alias("i"), F.expr(on), "left")
@@ -103,7 +108,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_captures(captures, sample_list(pages))
 
 
-_SQL_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+_SQL_HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1))"
 _SQL_STEPS = "list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '')"
 ORACLE = f"""
 WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INTEGER)) AS ft, {_SQL_HOST} AS h, {_SQL_STEPS} AS steps FROM pages),

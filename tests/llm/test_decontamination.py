@@ -1,5 +1,8 @@
 import random
 
+import cgk
+import numpy as np
+
 from harrier.llm import decontamination as m
 
 
@@ -30,10 +33,21 @@ def test_distance():
 
 def test_embedding_is_of_equal_texts_equal_and_near_texts_near():
     a, b = "the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumped over the lazy dog " * 3
-    k = m.keys_of([a, a, b, a[::-1]], 128, 200)
+    k = cgk.keys_of([a, a, b, a[::-1]], 128, 200)
     assert (k[0] == k[1]).all() and (k[0] == k[2]).mean() > 3 * (k[0] == k[3]).mean()
 
 
+def test_embeddings_would_need_many_repetitions():
+    """Why the search is not by embeddings: at the largest distance, a window and its item agree in few of the keys, so each
+    window of a text would have to be walked through some thirty times for a recall of 0.9."""
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    items = [" ".join(word() for _ in range(rnd.randint(20, 70))) for _ in range(40)]
+    p = np.array([(k[0] == k[1]).mean() for t in items for k in [cgk.keys_of([t, edited(rnd, t, int(m.EDIT_RATE * len(t)))], len(t), 300)]])
+    need = next(n for n in range(1, 3000) if (1 - (1 - p) ** n).mean() >= 0.9)
+    assert 15 < need < 100
+
+
 def test_edited_items_are_found_and_clean_documents_are_not(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
