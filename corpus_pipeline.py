@@ -7,13 +7,13 @@ of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrier.llm.decontamination import contaminated
+from harrier.llm.decontamination import uncontaminated
 from harrier.llm.jaccard_join import jaccard_components
 from harrier.llm.mixing import mix_sources
-from harrier.llm.quality import THRESHOLD, score_quality, train_quality
+from harrier.llm.quality import keep_good, train_quality
 from harrier.llm.shared import Scratch
 from harrier.llm.token_files import read_tokens, write_tokens
 
@@ -21,31 +21,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects. A document without id cannot be scored by id and goes."""
+    """Drop documents that the quality classifier rejects. Every row is judged by its own text, also one without an id or
+    with another's; a null or empty text goes. It learns from the labels of documents that are still there."""
     model, scale = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = score_quality(docs, model, scale).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return keep_good(docs.select(COLUMNS), model, scale)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, keep the document of least id."""
-    first = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+    """Of each group of near duplicates, keep the document of least id. Rows of one id are one document: its row of least
+    text stays. A document without id is in no group and stays, and so does one without words."""
+    first = jaccard_components(spark, docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = docs.select(COLUMNS).join(first, "doc_id")
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(F.col("_rows") > 1, F.col("text")).asc_nulls_first()))
+    kept = kept.withColumn("_row", row).where("_row = 1").select(COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, or nearly."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Drop documents that hold a benchmark item, or nearly. Every row is judged by its own text; one without text holds
+    nothing and stays."""
+    return uncontaminated(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents of small sources, each source once at least and none more than twice."""
+    """Repeat documents of small sources, each source once at least and none more than twice. A null source is a source;
+    documents without id or text are read as others are."""
     return mix_sources(spark, docs, keep=("text", "lang", "n_chars")).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files in ascending id order; return what they hold, by document."""
+    """Write token files in ascending id order, documents without id first; return what they hold, by document."""
     path = f"{Scratch(spark, 'corpus').path}/tokens"
     write_tokens(spark, docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path)
