@@ -62,3 +62,40 @@ def test_table(spark, sf):
     check(rows, read, m.repeats(shares, w, 0.5), 1 << 18)
     again = m.mix_sources(spark, df, most_repeats=None, target_entropy=2.0, budget=0.5).collect()
     assert sorted(map(tuple, read)) == sorted(map(tuple, again))
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Every entry's block, epoch, position and first token, recomputed; spans and wide shares change nothing."""
+    import hashlib
+
+    num = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    rows = [(i, " ".join(["w"] * (i * 7 % 40)) + f" x{i}", "abc"[min(2, i % 7)]) for i in range(120)] + [(7, "same", "b"), (7, "same", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = 60
+    docs, total = [], Counter()
+    for i, t, s in rows:
+        docs.append((i, s, len(t.split()), hashlib.md5(t.encode()).hexdigest()))
+        total[s] += len(t.split())
+    shares = {s: t / sum(total.values()) for s, t in total.items()}
+    times = m.repeats(shares, m.temper(shares, m.bisect_exponent(shares, most_repeats=2.0)), None)
+    want = []
+    for s in total:
+        of, quota, blocks = "s" + s, int(round(times[s] * total[s], 3) + 0.999), max(1, round(total[s] / size))
+        spent = turn = 0
+        for e in range(math.ceil(round(times[s], 9))):
+            own = defaultdict(list)
+            for d in docs:
+                if d[1] == s:
+                    own[num(17, of, d[3], d[0]) % blocks].append(d)
+            for b in sorted(own, key=lambda b: (num(17, "block", of, e, b), b)):
+                turn, at = turn + 1, spent
+                for d in sorted(own[b], key=lambda d: (num(17, "doc", of, e, d[3], d[0]), d[0], d[3])):
+                    if spent < quota and at < quota:
+                        want.append((d[0], s, d[2], e, b, turn * 2**32 + num(17, "doc", of, e, d[3], d[0]), at))
+                    at += d[2]
+                spent = at
+    got = lambda: sorted(tuple(r) for r in m.mix_sources(spark, df, block_tokens=size).collect())
+    assert got() == sorted(want)
+    monkeypatch.setattr(m, "BLOCKS_TOGETHER", 3)
+    monkeypatch.setattr(m, "SOURCES", 1)
+    assert got() == sorted(want)

@@ -29,3 +29,22 @@ def test_awkward_and_empty(awkward, nothing, spark, sf):
         for _, stage in c.STAGES:
             docs = stage(spark, docs, sf).cache()
             docs.count()
+
+
+def test_null_and_repeated_ids(awkward, spark, sf):
+    """Quality and contamination are judged by row; of a group, and of an id, one row stays; rows without id stay."""
+    docs = awkward.select(c.COLUMNS)
+    rows = [tuple(r) for r in docs.collect()]
+    kept = [tuple(r) for r in c.keep_one_of_near_duplicates(spark, docs, sf).collect()]
+    component = {i: k for i, _, k in brute([(r[0], r[1]) for r in rows])}
+    assert sorted(r[0] for r in kept if r[0] is not None) == sorted({i for i, k in component.items() if i is not None and i == k})
+    assert [r[1] for r in kept if r[0] is None] == [r[1] for r in rows if r[0] is None]
+    one = spark.createDataFrame([(5, "an item of words " * 9), (5, "quite other words stand here"), (None, "an item of words " * 9)], "item_id long, text string")
+    items = one.limit(1)
+    left = decontamination.uncontaminated(one.withColumnRenamed("item_id", "doc_id"), items).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(5, "quite other words stand here")]
+    assert decontamination.uncontaminated(docs, items.limit(0)).count() == len(rows)
+    model, scale = quality.train_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    z, n = quality.document_logits([r[1] or "" for r in rows], model)
+    good = [r for r, x, k in zip(rows, quality.sigmoid(z * scale[0] + scale[1]), n) if k and x >= quality.THRESHOLD]
+    assert sorted(map(repr, map(tuple, quality.keep_good(docs, model, scale).collect()))) == sorted(map(repr, good))

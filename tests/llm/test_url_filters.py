@@ -62,3 +62,12 @@ def test_sql(spark, sf):
     want = con.sql(f"SELECT page_id, url, fetched_at, host, verdict, pattern, listed_at, n_active FROM ({m.ORACLE})").fetchall()
     got = [tuple(r) for r in m.op1_url_filters(spark, d).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and {r[4] for r in got} == {"block", "allow", "none"}
+
+
+def test_addresses_and_deep_paths(spark):
+    """An address covers itself alone; a path of any depth is met by listed prefixes, and ten thousand steps cost nothing."""
+    deep = "/".join(["s"] * 10_000)
+    captures = spark.createDataFrame([(1, "http://10.0.0.1/x", DAY(1)), (2, "http://[::1]:80/x", DAY(1)), (3, f"http://h.example.com/a/b/{deep}", DAY(1))], "page_id long, url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("d:0.1", DAY(0), "add", "block"), ("d:10.0.0.1", DAY(0), "add", "allow"), ("d:[::1]", DAY(0), "add", "block"), ("p:h.example.com/a/b", DAY(0), "add", "block")], "pattern string, listed_at timestamp, action string, verdict string")
+    got = {r.page_id: (r.host, r.verdict, r.n_active) for r in m.judge_captures(captures, entries).collect()}
+    assert got == {1: ("10.0.0.1", "allow", 1), 2: ("[::1]", "block", 1), 3: ("h.example.com", "block", 1)}
