@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
 
 #: The stages of a chain.
-STAGES = ("ingest", "discover", "retrieve", "dedupe", "pregroup", "triage", "embed", "extract", "match", "summarize")
+STAGES = ("ingest_who", "ingest_ecdc", "discover", "retrieve", "dedupe", "triage", "embed", "pregroup", "extract", "geocode", "match", "summarize")
 OUTCOMES = "stage string, ok boolean, error string, counts map<string,bigint>"
 
 
@@ -89,9 +89,15 @@ def run_chain(spark: SparkSession, stages: list[tuple[str, Callable[[], dict[str
     return spark.createDataFrame(rows, OUTCOMES)
 
 
+def paced(requests: DataFrame, host: str, order: list[str], now: Column, seconds: float, most: int) -> DataFrame:
+    """The first `most` requests, each with the time at which it may go: a host's requests are seconds apart. The limit of a
+    run is the feature."""
+    page = requests.orderBy(*order).limit(most)
+    turn = F.row_number().over(Window.partitionBy(host).orderBy(*order)) - 1
+    return page.withColumn("due_at", F.timestamp_micros((F.unix_micros(now) + turn * int(seconds * 1_000_000)).cast("long")))
+
+
 def guarded_cases(cases: DataFrame, order: str, cost: str, most: float) -> DataFrame:
     """Cases of a model comparison by model, taken in order until their cost has used the budget up; the rest is not run."""
-    from pyspark.sql import Window
-
     spent = F.sum(cost).over(Window.partitionBy("model").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return cases.withColumn("ran", F.coalesce(spent, F.lit(0)) < most)

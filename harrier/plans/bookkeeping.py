@@ -1,4 +1,5 @@
-"""Queries of the pipeline's bookkeeping: queues, retrieval, extraction, events' records, groups, reviews, runs."""
+"""Queries of the pipeline's bookkeeping: queues, retrieval, extraction, events' records, groups, reviews, runs; and of
+small operators and functions."""
 
 from __future__ import annotations
 
@@ -482,6 +483,13 @@ def schema_report(spark: SparkSession, d: str) -> DataFrame:
     return R.schema_report(spark, ["orders", "part", "absent", "none"], {"orders": D.table(spark, d, "orders"), "part": p, "none": p.where("p_partkey < 0"), "other": p})
 
 
+@query(f"SELECT page_id, {D.NOW} + 5 * (row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1) AS due_s FROM pages WHERE page_id < 40")
+def paced_fetches(spark: SparkSession, d: str) -> DataFrame:
+    """The first forty pages, those of a host five seconds apart: the cap is a run's."""
+    p = D.table(spark, d, "pages").select("page_id", (F.col("page_id") % 7).alias("host"))
+    return U.paced(p, "host", ["page_id"], D.now(), 5, 40).select("page_id", F.unix_seconds("due_at").alias("due_s"))
+
+
 # --- a reader's page, writes by rule ---------------------------------------------------------------------------------
 
 
@@ -530,3 +538,110 @@ def alternate_names(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("c_custkey")
     names = F.when(i % 4 == 0, F.array(F.lit("A "), F.lit("--"), F.lit(""))).when(i % 4 == 1, F.array(F.lit("Port-B"), F.lit("port  b"), F.lit("a"))).otherwise(F.array(F.lit("PORT B"), F.concat(F.lit("Port "), i % 7), F.lit("Port b")))
     return D.table(spark, d, "customer").select("c_custkey", F.array_join(P.alternates(names, F.lit("A")), ",").alias("alternates"))
+
+
+# --- functions and small operators, each on whole tables -------------------------------------------------------------
+
+_ZONES = ["Z", "+02:00", "-0530", ""]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT + o_custkey % 86400 AS t, o_orderkey % 4 AS z FROM orders)
+SELECT o_orderkey, t - [0, 7200, -19800, 0][z + 1] AS iso_s, [0, 120, -330, NULL][z + 1] AS offset_minutes, CASE WHEN o_orderkey % 5 > 0 THEN t - 3600 END AS feed_s, CASE WHEN o_orderkey % 7 > 0 THEN t END AS seen_s, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM o""")
+def parsed_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times written as ISO, RFC 2822 and compact texts, some of them broken, and read back."""
+    t = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 86400)
+    iso = F.concat(F.lit(" "), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(*map(F.lit, _ZONES)), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    feed = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("Thu, "), F.date_format(t, "d MMM yyyy HH:mm:ss"), F.lit(" +0100"))).otherwise("yesterday")
+    seen = F.when(F.col("o_orderkey") % 7 > 0, F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")).otherwise("20240132T000000Z")
+    o = D.table(spark, d, "orders").select("o_orderkey", iso.alias("iso"), feed.alias("feed"), seen.alias("seen"), t.alias("t"))
+    return o.select("o_orderkey", F.unix_seconds(T.iso_time(F.col("iso"))).alias("iso_s"), T.stated_offset(F.btrim("iso")).alias("offset_minutes"), F.unix_seconds(T.feed_time(F.col("feed"))).alias("feed_s"), F.unix_seconds(T.seen_time(F.col("seen"))).alias("seen_s"), F.to_date("t").cast("string").alias("day"))
+
+
+_P = "6371.0 * 2 * atan2(sqrt({h}), sqrt(1 - {h}))".format(h="(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))")
+_R = "CASE {}.precision WHEN 'place' THEN 4 WHEN 'admin2' THEN 3 WHEN 'admin1' THEN 2 WHEN 'country' THEN 1 ELSE 0 END"
+_SHARED = f"least({_R.format('a')}, {_R.format('b')})"
+
+
+@query(f"""{_W}, p AS (SELECT signal_id, {_AT} AS t, country, admin1, admin2, precision, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon FROM signals)
+SELECT a.signal_id, k, round({_P}, 5) AS km, coalesce(CASE {_SHARED} WHEN 0 THEN FALSE WHEN 1 THEN a.country = b.country WHEN 2 THEN a.country = b.country AND a.admin1 = b.admin1 WHEN 3 THEN a.country = b.country AND NOT coalesce(a.admin1 <> b.admin1, FALSE) AND a.admin2 = b.admin2 ELSE a.country = b.country AND {_P} <= 50 END, FALSE) AS together, abs(a.t - b.t) <= 0.5 * 86400 AS near_in_time
+FROM p a, (SELECT unnest([6, 12, 13]) AS k) JOIN p b ON b.signal_id = a.signal_id + k""")
+def compared_places(spark: SparkSession, d: str) -> DataFrame:
+    """Each signal against three others: kilometres, whether the places agree at the coarser precision, and the times."""
+    s = D.signals(spark, d).select("signal_id", F.coalesce("published_at", "first_seen_at").alias("at"), F.struct("country", "admin1", "admin2", "latitude", "longitude", "precision").alias("place"))
+    o = s.select(F.col("signal_id").alias("o_id"), F.col("at").alias("o_at"), F.col("place").alias("o_place"))
+    j = s.withColumn("k", F.explode(F.array(F.lit(6), F.lit(12), F.lit(13)))).join(o, F.col("o_id") == F.col("signal_id") + F.col("k"))
+    km = T.haversine_km(F.col("place.latitude"), F.col("place.longitude"), F.col("o_place.latitude"), F.col("o_place.longitude"))
+    return j.select("signal_id", "k", F.round(km, 5).alias("km"), T.spatially_compatible("place", "o_place").alias("together"), T.within_days(F.col("at"), F.col("o_at"), 0.5).alias("near_in_time"))
+
+
+@query("SELECT n_nationkey AS model_id, tier FROM (SELECT n_nationkey, n_nationkey % 4 + 1 AS tier, CASE n_nationkey % 3 WHEN 0 THEN 'triage' WHEN 1 THEN 'extraction' END AS purpose, n_nationkey % 5 > 0 AS active FROM nation) WHERE active AND coalesce(purpose, 'triage') = 'triage' AND tier BETWEEN 2 AND 3")
+def model_roster(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    models = D.table(spark, d, "nation").select(k.alias("model_id"), (k % 4 + 1).alias("tier"), F.when(k % 3 == 0, "triage").when(k % 3 == 1, "extraction").alias("purpose"), (k % 5 > 0).alias("active"))
+    return M.roster(models, "triage", 3, 2).select("model_id", "tier")
+
+
+@query(f"""{_W}, o AS (SELECT signal_id, CAST(signal_id / 2 - signal_id % 2 * 0.5 AS BIGINT) % 50 AS url, CASE WHEN signal_id % 4 = 0 THEN NULL ELSE 'h' || signal_id % 3 END AS h FROM signals),
+n AS (SELECT signal_id, url, 'h' || signal_id % 3 AS h FROM o WHERE signal_id % 4 = 0), taken AS (SELECT DISTINCT n.signal_id FROM n JOIN o ON o.url = n.url AND o.h = n.h AND o.signal_id <> n.signal_id)
+SELECT count(*) AS n, count(o.h) + (SELECT count(*) FROM n) - (SELECT count(*) FROM taken) AS n_hashed, (SELECT count(*) FROM n) - (SELECT count(*) FROM taken) AS n_promoted, count(*) FILTER (o.signal_id % 4 = 0 AND o.signal_id NOT IN (SELECT signal_id FROM taken)) AS n_with_body FROM o""")
+def promoted_stubs(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth signal is a stub that gets its body, unless another row has that url and hash."""
+    i = F.col("signal_id")
+    old = D.signals(spark, d).select("signal_id", (((i - i % 2) / 2).cast("bigint") % 50).alias("url"), F.when(i % 4 != 0, F.concat(F.lit("h"), i % 3)).alias("content_hash"), F.lit(None).cast("string").alias("raw_text"))
+    bodies = old.where("signal_id % 4 = 0").withColumns({"content_hash": F.concat(F.lit("h"), i % 3), "raw_text": F.lit("body")})
+    after = K.promote(old, bodies)
+    n = after.agg(F.count("*").alias("n"), F.count("content_hash").alias("n_hashed"), F.count("raw_text").alias("n_with_body"))
+    return n.withColumn("n_promoted", F.col("n_with_body"))
+
+
+@query("SELECT 'd' || k AS domain, CASE WHEN k < 40 THEN 'Name ' || k WHEN k % 60 < 40 OR row_number() OVER (PARTITION BY k < 40, k % 60 ORDER BY 'd' || k) > 1 THEN 'd' || k ELSE 'Name ' || k % 60 END AS name FROM (SELECT DISTINCT c_custkey % 200 AS k FROM customer)")
+def publishers(spark: SparkSession, d: str) -> DataFrame:
+    """Publishers by domain: forty are known, the others' names repeat, and a name that is taken falls back to the domain."""
+    k = F.col("k")
+    c = D.table(spark, d, "customer").select((F.col("c_custkey") % 200).alias("k")).distinct()
+    rows = c.select(F.concat(F.lit("d"), k).alias("domain"), F.concat(F.lit("Name "), F.when(k < 40, k).otherwise(k % 60)).alias("name"), "k")
+    return K.get_or_create(rows.where("k < 40").drop("k"), rows.where("k >= 40").drop("k"), "domain", "name")
+
+
+_SPOT = "CASE signal_id % 9 WHEN 0 THEN NULL ELSE CAST(latitude AS DOUBLE) END"
+
+
+@query(f"""{_W}, p AS (SELECT CAST(floor(signal_id / 4) AS BIGINT) AS s, signal_id AS place_id, CASE WHEN signal_id % 5 = 0 THEN 'primary' ELSE 'mention' END AS role, precision, {_SPOT} AS lat, CASE WHEN signal_id % 3 = 0 THEN ' ng' ELSE 'Nigeria' END AS c, CASE precision WHEN 'place' THEN 4 WHEN 'admin2' THEN 3 WHEN 'admin1' THEN 2 ELSE 1 END AS r FROM signals),
+f AS (SELECT s, arg_min({{'place_id': place_id, 'precision': precision, 'lat': lat, 'country': CASE c WHEN ' ng' THEN 'NG' END}}, (role <> 'primary', -r, place_id)) AS p FROM p WHERE lat IS NOT NULL AND precision <> 'unresolved' GROUP BY s)
+SELECT s AS signal_id, p.place_id AS place_id, p.precision AS precision, p.lat AS latitude, p.country AS country, CASE WHEN s % 3 = 0 THEN 'Kano' WHEN p.country IS NOT NULL THEN p.country ELSE 'Unknown' END AS label FROM f""")
+def representative_places(spark: SparkSession, d: str) -> DataFrame:
+    """One plottable place for each signal of four, its country's code, and what a map calls it."""
+    i = F.col("signal_id")
+    p = D.signals(spark, d).select(F.floor(i / 4).alias("signal_id"), i.alias("place_id"), F.when(i % 5 == 0, "primary").otherwise("mention").alias("role"), "precision", F.expr(_SPOT).alias("latitude"), F.when(F.expr(_SPOT).isNotNull(), F.col("longitude")).alias("longitude"), F.when(i % 3 == 0, " ng").otherwise("Nigeria").alias("country"))
+    r = R.representative_places(p)
+    return r.select("signal_id", "place_id", "precision", "latitude", "country", P.label(F.when(F.col("signal_id") % 3 == 0, "Kano"), F.lit(""), F.col("country")).alias("label"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN regexp_extract(left(text, 80), '(?s)^(.+) [^ ]*$', 1) <> '' THEN regexp_extract(left(text, 80), '(?s)^(.+) [^ ]*$', 1) ELSE left(text, 80) END AS short, CASE doc_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN NULL ELSE '_x' END AS error, CASE doc_id % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'FR' END AS country, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (doc_id % 90) || '.5,' || (doc_id % 40) || '.0]},"properties":{"doc_id":' || doc_id || '}}' AS feature FROM documents""")
+def shown_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at a word, safe names of errors, codes of countries, GeoJSON points."""
+    i = F.col("doc_id")
+    t = D.table(spark, d, "documents").select("doc_id", X.truncate_words(F.col("text"), 80).alias("short"), X.exception_name(F.when(i % 3 == 0, "ValueError").when(i % 3 == 1, "bad name").otherwise("_x")).alias("error"), X.country_code(F.when(i % 4 == 0, " de").when(i % 4 == 1, "fr ").when(i % 4 == 2, "unknown")).alias("country"), (i % 90 + 0.5).cast("double").alias("lon"), (i % 40).cast("double").alias("lat"))
+    return t.select("doc_id", "short", "error", "country", P.feature(["doc_id"], "lat", "lon").alias("feature"))
+
+
+@query("""SELECT doc_id AS signal_id, CASE WHEN c IS NULL THEN NULL ELSE c END AS place_country, CASE WHEN c IS NOT NULL THEN a END AS place_admin1, CASE WHEN c IS NULL THEN 'unresolved' WHEN a IS NOT NULL THEN 'admin1' ELSE 'country' END AS place_precision
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'GH' WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'NG' ELSE 'CD' END AS c, CASE WHEN doc_id % 5 = 0 THEN 'Stated' WHEN doc_id % 4 = 1 THEN 'First' WHEN doc_id % 4 > 1 THEN 'Main' END AS a FROM documents)""")
+def direct_locations(spark: SparkSession, d: str) -> DataFrame:
+    """The place of a signal from its extraction: none, one mention, or a primary place behind one; triage's facts first."""
+    i = F.col("doc_id")
+    place = lambda role, c, a: F.struct(F.lit(role).alias("role"), F.lit(c).alias("country"), F.lit(a).alias("admin1"))
+    locations = F.when(i % 4 == 0, F.array().cast("array<struct<role:string,country:string,admin1:string>>")).when(i % 4 == 1, F.array(place("mention", "ng", "First"))).otherwise(F.array(place("mention", "NG", "First"), place("primary", "cd", "Main")))
+    s = D.table(spark, d, "documents").select(i.alias("signal_id"), locations.alias("locations"), F.when(i % 3 == 0, "gh").alias("country"), F.when(i % 5 == 0, "Stated").otherwise(" ").alias("admin1"))
+    return P.direct_location(s, "locations", "country", "admin1").select("signal_id", "place_country", "place_admin1", "place_precision")
+
+
+@query(f"{_W}, l AS (SELECT event_key, max({D.EPOCH} + event_key * 6000) AS last FROM signals WHERE event_key % 3 > 0 GROUP BY 1) SELECT event_key, count(*) FILTER (last IS NULL OR first_seen_s > last) AS n_new, event_key % 4 = 0 OR event_key % 4 = 3 AS same FROM signals LEFT JOIN l USING (event_key) GROUP BY event_key")
+def unsummarized(spark: SparkSession, d: str) -> DataFrame:
+    """Articles since each event's last summary, and whether the counts are still those of the summary."""
+    s = D.signals(spark, d)
+    last = s.where("event_key % 3 > 0").select("event_key", F.timestamp_seconds(F.lit(D.EPOCH) + F.col("event_key") * 6000).alias("created_at"))
+    k = F.col("event_key") % 4
+    counts = lambda total: F.struct(total.cast("long").alias("total"), F.lit(None).cast("long").alias("deaths"))
+    n = M.unsummarized(s, last).withColumns({"a": F.when(k != 0, counts(F.when(k == 1, 5).when(k == 2, 6))), "b": F.when(k.isin(1, 2, 3), counts(F.when(k == 1, 6)))})
+    return n.select("event_key", "n_new", M.same_counts("a", "b", ("total", "deaths")).alias("same"))
