@@ -61,3 +61,8 @@ def next_versions(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def write_sorted_tsv(df: DataFrame, path: str, key: str) -> None:
     """A gzip TSV in one file, sorted by key: an artifact of bounded size, not a table."""
     df.orderBy(key).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip", emptyValue="")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A result for readers as JSON lines."""
+    df.write.mode("overwrite").json(path)

@@ -204,3 +204,34 @@ def test_readers(spark, tmp_path):
     assert (r.geonames_id, r.country, r.admin1, r.admin2, r.population) == (7, "NG", "29", None, 3000)
     (tmp_path / "n.json").write_text('{"articles":[{"url":"http://A.x/1/","title":"t","seendate":"20260820T113942Z","domain":"a.x","language":"English"},{"url":"","title":"t","seendate":"20260820T113942Z","domain":"a","language":"English"},{"url":"http://b","title":"t","seendate":"bad","domain":"b","language":"English"},{"url":"http://c/","title":"t","seendate":"20260820T113942Z","domain":"c","language":"Klingon"}]}')
     assert [r.canonical_url for r in readers.news_sightings(spark, str(tmp_path / "n.json"), {"English": "en"}).collect()] == ["http://a.x/1"]
+
+
+def test_landed_inputs(spark, tmp_path):
+    """Bulletins, feeds with their pages, seeds, a gazetteer artifact written and read back, JSON results."""
+    import gzip
+    import json
+
+    (tmp_path / "b.json").write_text(json.dumps({"value": [
+        {"Id": "1", "UrlName": "u1", "Title": "<b>Flu</b> &amp; more", "PublicationDate": "2026-01-05T00:00:00Z", "PublicationDateAndTime": "2026-01-05T00:00:00Z", "LastModified": "2026-01-06T00:00:00Z", "Overview": "<p>One</p>", "Advice": "<p>two</p>", "Response": ""},
+        {"Id": "2", "Title": "no name", "PublicationDate": "2026-01-05T00:00:00Z", "PublicationDateAndTime": "2026-01-05T00:00:00Z", "LastModified": "2026-01-05T00:00:00Z"},
+        {"Id": "3", "UrlName": "old", "Title": "t", "PublicationDate": "2025-01-05T00:00:00Z", "PublicationDateAndTime": "2025-01-05T00:00:00Z", "LastModified": "2025-01-05T00:00:00Z"},
+        {"Id": "4", "UrlName": "edge", "Title": "t", "PublicationDate": "2026-01-01T00:00:00Z", "PublicationDateAndTime": "2026-01-01T00:00:00Z", "LastModified": "2026-01-01T00:00:00Z"},
+    ]}))
+    got = [(r.Id, r.title, r.raw_text, r.error) for r in readers.outbreak_bulletins(spark, str(tmp_path / "b.json"), "2026-01-01T00:00:00Z").collect()]
+    assert got == [("2", "no name", "", "UrlName"), ("1", "Flu & more", "One\n\ntwo", None)]
+    assert readers.outbreak_bulletins(spark, str(tmp_path / "b.json"), "2026-01-01T00:00:00Z", True).count() == 3
+    (tmp_path / "f.xml").write_text('<rss><channel><item><title>A</title><link>http://e/a</link><pubDate>Thu, 20 Aug 2026 11:39:42 +0000</pubDate></item><item><title>B</title><link>http://e/b</link><pubDate>Thu, 20 Aug 2025 11:39:42 +0000</pubDate></item></channel></rss>')
+    items = readers.feed_items(spark, str(tmp_path / "f.xml"), "2026-01-01T00:00:00Z")
+    pages = spark.createDataFrame([("http://e/a", '<link rel="canonical" href="http://E/canon/"><meta property="article:published_time" content="2026-08-19T10:00:00+0200"><div class="wysiwyg-content x"><p>Body</p></div>')], "url string, html string")
+    r = readers.with_pages(items, pages).collect()
+    assert [(x.title, x.canonical_url, x.raw_text, x.error) for x in r] == [("A", "http://e/canon", "Body", None)]
+    (tmp_path / "s.json").write_text('[{"slug": "flu", "synonyms": ["grippe"]}]')
+    assert readers.seeds(spark, str(tmp_path / "s.json"), "slug string, synonyms array<string>").first().synonyms == ["grippe"]
+    g = spark.createDataFrame([(2, "B", None), (1, "A", "x,,y")], "geonames_id long, name string, alternate_names string")
+    K.write_sorted_tsv(g, str(tmp_path / "g"), "geonames_id")
+    (part,) = (tmp_path / "g").glob("part-*.gz")
+    assert gzip.open(part, "rt").read().splitlines()[1].startswith("1\tA")
+    back = readers.gazetteer(spark, str(tmp_path / "g"), "geonames_id long, name string, alternate_names string").orderBy("geonames_id").collect()
+    assert [(r.geonames_id, r.alternate_names) for r in back] == [(1, ["x", "y"]), (2, [])]
+    K.write_json(g.where("geonames_id = 2"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().name == "B"
