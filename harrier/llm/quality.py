@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.llm.shared import documents
-from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, runs, sigmoid
+from harrier.llm.subwords import SAMPLE_DOCS, Model, Words, fit, fold, groups, labelled_sample, logistic, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
@@ -29,22 +29,23 @@ def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
 
 
 class _Bags:
-    """All features of whole texts, each once with how often a text has it."""
+    """All features of whole texts, each once with how often a text has it. Texts' arrays stay apart: together they would
+    take twice their memory while they are joined."""
 
     def __init__(self, texts: list[str]):
-        ids, often, self.n = [], [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            f = np.concatenate([Words(held, letters=False).features(pairs=True)[0] for _, held in groups([t])]) if t else np.empty(0, np.int32)
-            own, k = np.unique(f, return_counts=True)
-            ids.append(own.astype(np.int32))
-            often.append(k.astype(np.float32))
-            self.n[i] = len(own)
-        self.ids, self.often = np.concatenate(ids or [np.empty(0, np.int32)]), np.concatenate(often or [np.empty(0, np.float32)])
-        self.first = np.cumsum(self.n) - self.n
+        self.ids, self.often = [], []
+        for t in texts:
+            own, k = np.empty(0, np.int32), np.empty(0, np.int64)
+            for _, held in groups([t]) if t else ():
+                f, n = np.unique(Words(held, letters=False).features(pairs=True)[0], return_counts=True)
+                both, at = np.unique(np.concatenate([own, f]), return_inverse=True)
+                own, k = both, np.bincount(at, np.concatenate([k, n]), len(both)).astype(np.int64)
+            self.ids.append(own.astype(np.int32))
+            self.often.append(k.astype(np.uint16 if not len(k) or k.max() < 1 << 16 else np.uint32))
+        self.n = np.array([len(x) for x in self.ids], np.int64)
 
     def __call__(self, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = runs(self.first[bags], self.n[bags])
-        return self.ids[at], self.often[at], self.n[bags]
+        return np.concatenate([self.ids[i] for i in bags]), np.concatenate([self.often[i] for i in bags]).astype(np.float32), self.n[bags]
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE_DOCS) -> tuple[Model, np.ndarray]:
