@@ -37,6 +37,8 @@ TOGETHER = 4000
 #: Characters that are cut into pieces at once; a longer text is cut at blanks.
 CHUNK = 1 << 22
 LONE = re.compile(r"\S(?= \S)")
+#: White space besides the blank, as character classes of such vocabularies have it, and characters that some count to it.
+WHITE = r"[\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: How a byte-level vocabulary writes a blank (a fixed value of such vocabularies).
 BLANK = "\u0120"
 #: Punctuation that such a vocabulary never joins to a letter or digit before it.
@@ -48,10 +50,10 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, part int"
 class Encoder:
     """A tokenizer behind a memory of pieces.
 
-    A byte-level vocabulary never joins across a single blank between two other characters, so texts are cut there, and
-    each different piece is looked up once for many texts. The cutting, the numbering of the pieces and the copying of
-    their ids are Arrow's and numpy's work; the tokenizer sees new pieces only. What the cut does not hold for (other runs
-    of blanks, special tokens) goes through whole.
+    A byte-level vocabulary begins a token at a blank that has no white space on one side at least, so texts are cut
+    there, and each different piece is looked up once for many texts. The cutting, the numbering of the pieces and the
+    copying of their ids are Arrow's and numpy's work; the tokenizer sees new pieces only. What the cut does not hold for
+    (blanks between white space of any kind, special tokens) goes through whole.
     """
 
     def __init__(self, path: str):
@@ -122,6 +124,12 @@ class Encoder:
             void = index == pieces.index("")
             void[first] = False
             whole |= np.add.reduceat(void.astype(np.int64), first) > 0
+        opens, closes = (np.asarray(pc.match_substring_regex(coded.dictionary, x).to_numpy(zero_copy_only=False), bool) for x in (f"^{WHITE}", f"{WHITE}$"))
+        if opens.any() and closes.any():
+            between = opens[index]
+            between[first] = False
+            between[1:] &= closes[index[:-1]]
+            whole |= np.add.reduceat(between.astype(np.int64), first) > 0
         missing = [p for p in pieces if p not in self.known and p]
         if missing:
             before = len(self.known)

@@ -49,6 +49,17 @@ def test_many_texts_at_once(monkeypatch):
             assert [found[b - n : b].tolist() for n, b in zip(counts, ends)] == [ids(t)[:-1] for t in part]
 
 
+def test_all_white_space():
+    """Blanks, every other white space, contractions and special tokens in all neighbourhoods."""
+    white = [chr(c) for c in [*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    rnd = random.Random(7)
+    alike = ["end \xa0 \xa0", "a\xa0 \xa0 \xa0", "\xa0 \xa0", " \xa0 ", "x\n \ny", "\u3000 \u3000z"]
+    texts = alike + ["".join(rnd.choice([" ", " ", " ", rnd.choice(white), "\xa0", "a", "end", "'s", "12", ".", "é", "<|endoftext|>" if rnd.random() < 0.02 else "b"]) for _ in range(rnd.randint(1, 14))) for _ in range(20_000)]
+    found, counts = Encoder(VOCABULARY).encode(texts)
+    ends = np.cumsum(counts)
+    assert [found[b - n : b].tolist() for n, b in zip(counts, ends)] == [ids(t)[:-1] for t in texts]
+
+
 def test_a_file_that_is_there_already(tmp_path):
     disk, root = token_files._open(str(tmp_path))
     for data in (b"same", b"same", b"other"):
