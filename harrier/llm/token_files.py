@@ -132,13 +132,11 @@ class Encoder:
             whole |= np.add.reduceat(between.astype(np.int64), first) > 0
         missing = [p for p in pieces if p not in self.known and p]
         if missing:
-            before = len(self.known)
             self._learn(missing)
-            if len(self.known) < before:  # a new generation: what this batch has of the old one moves on
-                self._learn([p for p in pieces if p not in self.known and p])
         # A text's first piece has no blank before it; a text that goes through whole takes its place, the others none.
         heads = self._ids([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole.tolist())])
-        found = [self.known[p] if p else b"" for p in pieces] + heads + [b""]
+        known, older = self.known, self.older  # after a new generation has begun, some are in the old one only
+        found = [(known.get(p) or older[p]) if p else b"" for p in pieces] + heads + [b""]
         index[np.repeat(whole, np.diff(np.append(first, len(index))))] = len(found) - 1
         index[first] = len(pieces) + np.arange(len(texts))
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.width

@@ -39,7 +39,7 @@ def test_many_texts_at_once(monkeypatch):
     rnd = random.Random(1)
     word = lambda: rnd.choice(["it's", "Straße", "12,5", "e.g.", "wow!!!", "日本", "\n", "a\tb", "x\n\n", "''", ".", "?!", "naïve,", "C3PO.", "²,", "e\u0301.", "<|endoftext|>" if rnd.random() < 0.01 else "z"] + ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) + rnd.choice(["", ".", ",", ";!"])])
     texts = [(" " if rnd.random() < 0.98 else "  ").join(word() for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", " ", "x" * 3000, "word " * 2000]
-    for chunk, remembered in ((1 << 22, 500_000), (400, 300)):
+    for chunk, remembered in ((1 << 22, 500_000), (400, 300), (1 << 22, 40)):
         monkeypatch.setattr(token_files, "CHUNK", chunk)
         monkeypatch.setattr(token_files, "REMEMBERED", remembered)
         e = Encoder(VOCABULARY)
