@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from harrier.llm import url_filters
+from harrier.llm.byte_bpe import op12_byte_bpe
 from harrier.llm.decontamination import op5_decontamination
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.language_id import op10_language_id
@@ -27,6 +28,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_winnowing,
         op10_language_id,
+        op12_byte_bpe,
     )
 }
 
