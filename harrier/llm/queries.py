@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from harrier.llm import url_filters
+from harrier.llm import collocations, prefix_trie, url_filters
 from harrier.llm.byte_bpe import op12_byte_bpe
+from harrier.llm.collocations import op11_collocations
 from harrier.llm.decontamination import op5_decontamination
 from harrier.llm.jaccard_join import op2_ngram_jaccard_join
 from harrier.llm.language_id import op10_language_id
 from harrier.llm.mixing import op3_source_mixing
+from harrier.llm.prefix_trie import op13_prefix_trie
 from harrier.llm.quality import op8_quality_classifier
 from harrier.llm.substring_dedup import op4_substring_dedup
 from harrier.llm.token_files import op7_token_files
@@ -28,7 +30,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_winnowing,
         op10_language_id,
+        op11_collocations,
         op12_byte_bpe,
+        op13_prefix_trie,
     )
 }
 
@@ -37,6 +41,8 @@ _WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'),
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
     "op2_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, g FROM (
