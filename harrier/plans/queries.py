@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrier.functions import html as H
 from harrier.functions import text as X
 from harrier.functions import timegeo as T
+from harrier.operators import assembly as A
 from harrier.operators import events as E
 from harrier.operators import places as P
 from harrier.operators import reviews as V
@@ -210,13 +211,17 @@ def cluster_facts(spark: SparkSession, d: str) -> DataFrame:
     return f.select("cluster_id", "identity", "place.precision", "place.admin1", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "n_signals", "first_id", "number")
 
 
+def _own_events(s: DataFrame) -> DataFrame:
+    """The events that the tables have, each with the disease and place of its first signal."""
+    first = F.struct("first_seen_s", "signal_id")
+    c = E.clusterable(s).where("clusterable").groupBy(F.col("event_key").alias("event_id"))
+    return c.agg(F.min_by("identity", first).alias("identity"), F.min_by("country", first).alias("country"), F.min_by("place", first).alias("place"), F.min("at").alias("start"), F.max("at").alias("updated"))
+
+
 def _match_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All clusters against all events of the same disease and country that are recent: the newest 20."""
     s = D.signals(spark, d)
-    first = F.struct("first_seen_s", "signal_id")
-    c = E.clusterable(s).where("clusterable").groupBy(F.col("event_key").alias("event_id"))
-    events = c.agg(F.min_by("identity", first).alias("identity"), F.min_by("country", first).alias("country"), F.min_by("place", first).alias("place"), F.min("at").alias("start"), F.max("at").alias("updated"))
-    return E.candidate_events(E.cluster_facts(s, E.cluster(spark, s)), events, D.now())
+    return E.candidate_events(E.cluster_facts(s, E.cluster(spark, s)), _own_events(s), D.now())
 
 
 _SCORED = f"""{_FACTS}, ev AS (SELECT event_key AS event_id, arg_min({{'ident': ident, 'country': country, 'admin1': admin1, 'admin2': admin2, 'precision': precision, 'latitude': latitude, 'longitude': longitude}}, (first_seen_s, signal_id)) AS p, min(t) AS s, max(t) AS e FROM c JOIN (SELECT signal_id, first_seen_s, event_key FROM signals) USING (signal_id) WHERE ok GROUP BY event_key),
@@ -238,6 +243,33 @@ def match_decisions(spark: SparkSession, d: str) -> DataFrame:
     return E.decide(E.match_scores(_match_pairs(spark, d)), "cluster_id", 0.8, 0.7).select("cluster_id", "n_over", "n_band", "decision", "event_id")
 
 
+_MATCH = f"""CASE WHEN rk = 0 OR veto OR gap > 90 OR NOT fits THEN 0 ELSE .3 + .35 * CASE rk WHEN 4 THEN greatest(.5, 1 - .5 * km / 50) WHEN 3 THEN .75 WHEN 2 THEN .5 ELSE .25 END + .2 * (1 - gap / 90) + .15 * [0, .25, .5, .75, 1.0][own + 1] END"""
+#: Turn by turn: the state of a disease and country is the list of its live events, and k the number of the cluster next.
+_TURNS = f"""{_WR}, {_FACTS}, clock AS (SELECT max(t) - 3 * 86400 AS cutoff FROM c),
+own AS (SELECT event_key AS event_id, arg_min({{'ident': ident, 'country': country, 'admin1': admin1, 'admin2': admin2, 'precision': precision, 'latitude': latitude, 'longitude': longitude}}, (first_seen_s, signal_id)) AS p, min(t) AS s, max(t) AS e FROM c JOIN (SELECT signal_id, first_seen_s, event_key FROM signals) USING (signal_id) WHERE ok GROUP BY event_key),
+live AS (SELECT p.ident AS ident, p.country AS country, list({{'id': -1 - event_id, 'admin1': p.admin1, 'admin2': p.admin2, 'precision': p.precision, 'latitude': p.latitude, 'longitude': p.longitude, 's': s, 'e': e}}) AS evs FROM own, clock WHERE e >= cutoff GROUP BY ALL),
+turn AS (SELECT cluster_id AS id, ident, country, p.admin1 AS admin1, p.admin2 AS admin2, p.precision AS precision, p.latitude AS latitude, p.longitude AS longitude, s, e, row_number() OVER (PARTITION BY ident, country ORDER BY s, cluster_id) AS k FROM facts),
+st AS (SELECT t.ident, t.country, 0 AS k, coalesce(evs, []) AS evs, NULL::BIGINT AS cluster_id, NULL::VARCHAR AS decision, NULL::BIGINT AS event_id, NULL::DOUBLE AS score FROM (SELECT DISTINCT ident, country FROM turn) t LEFT JOIN live USING (ident, country)
+UNION ALL SELECT ident, country, k, CASE WHEN n = 1 THEN list_transform(evs, lambda x: CASE WHEN x.id = hit.id THEN struct_update(x, e := greatest(x.e, ce)) ELSE x END) WHEN ce >= cutoff THEN list_append(evs, made) ELSE evs END, id, CASE n WHEN 0 THEN 'create' WHEN 1 THEN 'attach' ELSE 'refuse' END, CASE WHEN n = 1 THEN hit.id ELSE id END, coalesce(most, 0) FROM (
+  SELECT b.ident, b.country, b.k, any_value(st.evs) AS evs, b.id, b.e AS ce, any_value(cutoff) AS cutoff, any_value({{'id': b.id, 'admin1': b.admin1, 'admin2': b.admin2, 'precision': b.precision, 'latitude': b.latitude, 'longitude': b.longitude, 's': b.s, 'e': b.e}}) AS made, count(*) FILTER (sc >= .8) AS n, min(a) FILTER (sc >= .8) AS hit, max(sc) FILTER (sc >= .8) AS most
+  FROM st JOIN turn b ON b.ident = st.ident AND b.country = st.country AND b.k = st.k + 1 CROSS JOIN clock
+  LEFT JOIN LATERAL (SELECT a, {_MATCH} AS sc FROM (SELECT a, {_RANKS.format("b")} AS own, least({_RANKS.format("a")}, {_RANKS.format("b")}) AS rk, coalesce(a.admin1 <> b.admin1, FALSE) AS veto, greatest(0, a.s - b.e, b.s - a.e) / 86400.0 AS gap, {_KM} AS km,
+    coalesce(CASE least({_RANKS.format("a")}, {_RANKS.format("b")}) WHEN 1 THEN TRUE WHEN 2 THEN a.admin1 = b.admin1 WHEN 3 THEN a.admin2 = b.admin2 ELSE {_KM} <= 50 END, FALSE) AS fits
+    FROM (SELECT unnest(list_slice(list_transform(list_sort(list_transform(st.evs, lambda x: {{'o': -x.e, 'i': x.id, 'v': x}})), lambda x: x.v), 1, 20)) AS a))) ON TRUE
+  GROUP BY b.ident, b.country, b.k, b.id, b.e))"""
+
+
+@query(f"{_TURNS} SELECT cluster_id, decision, event_id, round(score, 6) AS score FROM st WHERE cluster_id IS NOT NULL")
+def assembled_events(spark: SparkSession, d: str) -> DataFrame:
+    """All clusters in their order, against the events of the tables; the clock stands at the last signal."""
+    s = D.signals(spark, d)
+    at = F.unix_seconds("at").cast("double")
+    flat = lambda df, key, end: df.select(key.alias("id"), "identity", "country", *[F.col(f"place.{c}").alias(c) for c in ("admin1", "admin2", "precision", "latitude", "longitude")], F.unix_seconds("start").cast("double").alias("at"), F.unix_seconds(end).cast("double").alias("updated"))
+    now = E.clusterable(s).agg(F.max(at)).first()[0] or 0.0
+    clusters = flat(E.cluster_facts(s, E.cluster(spark, s)), F.col("cluster_id"), "end")
+    return A.assemble(clusters, flat(_own_events(s), -1 - F.col("event_id"), "updated"), now, lookback_days=3, threshold=0.8).withColumn("score", F.round("score", 6))
+
+
 @query(f"""{_W}, s AS (SELECT signal_id, title, 'www.' || source || CASE WHEN signal_id % 13 = 0 THEN '.spam.example' ELSE '.news.example' END AS domain FROM signals)
 SELECT signal_id, CASE WHEN domain = 'spam.example' OR domain LIKE '%.spam.example' THEN 'blocked_domain' WHEN regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(la|der)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'excluded_title' WHEN NOT (contains({_FOLD.format(_squash('title'))}, 'th') OR contains({_FOLD.format(_squash('title'))}, 'en')) THEN 'no_keyword' ELSE 'pass' END AS verdict FROM s""")
 def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:

@@ -43,3 +43,45 @@ def test_places(spark):
     assert sorted((r.name, r.latitude) for r in P.cached(q, c).collect()) == [(" Kano ", 1.0), ("kano", None), ("x", None)]
     r = c.select(P.feature(["normalized_query"]).alias("f"), P.label(F.lit(""), F.lit(None).cast("string")).alias("l")).first()
     assert r.f == '{"type":"Feature","geometry":{"type":"Point","coordinates":[2.0,1.0]},"properties":{"normalized_query":"kano"}}' and r.l == "Unknown"
+
+
+def in_order(clusters, events, now, lookback, newest, threshold):
+    """The plain form: one cluster after the other, all events at hand. Rows as in COLS."""
+    keys = [c.split()[0] for c in COLS.split(", ")]
+    events, out = [dict(zip(keys, e)) for e in events], []
+    for c in sorted((dict(zip(keys, c)) for c in clusters), key=lambda c: (c["at"], c["id"])):
+        met = [e for e in events if c["identity"] and c["country"] and (e["identity"], e["country"]) == (c["identity"], c["country"]) and e["updated"] >= now - lookback]
+        met = sorted(met, key=lambda e: (-e["updated"], e["id"]))[:newest]
+        over = [(s, e) for e in met if (s := A.score(c, e, 50.0, 90.0)) >= threshold]
+        if len(over) == 1:
+            s, e = over[0]
+            e["updated"] = max(e["updated"], c["updated"])
+            out.append((c["id"], "attach", e["id"], round(s, 9)))
+        else:
+            events.append(c)
+            out.append((c["id"], "refuse" if over else "create", c["id"], round(max((s for s, _ in over), default=0.0), 9)))
+    return sorted(out)
+
+
+def random_clusters(seed, n, first):
+    import random
+
+    rnd = random.Random(seed)
+    for i in range(n):
+        at = rnd.uniform(0, 40) * 86400
+        one = rnd.random() < 0.4  # one disease and country has many
+        yield (first + i, "id:d" if one else rnd.choice(["id:d", "id:e", "text:f", None]), "TH" if one else rnd.choice(["TH", "NG", None]), rnd.choice(["A", "B", None]), rnd.choice(["x", "y", None]), rnd.choice(["place", "place", "admin1", "admin2", "country", "unresolved"]), rnd.uniform(10, 11), 20.0, at, at + rnd.choice([0, 0, 1, 5, 30]) * 86400)
+
+
+def test_old_clusters_at_once_are_as_in_order(spark):
+    decisions = set()
+    for seed in range(3):
+        clusters, events = list(random_clusters(seed, 150, 0)), list(random_clusters(seed + 50, 25, 1000))
+        now, newest, threshold = [45 * 86400.0, 30 * 86400.0, 20 * 86400.0][seed], [20, 3, 1][seed], [0.6, 0.8, 0.9][seed]
+        got = A.assemble(spark.createDataFrame(clusters, COLS), spark.createDataFrame(events, COLS), now, newest=newest, threshold=threshold)
+        want = in_order(clusters, events, now, 7 * 86400, newest, threshold)
+        assert sorted((r.cluster_id, r.decision, r.event_id, round(r.score, 9)) for r in got.collect()) == want
+        decisions |= {(d, clusters[i][-1] >= now - 7 * 86400) for i, d, *_ in want}
+    assert decisions == {(d, recent) for d in ("attach", "refuse", "create") for recent in (True, False)}
+    none = spark.createDataFrame([], COLS)
+    assert A.assemble(none, none, 0.0).count() == 0 and A.assemble(spark.createDataFrame(clusters, COLS), none, 1e12).count() == 150
