@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from harrier.llm import token_files
 from harrier.llm.shared import Scratch, documents, text_rows
+from harrier.llm.token_files import TAIL
 
 #: States of the transducer, and pieces whose ids are remembered in each of two generations, in a worker.
 STATES = 200_000
@@ -56,11 +57,13 @@ class Transducer:
         #: Beginnings of tokens: a proper beginning of some token, or not.
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._borders: dict[tuple[int, int], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """Drop states and what was found on the way to them; they are made again when needed."""
-        self._borders: dict[tuple[int, int], bool] = {}
+        """Drop the states; they are made again when needed."""
+        if len(self._borders) > self.most:
+            self._borders = {}
         self.names: dict[tuple, int] = {}
         self.configs: list[tuple] = []
         #: From state * 256 + byte to the next state and what is written.
@@ -102,9 +105,7 @@ class Transducer:
     def border(self, left: int, right: int) -> bool:
         """Do the merges leave the border between two tokens? Their last merges are undone, the latest first: at each
         moment the two tokens at the border may merge only if that would have come before the merge that was undone."""
-        found = self._borders.get((left, right))
-        if found is None:
-            found = self._borders[left, right] = self._kept_apart(left, right)
+        found = self._borders[left, right] = self.halves(right) is not None and (left < 0 or self._kept_apart(left, right))
         return found
 
     def _kept_apart(self, left: int, right: int) -> bool:
@@ -124,14 +125,17 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the step from a state by a byte: the next state, and what is written."""
-        following, reached = [], None
+        following, reached, more = [], None, bytes([byte])
         for last, begun, waiting in self.configs[state]:
-            grown = begun + bytes([byte])
+            grown = begun + more
             if grown in self.open:
                 following.append((last, grown, waiting))
-            token = self.ranks.get(grown)
-            if token is not None and self.halves(token) is not None and (last < 0 or self.border(last, token)):
-                reached = (token, b"", (*waiting, token))
+            if reached is None:  # only one row of tokens ends here
+                token = self.ranks.get(grown)
+                if token is not None:
+                    apart = self._borders.get((last, token))
+                    if self.border(last, token) if apart is None else apart:
+                        reached = (token, b"", (*waiting, token))
         following.append(reached)
         first = following[0][2]
         common = len(first)
@@ -178,15 +182,28 @@ class Encoder(token_files.Encoder):
             out += self.transducer.encode(piece.encode())
         return out
 
+    def _of(self, text: str) -> bytes:
+        return array("I", self.pieces(text)).tobytes()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.pieces(t)).tobytes() for t in texts]
+        return list(map(self._of, texts))
 
     def _learn(self, missing: list[str]) -> None:
         if len(self.known) + len(missing) > REMEMBERED:
             self.known, self.older = {}, self.known
-        for p in missing:
-            if p not in self.known:
-                self.known[p] = self.older.get(p) or array("I", self.pieces(" " + p)).tobytes()
+        # In order, so that words of one beginning take the same steps; punctuation behind a word is a piece of its own.
+        for p in sorted(missing):
+            ids = self.known.get(p) or self.older.get(p)
+            if ids is None:
+                stem = p.rstrip(TAIL)
+                if len(stem) < len(p) and stem and stem[-1].isalnum():
+                    ids = self.known.get(stem) or self.older.get(stem)
+                    if ids is None:
+                        ids = self.known[stem] = self._of(" " + stem)
+                    ids += self._of(p[len(stem) :])
+                else:
+                    ids = self._of(" " + p)
+            self.known[p] = ids
 
 
 def _next_state(state: int, byte: int) -> int:
@@ -319,11 +336,18 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(_decoded(path), ENCODED + ", data binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, cuts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode_documents of encode_documents, by one worker for both."""
+    _checked(path)
+    encode, decode = _encoded(path, pattern, cuts), _decoded(path)
+    return text_rows(docs, id_col, text_col).mapInArrow(lambda batches: decode(encode(batches)), ENCODED + ", data binary")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     Scratch(spark, "bpe")  # for the size of its Arrow batches
-    both = decode_documents(encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, cuts=True), path)
+    both = round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN, cuts=True)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
