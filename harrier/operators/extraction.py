@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.functions import text as X
+from harrier.functions.schema import Date, Each, Flag, Number, Object, Text, Whole, json_fault
 from harrier.operators.queues import LEAST_VERSION, VERSION
 
 #: The slots of a brief in their order, the kinds of signal and of place, and the limits of texts.
@@ -28,33 +29,39 @@ PAYLOAD = (
     f"epidemiology:struct<{','.join(f'{c}:{_COUNT}' for c in COUNTS)}>,dates:struct<data_as_of:string,event_date:string>,"
     f"transmission:struct<{','.join(f'{c}:{_FLAG}' for c in FLAGS)}>,confidence:double,extraction_schema_version:bigint>"
 )
-_TOP = ("signal_type", "source_language", "title_english", "brief", "disease", "pathogen", "locations", "epidemiology", "dates", "transmission", "confidence")
+#: The codes of languages (ISO 639-1), and the roles of places.
+LANGUAGES = tuple(
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu".split()
+)
+ROLES = ("primary", "exposure", "diagnosis", "travel", "reporting", "affected_area")
+COUNTRY_CHARS = 100
 
 
-def _any(tests: list[Column]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+def payload_schema(roles: tuple[str, ...] = ROLES) -> Object:
+    """The closed schema of an extraction; no roles: a place may have any."""
+    claim = lambda value: Object({"value": value, "source_span": Text(SPAN_CHARS), "source_index": Whole(0)}, ("value", "source_span"), ("source_index",))
+    entity = Object({"name": Text(NAME_CHARS, blank=True), "confidence": Number(0, 1)}, ("name", "confidence"))
+    name = lambda most: Text(most, blank=True, empty=True)
+    place = Object({"role": Text(among=roles), "country": name(COUNTRY_CHARS), "admin1": name(NAME_CHARS), "place_name": name(NAME_CHARS)}, ("role",))
+    point = Object({"slot": Text(among=SLOTS), "text": Text(POINT_CHARS), "reported": Flag()}, ("slot", "text", "reported"))
+    fields = {
+        "signal_type": Text(among=KINDS), "source_language": Text(codes=LANGUAGES), "title_english": Text(TITLE_CHARS), "brief": Each(point, ("slot", SLOTS)),
+        "disease": entity, "pathogen": entity, "locations": Each(place), "epidemiology": Object({c: claim(Whole(0)) for c in COUNTS}),
+        "dates": Object({"data_as_of": Date(), "event_date": Date()}), "transmission": Object({c: claim(Flag()) for c in FLAGS}), "confidence": Number(0, 1),
+    }
+    return Object(fields, ("signal_type", "title_english", "brief", "confidence"), ("locations", "epidemiology", "dates"))
+
 
+def payload_fault(content: Column, roles: tuple[str, ...] = ROLES) -> Column:
+    """The path of the first fault of an extraction as JSON text, null if it keeps to the schema."""
+    return json_fault(content, payload_schema(roles))
 
-def _ill_shaped(content: Column, p: Column) -> Column:
-    """Does a payload break the schema? Types, unknown keys, limits, slots in order."""
-    keys = F.json_object_keys(content)
-    brief, epi, trans = p["brief"], p["epidemiology"], p["transmission"]
-    title = X.collapse(p["title_english"])
-    claims = [epi[c] for c in COUNTS] + [trans[c] for c in FLAGS]
-    unknown = lambda path, legal: F.size(F.array_except(F.coalesce(F.json_object_keys(F.get_json_object(content, path)), F.array().cast("array<string>")), F.array(*map(F.lit, legal)))) > 0
-    share = lambda c: c.isNotNull() & ~c.between(0.0, 1.0)
-    return _any([
-        F.size(F.array_except(keys, F.array(*map(F.lit, _TOP)))) > 0, unknown("$.epidemiology", COUNTS), unknown("$.transmission", FLAGS), unknown("$.dates", ("data_as_of", "event_date")),
-        p["signal_type"].isNull() | ~p["signal_type"].isin(*KINDS), p["confidence"].isNull() | share(p["confidence"]),
-        p["title_english"].isNull() | (title == "") | (F.length(p["title_english"]) > TITLE_CHARS),
-        p["source_language"].isNotNull() & ~F.lower(F.btrim(p["source_language"])).rlike("^[a-z]{2}$"),
-        brief.isNull() | (F.transform(brief, lambda b: b["slot"]) != F.array(*map(F.lit, SLOTS))),
-        F.exists(brief, lambda b: b["text"].isNull() | b["reported"].isNull() | (X.collapse(b["text"]) == "") | (F.length(b["text"]) > POINT_CHARS)),
-        F.exists(p["locations"], lambda x: x["role"].isNull()),
-        *[x.isNotNull() & (x["name"].isNull() | (x["name"] == "") | (F.length(x["name"]) > NAME_CHARS) | x["confidence"].isNull() | share(x["confidence"])) for x in (p["disease"], p["pathogen"])],
-        *[c.isNotNull() & (c["value"].isNull() | c["source_span"].isNull() | (X.collapse(c["source_span"]) == "") | (F.length(c["source_span"]) > SPAN_CHARS) | (c["source_index"] < 0)) for c in claims],
-        *[epi[c]["value"] < 0 for c in COUNTS],
-    ])
+
+def _any(tests: list[Column]) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def _impossible(p: Column) -> Column:
@@ -80,15 +87,15 @@ def _private(p: Column) -> Column:
     return F.exists(shown, lambda t: F.coalesce(X.private_text(t), F.lit(False)))
 
 
-def validate_extraction(df: DataFrame, content: str, bodies: str, least_confidence: float = 0.6) -> DataFrame:
+def validate_extraction(df: DataFrame, content: str, bodies: str, least_confidence: float = 0.6, roles: tuple[str, ...] = ()) -> DataFrame:
     """reason: the first check that an answer fails (not_json, shape, arithmetic, ungrounded, privacy, low_confidence), or
-    null. bodies: array of the articles that were sent; every claim is held against the one that it names. A transmission
+    null. shape is any fault of the closed schema (payload_fault says which). bodies: array of the articles that were sent; every claim is held against the one that it names. A transmission
     without a flag is nothing said, no fault."""
     p = F.from_json(F.col(content), PAYLOAD)
     df = df.withColumn("_p", p)
     p = F.col("_p")
     reason = (
-        F.when(F.json_object_keys(F.col(content)).isNull(), "not_json").when(_ill_shaped(F.col(content), p), "shape").when(_impossible(p), "arithmetic")
+        F.when(F.json_object_keys(F.col(content)).isNull(), "not_json").when(payload_fault(F.col(content), roles).isNotNull(), "shape").when(_impossible(p), "arithmetic")
         .when(_ungrounded(p, F.col(bodies)), "ungrounded").when(_private(p), "privacy").when(p["confidence"] < least_confidence, "low_confidence")
     )
     return df.withColumn("reason", reason).drop("_p")

@@ -183,9 +183,9 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
 # --- extraction ------------------------------------------------------------------------------------------------------
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
+def _answers(spark: SparkSession, d: str, sound: bool = False) -> DataFrame:
     """A model's answer to each document: sound, or with one of twelve faults, by its id."""
-    fault = F.col("doc_id") % 14
+    fault = F.lit(13) if sound else F.col("doc_id") % 14
     c = lambda value, span, index=0: F.struct(value.cast("bigint").alias("value"), span.alias("source_span"), F.lit(index).alias("source_index"))
     n = F.col("doc_id") % 50 + 10
     body = F.concat(F.lit("In all, "), n, F.lit("  Cases and "), n - 5, F.lit(" deaths were reported. Local spread is likely. "), F.substring("text", 1, 50))
@@ -246,6 +246,35 @@ def named_places(spark: SparkSession, d: str) -> DataFrame:
     return N.places_of(a, "p").select("signal_id", "position", "role", "country_name", "place_name")
 
 
+#: (what in a sound payload, by what it is replaced, the fault): one of each kind at each level.
+_DEFECTS = [
+    ('"signal_type":"case_report"', '"signal_type":"gossip"', "$.signal_type: value"), ('"signal_type":"case_report",', "", "$.signal_type: missing"), ('{"signal_type"', '{"zeal":1,"signal_type"', "$.zeal: unknown"),
+    ('"source_language":"EN"', '"source_language":"xx"', "$.source_language: value"), ('"title_english":"Cases rise"', '"title_english":" "', "$.title_english: blank"), ('"title_english":"Cases rise"', '"title_english":"' + 301 * "t" + '"', "$.title_english: long"),
+    ('"slot":"counts"', '"slot":"timing"', "$.brief: order"), ('"slot":"counts"', '"slot":"maybe"', "$.brief[1].slot: value"), ('"slot":"counts",', '"slot":"counts","note":"x",', "$.brief[1].note: unknown"), ('"text":"point 3', '"text":"' + 201 * "p" + " 3", "$.brief[3].text: long"),
+    ('"text":"point 0', '"texts":"point 0', "$.brief[0].texts: unknown"), ('"reported":false', '"reported":"no"', "$.brief[3].reported: kind"), ('"name":"flu"', '"name":""', "$.disease.name: blank"), ('"name":"flu"', '"name":"' + 201 * "f" + '"', "$.disease.name: long"),
+    ('"confidence":0.9', '"confidence":1.9', "$.disease.confidence: range"), ('"confidence":0.9', '"confidence":0.9,"code":7', "$.disease.code: unknown"), ('"confidence":0.9', '"confidence":null', "$.disease.confidence: null"), ('"disease":{', '"pathogen":"virus","disease":{', "$.pathogen: kind"),
+    ('"role":"mention"', '"role":"rumour"', "$.locations[1].role: value"), ('"role":"mention",', "", "$.locations[1].role: missing"), ('"country":"CD"', '"country":"' + 101 * "c" + '"', "$.locations[1].country: long"), ('"admin1":"Kano"', '"admin1":"' + 201 * "k" + '"', "$.locations[0].admin1: long"),
+    ('"place_name":"Kano city"', '"place_name":"' + 201 * "k" + '"', "$.locations[0].place_name: long"), ('"place_name":"Kano city"', '"place_name":"Kano city","lat":1.5', "$.locations[0].lat: unknown"), ('"admin1":"Kano"', '"admin1":3', "$.locations[0].admin1: kind"), ('"locations":[', '"locations":null,"places":[', "$.places: unknown"),
+    ('"total_cases":{"value":', '"total_cases":{"value":-', "$.epidemiology.total_cases.value: range"), ('"total_cases":{"value":', '"total_cases":{"value":0.5,"was":', "$.epidemiology.total_cases.was: unknown"), ('"source_index":0}', '"source_index":-1}', "$.epidemiology.total_cases.source_index: range"), ('"source_index":0}', '"source_index":null}', "$.epidemiology.total_cases.source_index: null"),
+    ('"deaths":{', '"recovered":{', "$.epidemiology.recovered: unknown"), ('"source_span":"in all', '"source_span":"' + 300 * "s", "$.epidemiology.total_cases.source_span: long"), ('"local_transmission":{"value":true', '"local_transmission":{"value":1', "$.transmission.local_transmission.value: kind"), ('"local_transmission":{', '"imported":[],"local_transmission":{', "$.transmission.imported: kind"),
+    ('"transmission":{', '"dates":{"event_date":"2024-02-30"},"transmission":{', "$.dates.event_date: form"), ('"transmission":{', '"dates":{"published":"2024-02-03"},"transmission":{', "$.dates.published: unknown"), ('"transmission":{', '"dates":null,"transmission":{', "$.dates: null"), ('"confidence":0.8}', '"confidence":true}', "$.confidence: kind"),
+    ('"confidence":0.8}', '"confidence":-0.8}', "$.confidence: range"), ('"brief":[', '"brief":{},"briefs":[', "$.briefs: unknown"), ("}", "", "$: not_json"), ('{"signal_type"', '[{"signal_type"', "$: not_json"),
+]
+_DEFECT_SQL = f"CASE doc_id % {len(_DEFECTS) + 1} " + " ".join(f"WHEN {k} THEN '{w}'" for k, (*_, w) in enumerate(_DEFECTS)) + " END"
+
+
+@query(f"SELECT doc_id, {_DEFECT_SQL} AS fault FROM documents")
+def payload_faults(spark: SparkSession, d: str) -> DataFrame:
+    """An extraction of each document, with one defect by its id or none; the path of the first fault."""
+    sound = _answers(spark, d, True)
+    k, made = F.col("doc_id") % (len(_DEFECTS) + 1), F.col("content")
+    for i, (old, new, _) in enumerate(_DEFECTS):
+        at = F.locate(old, F.col("content"))
+        cut = F.concat(F.substring(F.col("content"), F.lit(1), at - 1), F.lit(new), F.substring(F.col("content"), at + len(old), F.length("content")))
+        made = F.when(k == i, cut).otherwise(made)
+    return sound.select("doc_id", N.payload_fault(made, (*N.ROLES, "mention")).alias("fault"))
+
+
 @query("SELECT conv_id, CASE conv_id % 5 WHEN 1 THEN 'batch_identity' WHEN 2 THEN 'batch_identity' WHEN 3 THEN 'batch_identity' END AS reason FROM (SELECT conv_id FROM conversations GROUP BY conv_id)")
 def batch_identities(spark: SparkSession, d: str) -> DataFrame:
     """Batches are conversations, their ids the turns; an answer may miss one, repeat one or invent one."""
