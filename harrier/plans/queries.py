@@ -363,9 +363,9 @@ def backlog_depth(spark: SparkSession, d: str) -> DataFrame:
     return R.backlog(D.table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"))
 
 
-@query("SELECT n_name AS source, count(c_custkey) AS n_signals FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY 1")
+@query("SELECT n_name AS source, count(c_custkey) AS n_signals FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
-    n, c = D.table(spark, d, "nation"), D.table(spark, d, "customer").where("c_acctbal > 9000")
+    n, c = D.table(spark, d, "nation"), D.table(spark, d, "customer")
     return R.source_counts(n.select(F.col("n_name").alias("source")), c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("source")))
 
 

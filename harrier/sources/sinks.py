@@ -38,7 +38,10 @@ def count_attempt(attempts: Column, status: Column, failed: Column, most: int =
 
 
 def promote(old: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Stubs (signal_id, url, content_hash, raw_text) get their bodies, unless another row has that url and hash."""
+    """Stubs (signal_id, url, content_hash, raw_text) get their bodies, unless another row has that url and hash; of bodies
+    with the same ones, that of the least id."""
+    first = bodies.groupBy("url", "content_hash").agg(F.min("signal_id").alias("signal_id"))
+    bodies = bodies.join(first, ["url", "content_hash", "signal_id"], "left_semi")
     taken = bodies.join(old.select("url", "content_hash", F.col("signal_id").alias("_o")), ["url", "content_hash"]).where("_o <> signal_id").select("signal_id").distinct()
     return apply_decisions(old, bodies.join(taken, "signal_id", "left_anti").select("signal_id", "content_hash", "raw_text"), ["signal_id"])
 
