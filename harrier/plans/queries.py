@@ -12,6 +12,7 @@ from harrier.operators import assembly as A
 from harrier.operators import events as E
 from harrier.operators import places as P
 from harrier.operators import reviews as V
+from harrier.operators import rules as G
 from harrier.operators import surveillance as S
 from harrier.plans import domain as D
 from harrier.plans import read_models as R
@@ -277,6 +278,32 @@ def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return S.gate(s, "domain", "title", ["spam.example"], [r"\b(la|der)\b"], ["TH", "en"]).select("signal_id", "verdict")
 
 
+#: Ten rules of each document: nine stretches of its title, and its first word as a regular expression, or one that is none.
+_RULES = f"""r0 AS (SELECT doc_id * 10 + j AS position, CASE WHEN j = 9 THEN 'regex' ELSE 'substring' END AS kind, CASE WHEN j < 9 THEN trim(substr({_FOLD.format(_squash("split_part(text, chr(10), 1)"))}, CAST(8 * j + 1 AS BIGINT), 7)) ELSE lower(regexp_extract(split_part(text, chr(10), 1), '^[A-Za-z]+')) END AS pattern FROM documents, (SELECT unnest(range(10)) AS j)),
+rules AS (SELECT kind, pattern, min(position) AS position FROM r0 WHERE kind = 'substring' AND length(pattern) > 3 OR kind = 'regex' AND length(pattern) > 2 GROUP BY ALL)"""
+
+
+def _title_rules(spark: SparkSession, d: str) -> DataFrame:
+    doc = D.table(spark, d, "documents").select("doc_id", F.expr("split_part(text, chr(10), 1)").alias("title"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    folded = X.collapse(X.fold(F.col("title")))
+    stretch, word = F.btrim(F.substring(folded, F.col("j") * 8 + 1, F.lit(7))), F.lower(F.regexp_extract("title", "^[A-Za-z]+", 0))
+    return doc.select((F.col("doc_id") * 10 + F.col("j")).alias("position"), F.when(F.col("j") == 9, "regex").otherwise("substring").alias("kind"), F.when(F.col("j") < 9, F.when(F.length(stretch) > 3, stretch).otherwise("")).otherwise(F.when(F.length(word) > 2, F.concat(F.lit("^"), word)).otherwise("(")).alias("pattern"))
+
+
+@query(f"""WITH {_RULES}, t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, {_FOLD.format(_squash("split_part(text, chr(10), 1)"))} AS folded FROM documents)
+SELECT doc_id, min(position) AS rule FROM t LEFT JOIN rules ON CASE kind WHEN 'regex' THEN starts_with(lower(title), pattern) ELSE contains(folded, pattern) END GROUP BY doc_id""")
+def first_title_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The first of ten rules a document that each title meets."""
+    t = D.table(spark, d, "documents").select("doc_id", F.expr("split_part(text, chr(10), 1)").alias("title"))
+    return G.first_rules(t, _title_rules(spark, d), "title").select("doc_id", "rule")
+
+
+@query(f"""WITH {_RULES} SELECT kind, CASE WHEN kind = 'substring' AND length(pattern) <= 3 THEN 'blank' WHEN kind = 'regex' AND length(pattern) <= 2 THEN 'invalid' END AS problem, count(*) AS n FROM r0 GROUP BY ALL""")
+def skipped_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the rules are used, and how many skipped for which problem."""
+    return G.checked_rules(_title_rules(spark, d)).groupBy("kind", "problem").agg(F.count("*").alias("n"))
+
+
 _SEEN = f"""p AS (SELECT page_id, trim(url) AS u, url, lower(regexp_extract(trim(url), '^([^:/?#]+://[^/?#]*)', 1)) AS head, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
 split AS (SELECT *, [{{'n': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, strpos(x || '=', '=') + 1), '+', ' '))}} FOR x IN list_filter(string_split(q, '&'), lambda y: y <> '')] AS ps FROM p),
 canon AS (SELECT page_id, head, head || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string([replace(url_encode(x.n), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+') FOR x IN kept], '&') ELSE '' END AS canonical_url FROM (SELECT *, list_sort(list_filter(ps, lambda x: NOT starts_with(lower(x.n), 'utm_') AND lower(x.n) NOT IN ('gclid', 'fbclid'))) AS kept FROM split))"""
