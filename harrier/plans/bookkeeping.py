@@ -3,6 +3,8 @@ small operators and functions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from harrier.functions import text as X
 from harrier.functions import timegeo as T
 from harrier.operators import events as E
 from harrier.operators import extraction as N
+from harrier.operators.graph import shared_folder
 from harrier.operators import models as M
 from harrier.operators import places as P
 from harrier.operators import queues as Q
@@ -19,6 +22,7 @@ from harrier.operators import runs as U
 from harrier.plans import domain as D
 from harrier.plans import read_models as R
 from harrier.plans.registry import query
+from harrier.sources import paged as W
 from harrier.sources import sinks as K
 
 _W = f"WITH {D.SIGNALS_SQL}"
@@ -185,6 +189,18 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
     return L.ingested(x, stored).groupBy("outcome").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+@query(f"""{_W} SELECT CAST(signal_id AS VARCHAR) AS id, first_seen_s AS at_s, length(title) AS n_title, FALSE AS truncated FROM signals""")
+def paged_articles(spark: SparkSession, d: str) -> DataFrame:
+    """All signals as landed records, read back through a search that gives 25 at most, by windows of six hours."""
+    s = D.signals(spark, d)
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex[:12]}"
+    payload = F.to_json(F.struct(F.length("title").alias("n_title")))
+    W.land_days(s.select(F.col("first_seen_at").alias("at"), F.col("signal_id").cast("string").alias("id"), payload.alias("payload")), path)
+    W.register_pages(spark, "landed_search", W.LandedDays(path), capped=True, most=25)
+    pages = spark.read.format("landed_search").option("width", "21600").load()
+    return pages.select("id", F.unix_seconds("at").alias("at_s"), F.get_json_object("payload", "$.n_title").cast("long").alias("n_title"), "truncated")
+
+
 # --- extraction ------------------------------------------------------------------------------------------------------
 
 
