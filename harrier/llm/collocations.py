@@ -6,8 +6,9 @@
 3. A batch becomes a row of numbers, broken at piece ends and where a word has no number. Each place gives one key of
    fixed width: the numbers of the words from there on, WORDS of them, zeros where the row breaks. Equal keys are counted
    within the batch.
-4. Keys are partitioned by range and sorted; phrases of every length are the beginnings of keys, so run lengths of equal
-   beginnings are their counts. Runs at a partition's ends may go on in the next; those alone are summed once more.
+4. Keys travel in blocks, cut at the bounds of ranges of equal load; a range is sorted by radix, and as phrases of every
+   length are the beginnings of keys, run lengths of equal beginnings are their counts. Runs at a range's ends may go on in
+   the next; those alone are summed once more.
 5. What remains is joins between the counts of phrases and of their parts.
 """
 
@@ -41,10 +42,14 @@ BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
+#: Bits of a number; numbers stay below 2^31, so that two of them are a signed 64-bit integer.
 ID_BITS = 32
+#: Keys of a block, of the load of a range, and those that are merged at once; keys of a block that are shown to place bounds.
+BLOCK, RANGE, MERGED, SHOWN = 1 << 16, 1 << 20, 1 << 21, 8
 BATCHES = "batch long, lang string, size long, data binary"
 ENTRIES = "batch long, lang string, word string, local int, n long"
-KEYS = "key binary, n long"
+BLOCKS = "keys binary, counts binary, n long, shown array<long>"
+SLICES = "range int, keys binary, counts binary"
 RUNS = "gram binary, size int, n long, whole boolean"
 
 
@@ -111,10 +116,28 @@ class Pieces:
         shift = np.uint64(ID_BITS)
         high = padded[at] << shift | padded[at + 1]
         low = np.where(third, padded[at + 2], 0) << shift | np.where(fourth, padded[at + 3], 0)
-        order = np.lexsort((low, high))
-        pairs = np.stack([high[order], low[order]], 1)
-        new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.empty(0, np.int64)
-        return pairs[new], np.diff(np.append(new, len(pairs)))
+        return _summed(np.stack([high, low], 1), np.ones(len(at), np.int64))
+
+
+def _radix_order(pairs: np.ndarray) -> np.ndarray:
+    """The order of keys (rows of two 64-bit halves), by stable counting passes over 16 bits, the last ones first; passes
+    in which all keys are alike are left out."""
+    order = None
+    for half in (1, 0):
+        for shift in range(0, 64, 16):
+            digit = ((pairs[:, half] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+            if len(digit) and (digit != digit[0]).any():
+                step = np.argsort(digit if order is None else digit[order], kind="stable")
+                order = step if order is None else order[step]
+    return np.arange(len(pairs)) if order is None else order
+
+
+def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their counts."""
+    order = _radix_order(pairs)
+    pairs = pairs[order]
+    new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.empty(0, np.int64)
+    return pairs[new], np.add.reduceat(counts[order], new) if len(new) else counts[:0]
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,57 +163,88 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own is not None and len(own):
                 numbers[np.asarray(own.field("local"))] = np.asarray(own.field("id")).astype(np.uint64)
             pairs, counts = p.keys(numbers)
-            for lo in range(0, len(pairs), 50_000):
-                part = pairs[lo : lo + 50_000].astype(">u8")
-                key = pa.Array.from_buffers(pa.binary(16), len(part), [None, pa.py_buffer(part.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([key, pa.array(counts[lo : lo + 50_000])], names=["key", "n"])
+            for lo in range(0, len(pairs), BLOCK):
+                part, n = pairs[lo : lo + BLOCK], counts[lo : lo + BLOCK]
+                shown = part[(len(part) * np.arange(1, 2 * SHOWN, 2)) // (2 * SHOWN), 0].astype(np.int64)
+                row = ([part.tobytes()], [n.astype("<u4").tobytes()], [len(part)], [shown.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], names=["keys", "counts", "n", "shown"])
+
+
+def bounds_of(cuts: list[int], most: int) -> np.ndarray:
+    """First keys of ranges after the first, from cuts of equal load by the first half of a key. Where one half takes
+    several shares, its keys are cut evenly by their second half; most: the largest number of a word."""
+    out = []
+    for high in sorted(set(cuts)):
+        share = cuts.count(high) if len(cuts) < 1000 else int(np.searchsorted(cuts, high, "right") - np.searchsorted(cuts, high))
+        out += [(high, (most + 1) * i // share << ID_BITS) for i in range(share)]
+    return np.array(out, np.uint64).reshape(-1, 2)
+
+
+def _below(pairs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each bound: how many of the sorted keys are below it."""
+    lo, hi = np.searchsorted(pairs[:, 0], bounds[:, 0], "left"), np.searchsorted(pairs[:, 0], bounds[:, 0], "right")
+    for i in np.flatnonzero(hi > lo).tolist():
+        lo[i] += np.searchsorted(pairs[lo[i] : hi[i], 1], bounds[i, 1], "left")
+    return lo
+
+
+def _sliced(bounds: np.ndarray):
+    """Blocks of keys cut at the bounds of ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            pairs = np.frombuffer(row["keys"], np.uint64).reshape(-1, 2)
+            cuts = np.concatenate([[0], _below(pairs, bounds), [len(pairs)]])
+            some = np.flatnonzero(np.diff(cuts))
+            keys, counts = memoryview(row["keys"]), memoryview(row["counts"])
+            cols = [[bytes(keys[16 * cuts[i] : 16 * cuts[i + 1]]) for i in some], [bytes(counts[4 * cuts[i] : 4 * cuts[i + 1]]) for i in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["range", "keys", "counts"])
+
+    return run
 
 
 def _runs(least: int):
-    """Counts of equal beginnings of a partition's sorted keys. Those of the partition's first and last key are parts."""
+    """Counts of equal beginnings of each range's keys; rows are sorted by range. Keys are merged as they come, so that
+    what is held is a range's different keys and MERGED others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, open_ = None, {}  # the first key; for each length the run that may go on: [beginning, count]
+        now, held, waiting = None, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
         for rb in batches:
-            if not rb.num_rows:
-                continue
-            words = np.frombuffer(b"".join(rb.column(0).to_pylist()), ">u4").reshape(-1, WORDS)
-            n = rb.column(1).to_numpy()
-            if first is None:
-                first = words[0].tobytes()
-            out = []
-            for size in range(2, WORDS + 1):
-                grams = words[:, :size]
-                new = np.concatenate([[True], (grams[1:] != grams[:-1]).any(1)])
-                at = np.flatnonzero(new)
-                total = np.add.reduceat(n, at)
-                heads = [grams[at[0]].tobytes(), grams[at[-1]].tobytes()]
-                held = open_.get(size)
-                if held and held[0] == heads[0]:
-                    total[0] += held[1]
-                elif held:
-                    out.append((size, *held))
-                open_[size] = [heads[1], int(total[-1])]
-                keep = np.flatnonzero((total[:-1] >= least) | (np.arange(len(at) - 1) == 0))  # the first may be a part
-                keep = keep[grams[at[keep], size - 1] > 0]
-                out += [(size, grams[at[i]].tobytes(), int(total[i])) for i in keep.tolist()]
-            yield from _counted(out, first, None, least)
-        if open_:
-            yield from _counted([(size, *held) for size, held in open_.items()], first, True, least)
+            for r, keys, counts in zip(rb.column("range").to_pylist(), rb.column("keys"), rb.column("counts")):
+                if r != now and held:
+                    yield from _beginnings(*merged(), least)
+                    held, waiting = [], 0
+                now = r
+                held.append((np.frombuffer(keys.as_buffer(), np.uint64).reshape(-1, 2), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)))
+                waiting += len(held[-1][1])
+                if waiting > MERGED:
+                    held, waiting = [merged()], 0
+        if held:
+            yield from _beginnings(*merged(), least)
 
     return run
 
 
-def _counted(found: list[tuple], first: bytes, last: bool | None, least: int) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for size, gram, n in found:
-        if gram[-4:] == b"\0\0\0\0":
-            continue
-        whole = not last and not first.startswith(gram)
-        if not whole or n >= least:
-            rows.append((gram + bytes(4 * (WORDS - size)), size, n, whole))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64(), pa.bool_()))], names=["gram", "size", "n", "whole"])
+def _beginnings(pairs: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of a range's different keys, in order: all of least occurrences or more, and those that the range's first or
+    last key begins with, which may go on in another range."""
+    for size in range(2, WORDS + 1):
+        half, mask = pairs[:, 1], np.uint64(0xFFFFFFFF << ID_BITS & 0xFFFFFFFFFFFFFFFF)
+        low = np.zeros_like(half) if size == 2 else half & mask if size == 3 else half
+        new = np.flatnonzero(np.concatenate([[True], (pairs[1:, 0] != pairs[:-1, 0]) | (low[1:] != low[:-1])]))
+        total = np.add.reduceat(n, new)
+        edge = np.zeros(len(new), bool)
+        edge[[0, -1]] = True
+        own = low[new] & np.uint64(0xFFFFFFFF) if size == 4 else low[new] >> np.uint64(ID_BITS) if size == 3 else pairs[new, 0]
+        keep = np.flatnonzero(((total >= least) | edge) & (own > 0))
+        if len(keep):
+            grams = np.stack([pairs[new[keep], 0], low[new[keep]]], 1).astype(">u8").tobytes()
+            gram = pa.Array.from_buffers(pa.binary(16), len(keep), [None, pa.py_buffer(grams)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([gram, pa.array(np.full(len(keep), size, np.int32)), pa.array(total[keep]), pa.array(~edge[keep])], names=["gram", "size", "n", "whole"])
 
 
 def counted_phrases(spark: SparkSession, docs: DataFrame, scratch: Scratch, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -202,17 +256,23 @@ def counted_phrases(spark: SparkSession, docs: DataFrame, scratch: Scratch, leas
     totals = scratch.table(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     frequent = scratch.table(entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
     words = scratch.table(dense_names(frequent, scratch).select("lang", "word", F.expr("name + 1").alias("id"), "n"), "words")
-    if words.count() >= 1 << ID_BITS:
-        raise ValueError(f"more words than numbers of {ID_BITS} bits")
+    n_words = words.count()
+    if n_words >= 1 << ID_BITS - 1:
+        raise ValueError(f"more words than numbers of {ID_BITS - 1} bits")
     own = entries.select("batch", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"])
     own = own.groupBy("batch").agg(F.collect_list(F.struct("local", "id")).alias("own"))
-    keys = scratch.table(batches.join(own, "batch").select("size", "data", "own").mapInArrow(_keys, KEYS), "keys", "zstd")
+    blocks = scratch.table(batches.join(own, "batch").select("size", "data", "own").mapInArrow(_keys, BLOCKS), "keys", "zstd")
     scratch.drop(entries)
     scratch.drop(batches)
     scratch.free()
-    ordered = keys.repartitionByRange(2 * parts(spark), "key").sortWithinPartitions("key")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    ranges = max(2 * parts(spark), -(-total // RANGE))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = blocks.select(F.explode("shown").alias("h")).agg(F.percentile_approx("h", shares, max(10_000, 20 * ranges))).first()[0] or []
+    sliced = blocks.mapInArrow(_sliced(bounds_of(cuts, n_words)), SLICES)
+    ordered = sliced.repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     runs = scratch.table(ordered.mapInArrow(_runs(least), RUNS), "runs")
-    scratch.drop(keys)
+    scratch.drop(blocks)
     scratch.free()
     cut = runs.where("NOT whole").groupBy("gram", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, scratch.table(runs.where("whole").select("gram", "size", "n").unionByName(cut), "phrases"), totals

@@ -58,38 +58,62 @@ def random_rows(seed, n):
 def test_random(spark, monkeypatch, seed, batch):
     """Many small batches and partitions: words, batches and runs that end anywhere."""
     monkeypatch.setattr(m, "BATCH_BYTES", batch)
+    monkeypatch.setattr(m, "RANGE", batch)
     rows = random_rows(seed, 150)
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(collocations(spark, df, least=3)) == brute(rows, least=3)
     assert got(collocations(spark, df, top=3, least=5, share=50)) == brute(rows, 3, 5, 50)
 
 
-def test_runs_over_partition_ends():
-    """Sorted keys cut into partitions and batches anywhere: whole runs and parts together are the counts."""
+def halves(keys):
+    return np.array([(a << 32 | b, c << 32 | d) for a, b, c, d in keys], np.uint64).reshape(-1, 2)
+
+
+def test_runs_over_range_ends(monkeypatch):
+    """Sorted keys cut into ranges and blocks anywhere: whole runs and parts together are the counts."""
+    monkeypatch.setattr(m, "MERGED", 9)
     rnd = random.Random(4)
     for _ in range(200):
         ids = [(rnd.randint(1, 3), rnd.randint(1, 2), rnd.randint(0, 2), rnd.randint(0, 2)) for _ in range(rnd.randint(0, 60))]
-        keys = sorted({np.array([a, b, c, c and d], ">u4").tobytes() for a, b, c, d in ids})
+        keys = [(a, b, c, c and d) for a, b, c, d in ids]
         counts = [rnd.randint(1, 4) for _ in keys]
         want = Counter()
         for k, c in zip(keys, counts):
             for s in (2, 3, 4):
-                if k[4 * s - 1]:
-                    want[k[: 4 * s] + bytes(16 - 4 * s), s] += c
-        total, cuts = Counter(), sorted(rnd.randint(0, len(keys)) for _ in range(rnd.randint(0, 4)))
-        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-            step = rnd.randint(1, 7)
-            part = [pa.RecordBatch.from_arrays([pa.array(keys[i : min(hi, i + step)], pa.binary()), pa.array(counts[i : min(hi, i + step)], pa.int64())], names=["key", "n"]) for i in range(lo, hi, step)]
-            seen = Counter()
-            for rb in m._runs(3)(iter(part)):
-                for gram, size, n, whole in zip(*(c.to_pylist() for c in rb.columns)):
-                    total[gram, size] += n
-                    seen[gram, size] += 1
-                    assert not whole or n == want[gram, size] >= 3
-            assert not seen or max(seen.values()) == 1
+                if k[s - 1]:
+                    want[np.array(k[:s] + (0,) * (4 - s), ">u4").tobytes(), s] += c
+        bounds = m.bounds_of(sorted(rnd.choice(halves(keys)[:, 0].tolist()) for _ in range(rnd.randint(0, 6))) if keys else [], 3)
+        rows = []
+        for lo in range(0, len(keys), 7):  # blocks are sorted in themselves
+            pairs, n = m._summed(halves(keys[lo : lo + 7]), np.array(counts[lo : lo + 7]))
+            rows.append((pairs.tobytes(), n.astype("<u4").tobytes(), len(n), []))
+        blocks = [pa.RecordBatch.from_pylist([dict(zip(("keys", "counts", "n", "shown"), r)) for r in rows])] if rows else []
+        sliced = sorted((x for rb in m._sliced(bounds)(iter(blocks)) for x in rb.to_pylist()), key=lambda x: x["range"])
+        assert sum(len(x["keys"]) for x in sliced) == sum(len(r[0]) for r in rows)
+        step, total = rnd.randint(1, 5), Counter()
+        parts = [pa.RecordBatch.from_pylist(sliced[i : i + step]) for i in range(0, len(sliced), step)]
+        for rb in m._runs(3)(iter(parts)):
+            for gram, size, n, whole in zip(*(c.to_pylist() for c in rb.columns)):
+                total[gram, size] += n
+                assert not whole or n == want[gram, size] >= 3
         assert {x: n for x, n in total.items() if n >= 3} == {x: n for x, n in want.items() if n >= 3}
 
 
+def test_radix_order():
+    rnd = np.random.default_rng(3)
+    for top in (2, 70_000, 1 << 40, 1 << 63):
+        pairs = rnd.integers(0, top, (500, 2)).astype(np.uint64)
+        assert (pairs[m._radix_order(pairs)] == pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]).all()
+    assert len(m._radix_order(np.empty((0, 2), np.uint64))) == 0
+
+
+def test_bounds_split_a_hot_beginning():
+    bounds = m.bounds_of([5, 7, 7, 7, 9], 299)
+    assert bounds.tolist() == [[5, 0], [7, 0], [7, 100 << 32], [7, 200 << 32], [9, 0]]
+    pairs = np.array([[4, 1], [5, 0], [7, 0], [7, 150 << 32], [7, 200 << 32], [8, 3], [9, 0]], np.uint64)
+    assert m._below(pairs, bounds).tolist() == [1, 2, 3, 4, 6]
+
+
 def test_one_language_each(spark, monkeypatch):
     """As many languages as documents; what a task holds is bounded all the same."""
     monkeypatch.setattr(m, "BATCH_BYTES", 300)
