@@ -4,7 +4,8 @@ Nothing within the distance is missed. An item of m characters is cut into disjo
 spoils at most one of them, so of n pieces at least n - k stand unchanged in any text within k edits, and their places
 differ from those in the item by amounts that lie within k of each other (each insertion or deletion shifts the rest by
 one). So pieces found in a document are counted by item and by bins of that shift, 2 (k + 1) wide and overlapping by
-half; where a bin has n - k different pieces, the exact edit distance (bit-parallel, free ends in the document) decides.
+half: first the rarest pieces of each item, sorted by bin, then all of them where those are enough. Where a bin has n - k
+different pieces, the exact edit distance (bit-parallel, free ends in the document) decides.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ PIECE = 5
 KEPT = 4
 #: Items (characters) that are searched for in one pass over the documents, and so broadcast; more items, more passes.
 BLOCK_CHARS = 4_000_000
-#: Text searched together, counters of bins at once, and pieces found at once (characters, numbers).
+#: Pieces of an item that must be found by themselves, before the others are counted.
+LEAST = 5
+#: Counters of bins, each of which many bins share; and what is no slot.
+COUNTERS, NOWHERE = 1 << 20, 0xFFFFFFFF
+#: Text searched together, and pieces found at once (characters, numbers).
 BATCH_CHARS = 1 << 18
-COUNTERS = 1 << 23
 HITS = 1 << 19
 
 
@@ -98,69 +102,108 @@ def piece_size(length: int, limit: int) -> int:
 
 
 class Pieces:
-    """Items whose pieces are of one size: which items have a piece, and where."""
+    """Items whose pieces are of one size: which items have a piece, and where.
+
+    k edits spoil k pieces at most. So of the k + c rarest pieces of an item, c stand wherever it stands, and only these
+    are looked for everywhere; all are counted where those have been found. How rare a piece is, the first texts that are
+    searched tell: it decides how much is looked up, not what is found.
+    """
 
     def __init__(self, size: int, items: list[int], texts: list[str], limits: list[int]):
         self.size, self.items = size, np.array(items)
         n = np.array([len(texts[i]) // size for i in items])
         self.limit, self.chars = np.array([limits[i] for i in items]), np.array([len(texts[i]) for i in items])
         self.need = n - self.limit
+        self.least = np.minimum(self.need, LEAST)
         self.shift = 32 - min(22, max(10, int(64 * n.sum()).bit_length()))
-        slot = np.concatenate([piece_hashes(codes_of(texts[i]), size)[::size] for i in items]) >> np.uint32(self.shift)
-        order = np.argsort(slot, kind="stable")
-        self.owner = np.repeat(np.arange(len(items)), n)[order]
-        self.place = np.concatenate([np.arange(0, k * size, size) for k in n.tolist()])[order]
-        self.lead, self.width = (self.chars[self.owner] - self.place).astype(np.int32), (self.limit[self.owner] + 1).astype(np.int32)
-        self.first = np.zeros((1 << (32 - self.shift)) + 1, np.int32)
-        np.cumsum(np.bincount(slot, minlength=1 << (32 - self.shift)), out=self.first[1:])
+        self.slot = np.concatenate([piece_hashes(codes_of(texts[i]), size)[::size] for i in items]) >> np.uint32(self.shift)
+        self.owner = np.repeat(np.arange(len(items)), n)
+        self.place = np.concatenate([np.arange(0, k * size, size) for k in n.tolist()])
+        self.start = np.concatenate([[0], np.cumsum(n)])
+        self.first: np.ndarray | None = None
+
+    def _choose(self, slot: np.ndarray) -> None:
+        """The rarest pieces of each item, as lists by slot."""
+        slots = 1 << (32 - self.shift)
+        often = np.bincount(slot, minlength=slots)[self.slot]
+        order = np.lexsort((often, self.owner))
+        rank = np.arange(len(order)) - self.start[self.owner[order]]
+        rare = order[rank < (self.limit + self.least)[self.owner[order]]]
+        rare = rare[np.argsort(self.slot[rare], kind="stable")]
+        self.rare = self.owner[rare]
+        self.lead, self.width = (self.chars[self.rare] - self.place[rare]).astype(np.int32), (self.limit[self.rare] + 1).astype(np.int32)
+        self.first = np.zeros(slots + 1, np.int32)
+        np.cumsum(np.bincount(self.slot[rare], minlength=slots), out=self.first[1:])
         self.some = np.diff(self.first) > 0
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to): the stretches of a text in which alone an item can stand within its limit."""
         slot = piece_hashes(codes, self.size) >> np.uint32(self.shift)
+        if self.first is None:
+            self._choose(slot)
         at = np.flatnonzero(self.some[slot]).astype(np.int32)
         begin = self.first[slot[at]]
         count = self.first[slot[at] + np.uint32(1)] - begin
         total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-        # Bins of a shift are numbered from -chars on; between two items one bin stays empty.
-        base = np.concatenate([[0], np.cumsum((len(codes) + self.chars) // (self.limit + 1) + 3)])
-        first_bin = base[self.owner].astype(np.int32)
-        cuts = [0]
-        while cuts[-1] < len(at):
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + HITS, "right")) - 1))
-
-        def hits():
-            for lo, hi in zip(cuts, cuts[1:]):
-                c = count[lo:hi]
-                entry = np.repeat(begin[lo:hi] - (total[lo:hi] - total[lo]).astype(np.int32), c) + np.arange(total[hi] - total[lo], dtype=np.int32)
-                yield first_bin[entry] + (np.repeat(at[lo:hi], c) + self.lead[entry]) // self.width[entry], entry
-
-        found = np.zeros(base[-1] + 1, np.int64)
-        for key, _ in hits():
-            found += np.bincount(key, minlength=len(found))
-        need = np.repeat(self.need, np.diff(base))
-        flagged = np.append(found[:-1] + found[1:] >= need, False)
-        if not flagged.any():
+        # Bins of a shift are numbered from -chars on; before and after an item's bins one stays empty.
+        base = np.concatenate([[0], np.cumsum((len(codes) + self.chars) // (self.limit + 1) + 4)])
+        first_bin = base[self.rare] + 1
+        found = []
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + HITS, "right")) - 1)
+            c = count[lo:hi]
+            entry = np.repeat(begin[lo:hi] - (total[lo:hi] - total[lo]).astype(np.int32), c) + np.arange(total[hi] - total[lo], dtype=np.int32)
+            found.append((first_bin[entry] + (np.repeat(at[lo:hi], c) + self.lead[entry]) // self.width[entry], entry))
+            lo = hi
+        if not found:
+            return []
+        # Most bins have too few pieces even together with all that share their counters; the others are sorted. A piece
+        # that stands several times in a bin counts once.
+        bins, entry = (np.concatenate(x) for x in zip(*found))
+        cell = bins % COUNTERS
+        n = np.bincount(cell, minlength=COUNTERS)
+        some = (n + np.maximum(np.roll(n, 1), np.roll(n, -1)) >= self.least.min())[cell]
+        keys = np.sort(bins[some] * len(self.rare) + entry[some])
+        if not len(keys):
             return []
-        # Of these, a piece that stands there several times counts once.
-        different, longest = [np.empty(0, np.int64)], int(self.chars.max()) + 1
-        for key, entry in hits():
-            for k in (key, key - 1):
-                s = np.flatnonzero(flagged[k])
-                different.append(np.unique(k[s].astype(np.int64) * longest + self.place[entry[s]]))
-        bins, n = np.unique(np.unique(np.concatenate(different)) // longest, return_counts=True)
-        bins = bins[n >= need[bins]]
-        own = np.searchsorted(base, bins, "right") - 1
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] // len(self.rare)
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        bins, n = keys[new], np.diff(np.append(new, len(keys)))
+        # Of two neighbouring bins with enough pieces together, one has half of them.
+        half = n >= (int(self.least.min()) + 1) // 2
+        bins_near = np.unique(np.concatenate([bins[half], bins[half] - 1]))
+        own = np.searchsorted(base, bins_near, "right") - 1
+
+        def held(x: np.ndarray) -> np.ndarray:
+            i = np.minimum(np.searchsorted(bins, x), len(bins) - 1)
+            return np.where(bins[i] == x, n[i], 0)
+
+        enough = held(bins_near) + held(bins_near + 1) >= self.least[own]
+        own, bins_near = own[enough], bins_near[enough]
         k, m = self.limit[own], self.chars[own]
-        shift = (bins - base[own]) * (k + 1) - m
+        shift = (bins_near - base[own] - 1) * (k + 1) - m
         out: list[tuple[int, int, int]] = []
-        for i, lo, hi in zip(own.tolist(), (shift - k).tolist(), (shift + 3 * k + 2 + m).tolist()):
+        for i, s, lo, hi in zip(own.tolist(), shift.tolist(), (shift - k).tolist(), (shift + 3 * k + 2 + m).tolist()):
+            if self._stand(slot, i, s) < self.need[i]:
+                continue
             if out and out[-1][0] == i and lo <= out[-1][2]:
                 out[-1] = (i, out[-1][1], hi)
             else:
                 out.append((i, lo, hi))
         return [(int(self.items[i]), lo, hi) for i, lo, hi in out]
 
+    def _stand(self, slot: np.ndarray, i: int, shift: int) -> int:
+        """How many of all pieces of an item stand in a text with a shift in the two bins from shift on."""
+        own, width = self.slot[self.start[i] : self.start[i + 1]], 2 * (int(self.limit[i]) + 1)
+        # Of each piece a row of the text, from its place on; what lies outside the text is no piece's slot.
+        lo, hi = shift, shift + self.size * (len(own) - 1) + width
+        text = np.full(hi - lo, NOWHERE, np.uint32)
+        inside = slot[max(0, lo) : max(0, hi)]
+        text[max(0, -lo) : max(0, -lo) + len(inside)] = inside
+        rows = np.lib.stride_tricks.as_strided(text, (len(own), width), (self.size * text.itemsize, text.itemsize))
+        return int((rows == own[:, None]).any(1).sum())
+
 
 def best_place(pattern: str, text: str) -> tuple[int, int]:
     """(distance, start) of the substring of text nearest to pattern: the first end, then the nearest start."""
@@ -176,19 +219,10 @@ class Index:
         self.ids, self.texts = ids, texts
         self.limits = [int(rate * len(t)) for t in texts]
         self.reach = max((len(t) + k for t, k in zip(texts, self.limits)), default=0)
-        self.groups: list[Pieces] = []
         own: dict[int, list[int]] = defaultdict(list)
         for i, (t, k) in enumerate(zip(texts, self.limits)):
             own[piece_size(len(t), k)].append(i)
-        for size, items in sorted(own.items()):
-            part, bins = [], 0.0
-            for i in items:
-                bins += (BATCH_CHARS + self.reach) / (self.limits[i] + 1)
-                if part and bins > COUNTERS:
-                    self.groups.append(Pieces(size, part, texts, self.limits))
-                    part, bins = [], (BATCH_CHARS + self.reach) / (self.limits[i] + 1)
-                part.append(i)
-            self.groups.append(Pieces(size, part, texts, self.limits))
+        self.groups = [Pieces(size, items, texts, self.limits) for size, items in sorted(own.items())]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(document, item, first word, distance) of each pair within the edit rate, at its best place."""
@@ -213,6 +247,8 @@ class Index:
                 best[d, i] = distance, a + at
 
 
+#: Ids and texts of items, and the edit rate.
+Block = tuple[list[int], list[str], float]
 FOUND = "doc_id long, item_id long, first_word long, distance int, item_chars int"
 
 
@@ -230,8 +266,9 @@ def _gathered(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, texts
 
 
-def _search(index: Index):
+def _search(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*block)
         for rb in batches:
             for rows, texts in _gathered(rb.column(1)):
                 got = index.search(texts)
@@ -243,20 +280,21 @@ def _search(index: Index):
     return run
 
 
-def indexes(items: DataFrame, rate: float, item_col: str = "item_id", item_text: str = "text") -> Iterator[Index]:
-    """The items in blocks of BLOCK_CHARS characters, so what is broadcast is bounded; more items make more blocks."""
+def blocks(items: DataFrame, rate: float, item_col: str = "item_id", item_text: str = "text") -> Iterator[Block]:
+    """The items in blocks of BLOCK_CHARS characters, so what is broadcast is bounded; more items make more blocks. Tasks
+    make their index of a block."""
     listed = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.trim("text") != "")
     ids, texts, size = [], [], 0
     for r in listed.orderBy("item_id", "text").toLocalIterator():
         t = normal(r.text)
         if ids and size + len(t) > BLOCK_CHARS:
-            yield Index(ids, texts, rate)
+            yield ids, texts, rate
             ids, texts, size = [], [], 0
         if t:
             ids.append(r.item_id)
             texts.append(t)
             size += len(t)
-    yield Index(ids, texts, rate)
+    yield ids, texts, rate
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -268,7 +306,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, id_
     equally near, the first counts. Other columns are ignored; an empty table, or one without items, gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(index), FOUND) for index in indexes(items, rate, item_col, item_text)])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(block), FOUND) for block in blocks(items, rate, item_col, item_text)])
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, text_col: str = "text") -> DataFrame:
@@ -276,8 +314,9 @@ def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, t
     is judged by itself: null and repeated ids make no difference."""
     at = docs.columns.index(text_col)
 
-    def clean(index: Index):
+    def clean(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(*block)
             for rb in batches:
                 keep = np.ones(rb.num_rows, bool)
                 for rows, texts in _gathered(rb.column(at)):
@@ -286,8 +325,8 @@ def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, t
 
         return run
 
-    for index in indexes(items, rate):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+    for block in blocks(items, rate):
+        docs = docs.mapInArrow(clean(block), docs.schema)
     return docs
 
 
