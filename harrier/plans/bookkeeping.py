@@ -13,6 +13,7 @@ from harrier.functions import timegeo as T
 from harrier.operators import events as E
 from harrier.operators import extraction as N
 from harrier.operators.graph import shared_folder
+from harrier.operators import ledger as Y
 from harrier.operators import models as M
 from harrier.operators import places as P
 from harrier.operators import queues as Q
@@ -296,6 +297,22 @@ def payload_faults(spark: SparkSession, d: str) -> DataFrame:
     return sound.select("doc_id", N.payload_fault(made, (*N.ROLES, "mention")).alias("fault"))
 
 
+#: A document's answer is sound at this call of the four that it may have; 4 and 5: at none.
+_CALLS = "calls AS (SELECT doc_id, k, doc_id % 6 = k AS sound FROM documents, (SELECT unnest(range(4)) AS k) WHERE k <= doc_id % 6), dealt AS (SELECT *, row_number() OVER (ORDER BY k, doc_id) <= (SELECT count(*) * 3 // 2 FROM documents) AS ok FROM calls), gone AS (SELECT *, bool_and(ok) OVER (PARTITION BY doc_id ORDER BY k) AS so_far, coalesce(bool_and(ok) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS before FROM dealt)"
+
+
+@query(f"WITH {_CALLS} SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN k < 2 THEN 'small' ELSE 'large' END AS model, k % 2 + 1 AS attempt, CASE WHEN NOT ok THEN 'deferred' WHEN sound THEN 'accepted' ELSE 'rejected' END AS outcome, ok AS paid FROM gone WHERE before")
+def budgeted_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Two models, two tries each, for all documents, with calls for one and a half of each: a stand-in for a model answers
+    by the document's number."""
+    docs = D.table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"), F.col("doc_id").cast("string").alias("prompt"), F.lit("").alias("body"))
+    number = {("small", ""): 0, ("small", "thin"): 1, ("large", ""): 2, ("large", "thin"): 3}
+    call = lambda model, prompt, fault: ("sound" if int(prompt) % 6 == number[model, fault] else "thin", len(prompt), 1)
+    ledger = Y.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex[:12]}")
+    done = Y.climb_within(docs, [("small", 1), ("large", 2)], call, lambda content, body: F.when(content != "sound", "thin"), docs.count() * 3 // 2, ledger)
+    return done.select(F.col("id").cast("long").cast("string").alias("id"), "model", "attempt", "outcome", "paid")
+
+
 @query("SELECT conv_id, CASE conv_id % 5 WHEN 1 THEN 'batch_identity' WHEN 2 THEN 'batch_identity' WHEN 3 THEN 'batch_identity' END AS reason FROM (SELECT conv_id FROM conversations GROUP BY conv_id)")
 def batch_identities(spark: SparkSession, d: str) -> DataFrame:
     """Batches are conversations, their ids the turns; an answer may miss one, repeat one or invent one."""
