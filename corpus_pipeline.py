@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(before)  # a stage's table is read by the next one only
     return STAGES[-1][1](spark, docs, sf_dir)
