@@ -109,18 +109,39 @@ def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float =
     return pairs.select(turned.alias("e")).select("e.*").distinct()
 
 
-def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
-    """(signal_id, o_signal_id), the lesser id first, of signals (signal_id, title, published_at) whose titles are alike by
-    insertions and deletions but not equal, published within hours. Nothing is lost before the ratio decides: titles meet
-    in a band of time by their length, which can differ by a fixed factor only, and leave if the counts of their
-    characters, by 32 classes, differ by more than the distance allowed."""
-    s = signals.where("published_at IS NOT NULL AND length(title) > 0").select("signal_id", "title", "published_at", T.seconds(F.col("published_at")).alias("t"), X.character_counts(F.col("title")).alias("counts"))
+def near_exact_titles(titles: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
+    """(title, o_title), the lesser first, of different titles (title, t: seconds) that are alike by insertions and
+    deletions and stand within two spans of `hours`. However many signals have a title, it is compared once.
+
+    Nothing is lost before the ratio decides. Titles of one span and the two next to it meet by their length, which can
+    differ by a fixed factor only, and leave if the counts of their characters, by 32 classes, differ by more than the
+    distance allowed; two that meet in several spans are compared once."""
+    spark, width = titles.sparkSession, hours * 3600.0
+    span = F.floor(F.col("t") / width).cast("long")
+    standing = step_table(spark, titles.select("title", span.alias("span"), F.md5("title").alias("id")).distinct(), "standing")
+    texts = standing.select("id", "title").distinct()
     band = F.floor(F.log(F.length("title")) / F.log(F.lit((200 - least) / least * 1.001))).cast("int")
-    o = s.withColumn("k", F.explode(F.array(band - 1, band, band + 1))).select("k", *[F.col(c).alias(f"o_{c}") for c in s.columns])
-    p = band_join(s.withColumn("k", band), o, "t", "o_t", hours * 3600.0, ["k"]).where("signal_id < o_signal_id")
+    kinds = step_table(spark, texts.select("id", F.length("title").alias("n"), band.alias("k"), X.character_counts(F.col("title")).alias("counts")), "kinds")
+    s = standing.select("id", "span").join(kinds, "id")
+    cells = F.explode(F.array(*[F.struct((F.col("k") + i).alias("k"), (F.col("span") + j).alias("span")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    o = s.select(F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("counts").alias("o_counts"), cells.alias("at")).select("o_id", "o_n", "o_counts", "at.k", "at.span")
     apart = F.aggregate(F.zip_with("counts", "o_counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    p = p.where(apart <= (F.length("title") + F.length("o_title")) * (1 - least / 100) + 1e-6)
-    return p.where(X.near_exact_title(F.col("title"), F.col("o_title"), F.col("published_at"), F.col("o_published_at"), least, hours)).select("signal_id", "o_signal_id")
+    fits = (F.col("id") < F.col("o_id")) & (200.0 * F.least("n", "o_n") / (F.col("n") + F.col("o_n")) >= least) & (apart <= (F.col("n") + F.col("o_n")) * (1 - least / 100) + 1e-6)
+    met = s.join(o, ["k", "span"]).where(fits).select("id", "o_id").distinct()
+    both = met.join(texts, "id").join(texts.select(F.col("id").alias("o_id"), F.col("title").alias("o_title")), "o_id")
+    ratio = X.indel_ratio(F.col("title"), F.col("o_title"))
+    return both.where((ratio >= least) & (ratio < 100)).select(F.least("title", "o_title").alias("title"), F.greatest("title", "o_title").alias("o_title"))
+
+
+def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
+    """(signal_id, o_signal_id), the lesser id first, of signals (signal_id, title, published_at) whose titles are alike by
+    insertions and deletions but not equal, published within hours: the alike titles, and then their signals."""
+    s = signals.where("published_at IS NOT NULL AND length(title) > 0").select("signal_id", "title", T.seconds(F.col("published_at")).alias("t"))
+    alike = step_table(signals.sparkSession, near_exact_titles(s, least, hours), "alike")
+    one = s.select("signal_id", "title", "t").join(alike, "title").select("o_title", "signal_id", "t")
+    other = s.join(alike.select("o_title").distinct(), F.col("title") == F.col("o_title"), "left_semi").select(F.col("title").alias("o_title"), F.col("signal_id").alias("other_id"), F.col("t").alias("o_t"))
+    near = band_join(one, other, "t", "o_t", hours * 3600.0, ["o_title"])
+    return near.select(F.least("signal_id", "other_id").alias("signal_id"), F.greatest("signal_id", "other_id").alias("o_signal_id"))
 
 
 def resolve_duplicates(spark: SparkSession, signals: DataFrame, pairs: DataFrame) -> DataFrame:
