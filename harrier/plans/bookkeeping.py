@@ -17,6 +17,7 @@ from harrier.operators import ledger as Y
 from harrier.operators import models as M
 from harrier.operators import places as P
 from harrier.operators import queues as Q
+from harrier.operators import resolutions as I
 from harrier.operators import retrieval as L
 from harrier.operators import reviews as V
 from harrier.operators import runs as U
@@ -25,6 +26,7 @@ from harrier.plans import read_models as R
 from harrier.plans.registry import query
 from harrier.sources import paged as W
 from harrier.sources import sinks as K
+from harrier.sources.store import Store
 
 _W = f"WITH {D.SIGNALS_SQL}"
 _QW = f"{_W}, {D.QUEUES_SQL}"
@@ -313,6 +315,50 @@ def budgeted_ladder(spark: SparkSession, d: str) -> DataFrame:
     return done.select(F.col("id").cast("long").cast("string").alias("id"), "model", "attempt", "outcome", "paid")
 
 
+_REASONS = ["event_match_ambiguous", "event_match_ambiguous", "retrieval_failed", "disease_unresolved", "content_integrity"]
+_ACTIONS = ["link_event", "create_event", "retry_retrieval", "assign_disease", "dismiss", "link_event"]
+_RESOLVED = f"""{_W}, x AS (SELECT *, {_REASONS!r}[CAST(signal_id % 5 + 1 AS BIGINT)] AS reason, {_ACTIONS!r}[CAST(signal_id % 6 + 1 AS BIGINT)] AS action, (signal_id + signal_id // 7 % 3) % 40 AS target, signal_id % 13 AS dis, {_AT} AS t FROM signals),
+o AS (SELECT *, CASE WHEN signal_id % 11 = 0 THEN 'refused' WHEN signal_id % 8 = 3 THEN 'stale' WHEN NOT (action = 'dismiss' OR reason = 'event_match_ambiguous' AND action IN ('link_event', 'create_event') OR reason = 'retrieval_failed' AND action = 'retry_retrieval' OR reason = 'disease_unresolved' AND action = 'assign_disease') THEN 'refused'
+  WHEN action = 'link_event' AND signal_id // 7 % 3 = 2 THEN 'target_stale' WHEN action = 'assign_disease' AND dis > 3 THEN 'no_disease' ELSE 'closed' END AS outcome FROM x),
+ol AS (SELECT event_key AS event_id, signal_id FROM signals WHERE signal_id % 4 = 1),
+nl AS (SELECT CASE action WHEN 'create_event' THEN -1 - signal_id ELSE target END AS event_id, signal_id FROM o WHERE outcome = 'closed' AND action IN ('link_event', 'create_event') EXCEPT SELECT * FROM ol), al AS (SELECT * FROM ol UNION SELECT * FROM nl)"""
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[Store, int]:
+    """A store of the tables, and its version after one command for each signal's case."""
+    s, i = D.signals(spark, d), F.col("signal_id")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by + 1).cast("int"))
+    linked = s.where("signal_id % 4 = 1")
+    first = {
+        "signals": s.withColumn("attempts", F.lit(2)), "links": linked.select(F.col("event_key").alias("event_id"), "signal_id", F.lit("supporting_source").alias("relationship_type"), F.lit(0.8).alias("match_score"), F.lit(False).alias("is_primary")),
+        "events": s.groupBy(F.col("event_key").alias("event_id")).agg(F.min("disease_id").alias("disease_id"), F.min("country").alias("country"), F.min(F.coalesce("published_at", "first_seen_at")).alias("start"), F.min(F.coalesce("published_at", "first_seen_at")).alias("updated")).withColumns({"n_articles": F.lit(0).cast("long"), "early_signal_score": F.lit(None).cast("double")}),
+        "cases": s.select(i.alias("case_id"), "signal_id", pick(_REASONS, i % 5).alias("reason"), F.when(i % 11 == 0, "resolved").otherwise("open").alias("state"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("resolution")),
+        "candidates": s.select(i.alias("case_id"), F.explode(F.array(*[F.struct(((i + k) % 40).alias("event_id"), F.lit(0.7 - 0.1 * k).alias("match_score")) for k in (0, 1)])).alias("c")).select("case_id", "c.*"),
+        "diseases": s.where("disease_id IS NOT NULL").select("disease_id").distinct(),
+    }
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+    seen = store.commit(first, 0)
+    commands = s.select(i.alias("case_id"), pick(_ACTIONS, i % 6).alias("action"), F.when(i % 8 == 3, 0).otherwise(1).alias("version"), ((i + F.floor(i / 7) % 3) % 40).alias("event_id"), F.concat(F.lit("d"), i % 13).alias("disease_id"))
+    after = I.apply_resolutions(store.read("cases"), commands, store.read("signals"), store.read("links"), store.read("events"), store.read("candidates"), store.read("diseases"), D.now())
+    return store, store.commit(after, seen)
+
+
+@query(f"""{_RESOLVED} SELECT outcome, CASE WHEN outcome <> 'closed' THEN status ELSE CASE action WHEN 'retry_retrieval' THEN 'fetched' WHEN 'assign_disease' THEN 'extracted' WHEN 'dismiss' THEN 'dismissed' ELSE 'matched' END END AS status, CASE WHEN outcome = 'closed' THEN action END AS resolution, CASE WHEN outcome = 'closed' AND action = 'assign_disease' THEN 'd' || dis ELSE disease_id END AS disease_id, CASE WHEN outcome = 'closed' AND action = 'retry_retrieval' THEN 0 ELSE 2 END AS attempts, count(*) AS n FROM o GROUP BY ALL""")
+def resolved_cases(spark: SparkSession, d: str) -> DataFrame:
+    """One command for the case of each signal, committed: what became of cases and signals."""
+    store, v = _resolved(spark, d)
+    j = store.read("signals", v).join(store.read("cases", v).select("signal_id", "case_id", "resolution"), "signal_id").join(store.read("outcomes", v), "case_id")
+    return j.groupBy("outcome", "status", "resolution", "disease_id", "attempts").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_RESOLVED}, e AS (SELECT event_key AS event_id, min({_AT}) AS t FROM signals GROUP BY 1), g AS (SELECT event_id, count(*) AS n, max({_AT}) AS u, min({_AT}) AS f FROM al JOIN signals USING (signal_id) WHERE event_id IN (SELECT event_id FROM nl) GROUP BY event_id)
+SELECT coalesce(e.event_id, g.event_id) AS event_id, coalesce(n, 0) AS n_articles, greatest(e.t, u) AS updated_s, least(e.t, f) AS start_s, n IS NOT NULL AS scored FROM e FULL JOIN g ON g.event_id = e.event_id""")
+def resolved_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events after those commands: linked ones updated and counted again, created ones there."""
+    store, v = _resolved(spark, d)
+    return store.read("events", v).select("event_id", "n_articles", F.unix_seconds("updated").alias("updated_s"), F.unix_seconds("start").alias("start_s"), F.col("early_signal_score").isNotNull().alias("scored"))
+
+
 @query("SELECT conv_id, CASE conv_id % 5 WHEN 1 THEN 'batch_identity' WHEN 2 THEN 'batch_identity' WHEN 3 THEN 'batch_identity' END AS reason FROM (SELECT conv_id FROM conversations GROUP BY conv_id)")
 def batch_identities(spark: SparkSession, d: str) -> DataFrame:
     """Batches are conversations, their ids the turns; an answer may miss one, repeat one or invent one."""

@@ -31,6 +31,13 @@ def apply_decisions(old: DataFrame, decisions: DataFrame, key: list[str]) -> Dat
     return j.select(*[F.coalesce(f"_d_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns])
 
 
+def set_columns(old: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
+    """Set the columns that values has beside the key, where it has a row; a null there makes the column null."""
+    names = [c for c in values.columns if c not in key]
+    j = old.join(values.select(*key, F.struct(*names).alias("_v")), key, "left")
+    return j.select(*[F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in old.columns])
+
+
 def count_attempt(attempts: Column, status: Column, failed: Column, most: int = 3) -> tuple[Column, Column]:
     """(attempts, status) after one more attempt; the status is failed for good once there have been most."""
     n = attempts + failed.cast("int")
