@@ -110,8 +110,9 @@ def duplicate_pairs(signals: DataFrame, hours: int = 72, title_at_least: float =
 
 
 def near_exact_titles(titles: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
-    """(title, o_title), the lesser first, of different titles (title, t: seconds) that are alike by insertions and
-    deletions and stand within two spans of `hours`. However many signals have a title, it is compared once.
+    """(title, o_title, span) of different titles (title, t: seconds) that are alike by insertions and deletions, once each
+    two, for each span of `hours` in which title stands and o_title does, or in the one before or after. However many
+    signals have a title, it is compared once.
 
     Nothing is lost before the ratio decides. Titles of one span and the two next to it meet by their length, which can
     differ by a fixed factor only, and leave if the counts of their characters, by 32 classes, differ by more than the
@@ -127,10 +128,10 @@ def near_exact_titles(titles: DataFrame, least: float = 92.0, hours: int = 48) -
     o = s.select(F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("counts").alias("o_counts"), cells.alias("at")).select("o_id", "o_n", "o_counts", "at.k", "at.span")
     apart = F.aggregate(F.zip_with("counts", "o_counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
     fits = (F.col("id") < F.col("o_id")) & (200.0 * F.least("n", "o_n") / (F.col("n") + F.col("o_n")) >= least) & (apart <= (F.col("n") + F.col("o_n")) * (1 - least / 100) + 1e-6)
-    met = s.join(o, ["k", "span"]).where(fits).select("id", "o_id").distinct()
-    both = met.join(texts, "id").join(texts.select(F.col("id").alias("o_id"), F.col("title").alias("o_title")), "o_id")
+    met = step_table(spark, s.join(o, ["k", "span"]).where(fits).select("id", "o_id", "span").distinct(), "met")
+    both = met.select("id", "o_id").distinct().join(texts, "id").join(texts.select(F.col("id").alias("o_id"), F.col("title").alias("o_title")), "o_id")
     ratio = X.indel_ratio(F.col("title"), F.col("o_title"))
-    return both.where((ratio >= least) & (ratio < 100)).select(F.least("title", "o_title").alias("title"), F.greatest("title", "o_title").alias("o_title"))
+    return both.where((ratio >= least) & (ratio < 100)).join(met, ["id", "o_id"]).select("title", "o_title", "span")
 
 
 def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -> DataFrame:
@@ -138,7 +139,8 @@ def near_exact_pairs(signals: DataFrame, least: float = 92.0, hours: int = 48) -
     insertions and deletions but not equal, published within hours: the alike titles, and then their signals."""
     s = signals.where("published_at IS NOT NULL AND length(title) > 0").select("signal_id", "title", T.seconds(F.col("published_at")).alias("t"))
     alike = step_table(signals.sparkSession, near_exact_titles(s, least, hours), "alike")
-    one = s.select("signal_id", "title", "t").join(alike, "title").select("o_title", "signal_id", "t")
+    # A signal meets the titles that stand near its time only.
+    one = s.withColumn("span", F.floor(F.col("t") / (hours * 3600.0)).cast("long")).join(alike, ["title", "span"]).select("o_title", "signal_id", "t")
     other = s.join(alike.select("o_title").distinct(), F.col("title") == F.col("o_title"), "left_semi").select(F.col("title").alias("o_title"), F.col("signal_id").alias("other_id"), F.col("t").alias("o_t"))
     near = band_join(one, other, "t", "o_t", hours * 3600.0, ["o_title"])
     return near.select(F.least("signal_id", "other_id").alias("signal_id"), F.greatest("signal_id", "other_id").alias("o_signal_id"))
