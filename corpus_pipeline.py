@@ -74,4 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(before)  # a stage's table is read by the next one only
+        scratch.free()
     return STAGES[-1][1](spark, docs, sf_dir)

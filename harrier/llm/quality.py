@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,23 +30,33 @@ def document_logits(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
 
 
 class _Bags:
-    """All features of whole texts, each once with how often a text has it. Texts' arrays stay apart: together they would
-    take twice their memory while they are joined."""
+    """All features of whole texts, each once with how often a text has it. They take several times the memory of the texts,
+    so they lie in a file in the driver's temporary folder, of which a step of the training reads what it needs."""
+
+    ROW = np.dtype([("id", np.int32), ("often", np.uint32)])
 
     def __init__(self, texts: list[str]):
-        self.ids, self.often = [], []
-        for t in texts:
-            own, k = np.empty(0, np.int32), np.empty(0, np.int64)
-            for _, held in groups([t]) if t else ():
-                f, n = np.unique(Words(held, letters=False).features(pairs=True)[0], return_counts=True)
-                both, at = np.unique(np.concatenate([own, f]), return_inverse=True)
-                own, k = both, np.bincount(at, np.concatenate([k, n]), len(both)).astype(np.int64)
-            self.ids.append(own.astype(np.int32))
-            self.often.append(k.astype(np.uint16 if not len(k) or k.max() < 1 << 16 else np.uint32))
-        self.n = np.array([len(x) for x in self.ids], np.int64)
+        n = []
+        with tempfile.TemporaryFile(prefix="harrier-bags-") as file:
+            for t in texts:
+                own, k = np.empty(0, np.int32), np.empty(0, np.int64)
+                for _, held in groups([t]) if t else ():
+                    f, often = np.unique(Words(held, letters=False).features(pairs=True)[0], return_counts=True)
+                    both, at = np.unique(np.concatenate([own, f]), return_inverse=True)
+                    own, k = both, np.bincount(at, np.concatenate([k, often]), len(both)).astype(np.int64)
+                rows = np.empty(len(own), self.ROW)
+                rows["id"], rows["often"] = own, k
+                file.write(rows.tobytes())
+                n.append(len(own))
+            file.flush()
+            self.n = np.array(n, np.int64)
+            self.ends = np.cumsum(self.n)
+            self.rows = np.asarray(np.memmap(file, self.ROW, "r")) if self.n.sum() else np.empty(0, self.ROW)
 
     def __call__(self, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.concatenate([self.ids[i] for i in bags]), np.concatenate([self.often[i] for i in bags]).astype(np.float32), self.n[bags]
+        n = self.n[bags]
+        rows = np.concatenate([self.rows[hi - k : hi] for hi, k in zip(self.ends[bags].tolist(), n.tolist())])
+        return np.ascontiguousarray(rows["id"]), rows["often"].astype(np.float32), n
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE_DOCS) -> tuple[Model, np.ndarray]:
@@ -57,10 +68,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         return Model(np.zeros(1 << 18, np.float32), 0.0), np.array([0.0, np.log(p / (1 - p))])
     own = part > 0
     bags = _Bags([t for t, o in zip(texts, own) if o])
+    rest = ~own if len(set(y[~own].tolist())) == 2 else np.ones(len(y), bool)
+    texts = [t for t, r in zip(texts, rest) if r]  # the others are in the bags
     balance = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
     model = fit(bags, y[own], balance[own], np.flatnonzero(bags.n), epochs=8, batch=64)
-    rest = ~own if len(set(y[~own].tolist())) == 2 else np.ones(len(y), bool)
-    z, n = document_logits([t for t, r in zip(texts, rest) if r], model)
+    z, n = document_logits(texts, model)
     return model, logistic(z[n > 0][:, None], y[rest][n > 0], weight[rest][n > 0])
 
 

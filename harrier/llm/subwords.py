@@ -178,7 +178,10 @@ def fit(draw: Draw, target: np.ndarray, weight: np.ndarray, visits: np.ndarray,
                 flat, often, n = flat[stay], often[stay], np.add.reduceat(stay.astype(np.int64), first)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
             share = (often / np.repeat(np.add.reduceat(often, first), n)).astype(np.float32)
-            x = np.add.reduceat(table[flat] * share[:, None], first)
+            rows = table[flat]
+            rows *= share[:, None]
+            x = np.add.reduceat(rows, first)
+            del rows  # of a batch of long texts one such array at a time
             z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -187,8 +190,11 @@ def fit(draw: Draw, target: np.ndarray, weight: np.ndarray, visits: np.ndarray,
             order = np.argsort(flat, kind="stable")
             new = np.concatenate([[True], np.diff(flat[order]) != 0])
             rows = flat[order][new]
-            back = (np.repeat(g @ soft.T, n, axis=0) * share[:, None])[order]
+            back = np.repeat(g @ soft.T, n, axis=0)
+            back *= share[:, None]
+            back = back[order]
             by_row = np.add.reduceat(back, np.flatnonzero(new))
+            del back
             seen[rows] += (by_row**2).mean(1)
             table[rows] -= step * by_row / np.sqrt(seen[rows])[:, None]
             gw, gb = x.T @ g / len(part), g.mean(0)
